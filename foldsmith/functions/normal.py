@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of algorithm AS 241 (PPND16), Wichura 1988,
@@ -46,17 +46,71 @@ def _poly(coefficients, x: Column) -> Column:
     return acc
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _argument(q: Column, r: Column) -> Column:
+    """Variable of the polynomials: central, middle or tail."""
+    return (
+        F.when(F.abs(q) <= 0.425, F.lit(0.180625) - q * q)
+        .when(r <= 5.0, r - F.lit(1.6))
+        .otherwise(r - F.lit(5.0))
+    )
+
+
+def _ratio(q: Column, r: Column, t: Column) -> Column:
+    sign = F.when(q < 0, -1.0).otherwise(1.0)
+    return (
+        F.when(F.abs(q) <= 0.425, q * _poly(CENTRAL_NUM, t) / _poly(CENTRAL_DEN, t))
+        .when(r <= 5.0, sign * _poly(MIDDLE_NUM, t) / _poly(MIDDLE_DEN, t))
+        .otherwise(sign * _poly(TAIL_NUM, t) / _poly(TAIL_DEN, t))
+    )
+
+
+def _radius(p: Column) -> Column:
+    return F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p)))
+
+
 def inverse_normal(p: Column) -> Column:
     """Quantile of the standard normal distribution for ``0 < p < 1``."""
-    q = p - F.lit(0.5)
-    r_mid = F.lit(0.180625) - q * q
-    central = q * _poly(CENTRAL_NUM, r_mid) / _poly(CENTRAL_DEN, r_mid)
-    r = F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p)))
-    near, far = r - F.lit(1.6), r - F.lit(5.0)
-    tail = F.when(
-        r <= 5.0, _poly(MIDDLE_NUM, near) / _poly(MIDDLE_DEN, near)
-    ).otherwise(_poly(TAIL_NUM, far) / _poly(TAIL_DEN, far))
-    return F.when(F.abs(q) <= 0.425, central).when(q < 0, -tail).otherwise(tail)
+
+    def of(x: Column) -> Column:
+        q = x - F.lit(0.5)
+        return _let(_radius(x), lambda r: _let(_argument(q, r), lambda t: _ratio(q, r, t)))
+
+    return _let(p, of)
+
+
+def with_inverse_normal(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add normal quantiles of several probabilities.
+
+    Each step is a projection of its own, which keeps the generated code short
+    and inside whole-stage code generation; the form to use on many rows.
+    """
+    names = list(columns)
+    helpers = [f"__{part}_{n}" for n in names for part in "pqrt"]
+    out = df.select("*", *[columns[n].alias(f"__p_{n}") for n in names])
+    out = out.select(
+        "*",
+        *[(F.col(f"__p_{n}") - F.lit(0.5)).alias(f"__q_{n}") for n in names],
+        *[_radius(F.col(f"__p_{n}")).alias(f"__r_{n}") for n in names],
+    )
+    out = out.select(
+        "*",
+        *[_argument(F.col(f"__q_{n}"), F.col(f"__r_{n}")).alias(f"__t_{n}") for n in names],
+    )
+    return out.select(
+        "*",
+        *[
+            F.when(
+                F.col(f"__p_{n}").isNotNull(),
+                _ratio(F.col(f"__q_{n}"), F.col(f"__r_{n}"), F.col(f"__t_{n}")),
+            ).alias(n)
+            for n in names
+        ],
+    ).drop(*helpers)
 
 
 def _poly_sql(coefficients, x: str) -> str:

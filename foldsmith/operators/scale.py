@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldsmith.functions.arrays import upper_bound
-from foldsmith.functions.normal import inverse_normal
+from foldsmith.functions.normal import with_inverse_normal
 from foldsmith.operators.stats import (
     FOLD,
     exact_quantiles,
@@ -113,16 +113,16 @@ def quantile_normal(
     placed = found.select(
         *df.columns, *[_probability(c).alias(f"{c}__p") for c in columns]
     )
-    new = {
-        c: F.when(
-            F.col(f"{c}__p").isNotNull(),
-            inverse_normal(
-                F.least(F.greatest(F.col(f"{c}__p"), F.lit(CLIP)), F.lit(1.0 - CLIP))
-            ),
-        )
-        for c in columns
-    }
-    return placed.select(*_replace(df, new))
+    scored = with_inverse_normal(
+        placed,
+        {
+            f"{c}__n": F.least(F.greatest(F.col(f"{c}__p"), F.lit(CLIP)), F.lit(1.0 - CLIP))
+            for c in columns
+        },
+    )
+    # ``least`` and ``greatest`` skip NULL, so a missing value is put back here.
+    new = {c: F.when(F.col(f"{c}__p").isNotNull(), F.col(f"{c}__n")) for c in columns}
+    return scored.select(*_replace(df, new))
 
 
 def _probability(c: str) -> Column:
