@@ -43,33 +43,44 @@ def bootstrap_ci(
     the weights of four resamples.
     """
     by = list(by)
+    x = F.col("__x")
     rows = df.select(*by, row_id, F.col(value).cast("double").alias("__x"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1)))
-    keyed = rows.select(*by, "__x", row_id, blocks.alias("__block")).select(
-        *by, "__x", "__block", hash_key(seed, "__block", row_id).alias("__key")
+    keyed = (
+        rows.filter(x.isNotNull())
+        .select(*by, "__x", row_id, blocks.alias("__block"))
+        .select(*by, "__x", "__block", hash_key(seed, "__block", row_id).alias("__key"))
     )
-    weights = [poisson_weight(hex_uniform(F.col("__key"), w)).alias(f"__w{w}") for w in range(4)]
-    weighted = keyed.select(*by, "__x", "__block", *weights)
-    sums = weighted.filter(F.col("__x").isNotNull()).groupBy(*by, "__block").agg(
+    # Uniforms and weights have projections of their own: each is used often.
+    uniforms = keyed.select(
+        *by, "__x", "__block", *[hex_uniform(F.col("__key"), w).alias(f"__u{w}") for w in range(4)]
+    )
+    weighted = uniforms.select(
+        *by, "__x", "__block", *[poisson_weight(F.col(f"__u{w}")).alias(f"__w{w}") for w in range(4)]
+    )
+    sums = weighted.groupBy(*by, "__block").agg(
         *[
-            F.try_divide(F.sum(F.col("__x") * F.col(f"__w{w}")), F.sum(f"__w{w}")).alias(f"m{w}")
+            F.try_divide(F.sum(x * F.col(f"__w{w}")), F.sum(f"__w{w}")).alias(f"m{w}")
             for w in range(4)
-        ]
+        ],
+        F.avg(x).alias("__centre"),
     )
     means = sums.select(
         *by,
-        F.posexplode(F.array(*[F.col(f"m{w}") for w in range(4)])).alias("__pos", "__mean"),
         "__block",
+        "__centre",
+        F.posexplode(F.array(*[F.col(f"m{w}") for w in range(4)])).alias("__pos", "__mean"),
     ).filter(F.col("__block") * 4 + F.col("__pos") < draws)
     tail = (1 - level) / 2
     limits = F.percentile("__mean", F.array(F.lit(tail), F.lit(1 - tail)))
-    interval = means.groupBy(*by).agg(limits.alias("__limits")).select(
+    return means.groupBy(*by).agg(
+        F.min_by("__centre", "__block").alias("mean"), limits.alias("__limits")
+    ).select(
         *by,
+        "mean",
         F.get("__limits", F.lit(0)).alias("ci_low"),
         F.get("__limits", F.lit(1)).alias("ci_high"),
     )
-    centre = rows.groupBy(*by).agg(F.avg("__x").alias("mean"))
-    return centre.join(interval, by, "left")
 
 
 def model_means(results: DataFrame, metrics, by, row_id: str, draws: int = 1000) -> DataFrame:

@@ -14,6 +14,8 @@ from foldsmith.queries.base import (
     query,
     r6,
     results,
+    rounded,
+    sr6,
     table,
     written,
 )
@@ -227,12 +229,13 @@ def fold_dataset(spark, sf_dir):
 
 @query(
     "select_results",
-    f"""SELECT model_name, round(accuracy, 4) + 0.0 AS accuracy, dataset_id FROM ({RESULTS_SRC})
-WHERE accuracy <> 0.5""",
+    f"""SELECT model_name, {sr6('accuracy')} AS accuracy, dataset_id FROM ({RESULTS_SRC})
+WHERE accuracy >= 0.4001""",
 )
 def select_results(spark, sf_dir):
     df = results(spark, sf_dir).withColumn(
-        "accuracy", F.when(F.col("accuracy") == 0.5, float("nan")).otherwise(F.col("accuracy"))
+        "accuracy", F.when(F.col("accuracy") < 0.4001, float("nan")).otherwise(F.col("accuracy"))
     )
-    return S.select_results(df, "accuracy", keys=("model_name", "dataset_id"))
+    out = S.select_results(df, "accuracy", keys=("model_name", "dataset_id"))
+    return rounded(out, ["accuracy"])
 

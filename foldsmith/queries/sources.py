@@ -14,6 +14,8 @@ from foldsmith.queries.base import (
     log,
     query,
     results,
+    rounded,
+    sr6,
     table,
     u_sql,
 )
@@ -91,14 +93,19 @@ def sink_results(spark, sf_dir):
     return stored.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("runs"))
 
 
-@query("src_results", RESULTS_SRC)
+@query(
+    "src_results",
+    f"""SELECT random_state, dataset_id, fold, model_name, augmentation, {sr6('accuracy')} AS accuracy,
+  {sr6('f1')} AS f1, {sr6('time_predict')} AS time_predict, n_lines FROM ({RESULTS_SRC})""",
+)
 def src_results(spark, sf_dir):
-    return R.load_results(spark, _stored(spark, sf_dir, "results")).select(*COLUMNS)
+    stored = R.load_results(spark, _stored(spark, sf_dir, "results")).select(*COLUMNS)
+    return rounded(stored, ["accuracy", "f1", "time_predict"])
 
 
 @query(
     "run_resume",
-    f"""WITH r AS ({RESULTS_SRC}), stored AS (SELECT * FROM r WHERE accuracy >= 0.5)
+    f"""WITH r AS ({RESULTS_SRC}), stored AS (SELECT * FROM r WHERE accuracy >= 0.6001)
 SELECT random_state, dataset_id, fold, model_name, augmentation FROM r
 WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.random_state = r.random_state
   AND s.dataset_id = r.dataset_id AND s.fold = r.fold AND s.model_name = r.model_name
@@ -107,7 +114,7 @@ WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.random_state = r.random_state
 def run_resume(spark, sf_dir):
     path = new_path(spark, "partial-results")
     everything = results(spark, sf_dir)
-    R.store_results(everything.filter("accuracy >= 0.5"), path)
+    R.store_results(everything.filter("accuracy >= 0.6001"), path)
     return R.pending_runs(everything.select(*RESULT_KEYS), R.load_results(spark, path))
 
 
@@ -150,7 +157,7 @@ def log_pivot(spark, sf_dir):
 @query(
     "sink_eval_json",
     f"""WITH leaf AS (SELECT random_state, dataset_id, fold, model_name AS model,
-  '[' || string_agg('{{"accuracy":' || CAST(accuracy AS VARCHAR) || ',"f1":' || CAST(f1 AS VARCHAR) || '}}',
+  '[' || string_agg('{{"accuracy":' || CAST(round(accuracy, 4) AS VARCHAR) || ',"f1":' || CAST(round(f1, 4) AS VARCHAR) || '}}',
   ',' ORDER BY augmentation) || ']' AS body FROM ({RESULTS_SRC}) GROUP BY 1, 2, 3, 4),
 fld AS (SELECT random_state, dataset_id, fold, '{{' || string_agg('"' || model || '":' || body, ','
   ORDER BY '"' || model || '":' || body) || '}}' AS body FROM leaf GROUP BY 1, 2, 3)
@@ -165,7 +172,7 @@ def sink_eval_json(spark, sf_dir):
         "fold",
         F.col("model_name").alias("model"),
         F.col("augmentation").alias("step"),
-        "accuracy",
-        "f1",
+        F.round("accuracy", 4).alias("accuracy"),
+        F.round("f1", 4).alias("f1"),
     )
     return R.results_json(steps, ["accuracy", "f1"])
