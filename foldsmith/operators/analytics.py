@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.functions.hashing import hash_key, hex_uniform
+from foldsmith.functions.hashing import hash_key
 from foldsmith.operators.stats import unpivot
 
 # Fixed value: 97.5 % point of the standard normal distribution.
@@ -19,11 +19,18 @@ POISSON_CDF = tuple(
 )
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw from a uniform: the number of CDF steps below it."""
+def poisson_weight(word: Column) -> Column:
+    """Poisson(1) draw from eight hex digits of a digest.
+
+    With ``u = (number + 0.5) / 2**32`` the draw is the number of CDF steps
+    below ``u``. Hex text of one width orders like the numbers, so the steps are
+    compared as text and no digit is parsed.
+    """
     out = F.lit(0)
     for step in POISSON_CDF:
-        out = out + F.when(u > step, 1).otherwise(0)
+        first = math.floor(step * 2**32 - 0.5) + 1
+        if first < 2**32:
+            out = out + F.when(word >= F.lit(f"{first:08x}"), 1).otherwise(0)
     return out
 
 
@@ -51,11 +58,14 @@ def bootstrap_ci(
         .select(*by, "__x", row_id, blocks.alias("__block"))
         .select(*by, "__x", "__block", hash_key(seed, "__block", row_id).alias("__key"))
     )
-    # Uniforms and weights have projections of their own: each is used often.
-    uniforms = keyed.select(
-        *by, "__x", "__block", *[hex_uniform(F.col("__key"), w).alias(f"__u{w}") for w in range(4)]
+    # Words and weights have projections of their own: each is used often.
+    words = keyed.select(
+        *by,
+        "__x",
+        "__block",
+        *[F.substring("__key", 1 + 8 * w, 8).alias(f"__u{w}") for w in range(4)],
     )
-    weighted = uniforms.select(
+    weighted = words.select(
         *by, "__x", "__block", *[poisson_weight(F.col(f"__u{w}")).alias(f"__w{w}") for w in range(4)]
     )
     sums = weighted.groupBy(*by, "__block").agg(
