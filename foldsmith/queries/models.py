@@ -1 +1,146 @@
+"""Models, scoring, experiment grid, search."""
 
+import numpy as np
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.sql import functions as F
+
+from foldsmith.operators import models as M
+from foldsmith.plans import experiment as X
+from foldsmith.plans.preprocess import Preprocessor
+from foldsmith.queries.base import (
+    ORDERS,
+    orders_folds,
+    query,
+    r6,
+    sr6,
+    table,
+    written,
+)
+from foldsmith.queries.neighbours import POINT_NEAR, POINTS, POINTS_FOLDS, point_folds
+from foldsmith.session import new_path
+
+
+def prepared(spark, sf_dir):
+    raw = written(orders_folds(spark, sf_dir), "order-folds")
+    model = Preprocessor(ORDERS, transform="none").fit(raw)
+    return written(model.transform(raw), "prepared"), model.output_spec
+
+
+def _fold_scores(spark, sf_dir, name, **options):
+    df, spec = prepared(spark, sf_dir)
+    out = None
+    for fold in range(5):
+        part = df.filter(F.col("fold_id") == fold)
+        train, test = part.filter("role = 'train'"), part.filter("role = 'test'")
+        predictions, _ = M.fit_predict(M.MODELS[name](**options), train, test, spec)
+        predictions = predictions.withColumn("fold_id", F.lit(fold))
+        out = predictions if out is None else out.unionByName(predictions)
+    return out
+
+
+def _flat(predictions, row_id):
+    return predictions.select(
+        row_id, "fold_id", "y_true", *[r6(F.col("probs")[i]).alias(f"p{i}") for i in range(3)]
+    )
+
+
+@query("model_rf")
+def model_rf(spark, sf_dir):
+    return _flat(_fold_scores(spark, sf_dir, "random_forest", trees=20, depth=5), "o_orderkey")
+
+
+@query("model_dt")
+def model_dt(spark, sf_dir):
+    return _flat(_fold_scores(spark, sf_dir, "decision_tree", depth=5), "o_orderkey")
+
+
+@query("fit_predict")
+def fit_predict(spark, sf_dir):
+    scores = _fold_scores(spark, sf_dir, "decision_tree", depth=5)
+    return M.metrics_all(scores, ["fold_id"])
+
+
+@query("timing")
+def timing(spark, sf_dir):
+    df, spec = prepared(spark, sf_dir)
+    part = df.filter("fold_id = 0")
+    scores = M.evaluate(
+        M.MODELS["decision_tree"](depth=5),
+        part.filter("role = 'train'"),
+        part.filter("role = 'test'"),
+        spec,
+    )
+    rows = [(m, float(v)) for m, v in scores.items() if v is not None]
+    return spark.createDataFrame(rows, "metric string, value double")
+
+
+@query(
+    "model_context_knn",
+    f"""WITH {POINTS_FOLDS}, {POINT_NEAR}, w AS (SELECT fold_id, q_id,
+  sum(CASE WHEN label = 1 THEN 1 / (distance + 1e-6) ELSE 0 END) / sum(1 / (distance + 1e-6)) AS p1
+  FROM near GROUP BY 1, 2)
+SELECT f.fold_id, c_custkey, label AS y_true, {sr6('1 - p1')} AS p0, {sr6('p1')} AS p1
+FROM w JOIN folds f ON w.fold_id = f.fold_id AND w.q_id = f.c_custkey""",
+)
+def model_context_knn(spark, sf_dir):
+    df = point_folds(spark, sf_dir)
+    scored = M.context_knn(
+        df.filter("role = 'test'"), df.filter("role = 'train'"), POINTS, classes=2
+    )
+    p = F.col("probs")
+    return scored.select(
+        "fold_id", "c_custkey", "y_true", r6(p[0]).alias("p0"), r6(p[1]).alias("p1")
+    )
+
+
+def softmax_model(x: np.ndarray) -> np.ndarray:
+    """A supplied model: fixed linear scores of two classes."""
+    score = 0.4 * x[:, 0] - 0.1 * x[:, 1] - 1.0
+    p = 1.0 / (1.0 + np.exp(-score))
+    return np.column_stack([1 - p, p])
+
+
+@query(
+    "score_external",
+    f"""SELECT c_custkey, {sr6('1 - 1 / (1 + exp(-(0.4 * c_acctbal / 1000 - 0.1 * c_nationkey - 1)))')} AS p0,
+  {sr6('1 / (1 + exp(-(0.4 * c_acctbal / 1000 - 0.1 * c_nationkey - 1)))')} AS p1 FROM customer""",
+)
+def score_external(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_acctbal") / 1000).alias("balance"), "c_nationkey"
+    )
+    scored = M.score_external(df, ["balance", "c_nationkey"], softmax_model, ["c_custkey"])
+    p = F.col("probs")
+    return scored.select("c_custkey", r6(p[0]).alias("p0"), r6(p[1]).alias("p1"))
+
+
+@query("experiment_grid")
+def experiment_grid(spark, sf_dir):
+    df, spec = prepared(spark, sf_dir)
+    models = {"decision_tree": lambda seed: M.MODELS["decision_tree"](seed=seed, depth=5)}
+    grid = X.run_grid(spark, [42], [0], range(5), models, ["none"])
+    path = new_path(spark, "experiment")
+    done = X.run_experiments(grid.filter("fold < 2"), lambda *_: (df, spec), path, models)
+    assert done.count() == 2
+    return X.run_experiments(grid, lambda *_: (df, spec), path, models)
+
+
+@query("hp_search")
+def hp_search(spark, sf_dir):
+    df, spec = prepared(spark, sf_dir)
+    part = df.filter("fold_id = 0")
+    space = {
+        "max_depth": ("int", 2, 6),
+        "min_gain": ("loguniform", 1e-6, 1e-3),
+        "max_bins": ("choice", 8, 16, 32),
+    }
+    candidates = X.search_candidates(spark, space, 4)
+
+    def make(trial):
+        return DecisionTreeClassifier(
+            maxDepth=trial["max_depth"], minInfoGain=trial["min_gain"], maxBins=trial["max_bins"]
+        )
+
+    return X.search(
+        candidates, make, part.filter("role = 'train'"), part.filter("role = 'val'"), spec
+    )
