@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,13 +29,40 @@ def argmax(a: Column) -> Column:
 def upper_bound(sorted_array: Column, value: Column, steps: int = 10) -> Column:
     """Number of elements ``<= value`` in an ascending array of fewer than
     ``2 ** steps`` elements: a binary search of ``steps`` comparisons."""
-    size = F.size(sorted_array)
 
     def step(found: Column, width: Column) -> Column:
         probe = found + width
-        return F.when(
-            (probe <= size) & (F.get(sorted_array, probe - 1) <= value), probe
-        ).otherwise(found)
+        # Past the end ``get`` is NULL, which is not ``<=``.
+        return F.when(F.get(sorted_array, probe - 1) <= value, probe).otherwise(found)
 
     widths = F.array(*[F.lit(1 << i) for i in reversed(range(steps))])
     return F.aggregate(widths, F.lit(0), step)
+
+
+def with_upper_bound(
+    df: DataFrame, searches: dict[str, tuple[Column, Column]], size: int
+) -> DataFrame:
+    """Add, per name, the number of elements ``<= value`` of an ascending array
+    of at most ``size`` elements.
+
+    Three projections narrow the position by comparing against evenly spaced
+    elements. Unlike a higher-order function they stay in generated code, and
+    the arrays are not copied from one operator to the next.
+    """
+    radix = 2
+    while radix**3 <= size:
+        radix += 1
+    for round_ in range(3):
+        width = radix ** (2 - round_)
+        columns = []
+        for name, (array, value) in searches.items():
+            found = F.lit(0) if round_ == 0 else F.col(f"__{round_ - 1}_{name}")
+            more = [
+                F.when(F.get(array, found + (i * width - 1)) <= value, width).otherwise(0)
+                for i in range(1, radix)
+            ]
+            columns.append(reduce(lambda a, b: a + b, more, found).alias(f"__{round_}_{name}"))
+        df = df.select("*", *columns)
+    return df.withColumnsRenamed({f"__2_{n}": n for n in searches}).drop(
+        *[f"__{r}_{n}" for r in range(2) for n in searches]
+    )

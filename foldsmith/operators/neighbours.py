@@ -27,6 +27,9 @@ from foldsmith.session import materialize
 # Most pivots: a pivot table of this many vectors travels with each task.
 MAX_PIVOTS = 512
 
+# Training rows per pivot, until the number of pivots reaches its maximum.
+PIVOT_ROWS = 4_000
+
 # Rows of one block of a cell: the most a task holds of either side.
 TRAIN_BLOCK = 20_000
 QUERY_BLOCK = 4_000
@@ -69,21 +72,24 @@ def vector(columns) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
 
 
-def unit_vector(v: Column, side: str) -> Column:
-    """Vector of length 1 whose Euclidean distance orders like cosine distance.
+def with_unit_vector(df: DataFrame, side: str) -> DataFrame:
+    """Scale ``vec`` to length 1; Euclidean then orders like cosine distance.
 
     A zero vector has similarity 0 to everything; one extra coordinate per side
-    puts it at right angles to all others.
+    puts it at right angles to all others. The length is computed once per row,
+    in a projection of its own.
     """
-    v = v.cast("array<double>")
-    length = norm(v)
-    zero = length == 0
+    v = F.col("vec").cast("array<double>")
+    measured = df.withColumn("vec", v).withColumn("__length", norm(F.col("vec")))
+    zero = F.col("__length") == 0
     extra = [
         F.when(zero, 1.0).otherwise(0.0) if side == s else F.lit(0.0)
         for s in ("query", "train")
     ]
-    scaled = F.transform(v, lambda x: x / F.when(zero, 1.0).otherwise(length))
-    return F.concat(scaled, F.array(*extra))
+    divisor = F.when(zero, 1.0).otherwise(F.col("__length"))
+    scaled = measured.withColumn("__divisor", divisor)
+    unit = F.transform("vec", lambda x: x / F.col("__divisor"))
+    return scaled.withColumn("vec", F.concat(unit, F.array(*extra))).drop("__length", "__divisor")
 
 
 @dataclass(frozen=True)
@@ -226,7 +232,7 @@ def _blocked_join(
     if total[0] is None or (reach is None and total[1] < k):
         raise ValueError(f"{k} neighbours asked for, {total[1] or 0} training rows given")
     if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, math.ceil(math.sqrt(total[0]) / 4)))
+        pivots = min(MAX_PIVOTS, math.ceil(total[0] / PIVOT_ROWS))
     # At most MAX_PIVOTS vectors come to the driver.
     chosen = train.orderBy(hash_key("pivot", *by, "s_id"), "s_id").limit(pivots).collect()
     points = np.unique(np.array([r.vec for r in chosen], dtype=float), axis=0)
@@ -325,8 +331,8 @@ def knn_join(
     """
     by = list(by)
     if metric == "cosine":
-        queries = queries.withColumn("vec", unit_vector(F.col("vec"), "query"))
-        train = train.withColumn("vec", unit_vector(F.col("vec"), "train"))
+        queries = with_unit_vector(queries, "query")
+        train = with_unit_vector(train, "train")
         p = 2
     elif metric == "minkowski":
         if p < 1:
@@ -351,12 +357,8 @@ def cosine_similarity(
     The threshold bounds the result: cells beyond its radius are not visited.
     A vector of length zero has no similarity and no pairs.
     """
-    queries = queries.filter(norm(F.col("vec").cast("array<double>")) > 0).withColumn(
-        "vec", unit_vector(F.col("vec"), "query")
-    )
-    train = train.filter(norm(F.col("vec").cast("array<double>")) > 0).withColumn(
-        "vec", unit_vector(F.col("vec"), "train")
-    )
+    queries = with_unit_vector(queries.filter(norm(F.col("vec").cast("array<double>")) > 0), "query")
+    train = with_unit_vector(train.filter(norm(F.col("vec").cast("array<double>")) > 0), "train")
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * min_similarity)) * (1 + SLACK) + SLACK
     found = _blocked_join(queries, train, 1, 2, by, reach)
     similarity = 1 - F.col("distance") * F.col("distance") / 2

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.functions.arrays import upper_bound
+from foldsmith.functions.arrays import with_upper_bound
 from foldsmith.functions.hashing import hash_key
 
 # Leading hex digits of the digest that name a range: 16**3 ranges per group.
@@ -118,11 +118,9 @@ def value_ranges(df: DataFrame, by, order: str, ranges: int = VALUE_RANGES) -> D
     if not by:
         whole = df.withColumn("__whole", F.lit(0))
         return value_ranges(whole, ["__whole"], order, ranges).drop("__whole")
-    steps = max(1, ranges.bit_length())
     out = attach(df, value_splits(df, by, order, ranges), by, "left")
-    return out.withColumn(
-        "__range",
-        F.coalesce(upper_bound(F.col("__splits"), F.col(order), steps), F.lit(0)),
+    return with_upper_bound(
+        out, {"__range": (F.col("__splits"), F.col(order))}, ranges
     ).drop("__splits")
 
 

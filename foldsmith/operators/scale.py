@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.functions.arrays import upper_bound
+from foldsmith.functions.arrays import with_upper_bound
 from foldsmith.functions.normal import with_inverse_normal
 from foldsmith.operators.stats import (
     FOLD,
@@ -100,16 +100,11 @@ def quantile_normal(
     """Empirical CDF by interpolation, then the normal quantile. NULL stays."""
     if maps is None:
         maps = fit_quantile_normal(df, columns, n_quantiles)
-    steps = max(1, n_quantiles.bit_length())
-    wide = with_stats(df, maps)
-    found = wide.select(
-        "*",
-        *[
-            upper_bound(F.col(f"{c}__map.v"), F.col(c).cast("double"), steps).alias(f"{c}__at")
-            for c in columns
-        ],
+    found = with_upper_bound(
+        with_stats(df, maps),
+        {f"{c}__at": (F.col(f"{c}__map.v"), F.col(c).cast("double")) for c in columns},
+        n_quantiles,
     )
-    # The position is referenced several times, so it has a projection of its own.
     placed = found.select(
         *df.columns, *[_probability(c).alias(f"{c}__p") for c in columns]
     )

@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldsmith.functions.hashing import hash_key, uniform
 from foldsmith.operators.ranking import attach, hash_rank, value_ranges
 
+# Classes of a target column; more than this is not a classification target.
+MAX_CLASSES = 100_000
+
 # Sample sizes up to here use a top-n; larger ones use the distributed rank.
 TOP_N_ROWS = 100_000
 
 
-def class_table(df: DataFrame, target: str) -> DataFrame:
-    """Rows per class and the running sum of the classes before it."""
-    before = Window.orderBy(target).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.groupBy(target)
-        .agg(F.count(F.lit(1)).alias("n_class"))
-        .select(
-            target,
-            "n_class",
-            F.coalesce(F.sum("n_class").over(before), F.lit(0)).alias("class_offset"),
-        )
-    )
+def class_counts(df: DataFrame, *keys) -> list[tuple]:
+    """``(class, ..., rows)`` in class order. A column-pruned, map-side combined
+    count; its result is refused beyond ``MAX_CLASSES`` rows."""
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: not a classification target")
+    return sorted((tuple(r) for r in rows), key=lambda r: [(v is not None, v) for v in r])
+
+
+def _class_table(df: DataFrame, target: str, rows, fields: list[T.StructField]) -> DataFrame:
+    """Per-class numbers as a local table of checked size."""
+    return df.sparkSession.createDataFrame(rows, T.StructType([df.schema[target], *fields]))
+
+
+def _running(counts: list[int]) -> list[int]:
+    return [0, *itertools.accumulate(counts)][: len(counts)]
 
 
 def stratified_kfold(
     df: DataFrame, target: str, row_id: str, k: int = 5, seed=42
 ) -> DataFrame:
     """Add ``fold_id``: k disjoint test sets, balanced by class and in size."""
-    extra = class_table(df, target).select(target, "class_offset")
+    counts = class_counts(df, target)
+    offsets = _running([n for _, n in counts])
+    extra = _class_table(
+        df,
+        target,
+        [(y, o) for (y, _), o in zip(counts, offsets, strict=True)],
+        [T.StructField("class_offset", T.LongType())],
+    )
     ranked = hash_rank(df, seed, row_id, [target], rank="__rank", extra=extra)
     fold = F.pmod(F.col("class_offset") + F.col("__rank") - 1, F.lit(k))
     return ranked.withColumn("fold_id", fold.cast("int")).drop("__rank", "class_offset")
@@ -42,33 +60,18 @@ def _in_fold_before(position: Column, offset: Column, fold: Column, k: int) -> C
     return F.greatest(F.lit(0), F.floor((position - first + k - 1) / F.lit(k)))
 
 
-def validation_quota(counts: DataFrame, group, target: str, val_size: float) -> DataFrame:
+def validation_quota(rest: list[int], n_table: int, val_size: float) -> list[int]:
     """Validation rows per class: the share of the whole table, split over the
-    classes by largest remainder.
-
-    ``counts`` holds ``group``, the class, its rows outside the test set
-    (``n_rest``) and the size of the whole table (``n_table``).
-    """
-    group = list(group)
-    whole = Window.partitionBy(*group)
-    by_remainder = whole.orderBy(F.desc("__rem"), target)
-    wanted = F.ceil(F.round(F.lit(val_size) * F.col("n_table"), 9))
-    # 37 digits: the product of two row counts does not fit a long at scale.
-    share = F.col("__wanted").cast("decimal(18,0)") * F.col("n_rest").cast("decimal(18,0)")
-    return (
-        counts.withColumn("__rest", F.sum("n_rest").over(whole))
-        .withColumn("__wanted", F.least(wanted, F.col("__rest")))
-        .withColumn("__share", share)
-        .withColumn("__base", F.expr("__share div __rest"))
-        .withColumn("__rem", F.col("__share") - F.col("__base") * F.col("__rest"))
-        .withColumn("__left", F.col("__wanted") - F.sum("__base").over(whole))
-        .withColumn("__place", F.row_number().over(by_remainder))
-        .withColumn(
-            "quota",
-            F.col("__base") + F.when(F.col("__place") <= F.col("__left"), 1).otherwise(0),
-        )
-        .drop("__rest", "__wanted", "__share", "__base", "__rem", "__left", "__place")
-    )
+    rows outside the test set by largest remainder."""
+    total = sum(rest)
+    wanted = min(math.ceil(round(val_size * n_table, 9)), total)
+    if not total:
+        return [0] * len(rest)
+    quota = [wanted * n // total for n in rest]
+    by_remainder = sorted(range(len(rest)), key=lambda i: (-(wanted * rest[i] % total), i))
+    for i in by_remainder[: wanted - sum(quota)]:
+        quota[i] += 1
+    return quota
 
 
 def stratified_holdout(
@@ -82,19 +85,17 @@ def stratified_holdout(
     """Add ``role``: rows where ``test`` holds are the test set; of the others
     a stratified ``val_size`` share of the whole table becomes validation."""
     marked = df.withColumn("__test", test)
-    counts = (
-        marked.groupBy(target)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.sum(F.when(F.col("__test"), 0).otherwise(1)).alias("n_rest"),
-        )
-        .withColumn("n_table", F.sum("__n").over(Window.partitionBy()))
-    )
-    quota = validation_quota(counts, [], target, val_size).select(
-        target, "quota", F.lit(False).alias("__test")
-    )
-    extra = quota.unionByName(
-        counts.select(target, F.lit(0).alias("quota"), F.lit(True).alias("__test"))
+    counts = class_counts(marked, target, "__test")
+    rest = [(y, n) for y, is_test, n in counts if not is_test]
+    n_table = sum(n for *_, n in counts)
+    quota = validation_quota([n for _, n in rest], n_table, val_size)
+    rows = [(y, False, q) for (y, _), q in zip(rest, quota, strict=True)]
+    rows += [(y, True, 0) for y, is_test, _ in counts if is_test]
+    extra = _class_table(
+        marked,
+        target,
+        rows,
+        [marked.schema["__test"], T.StructField("quota", T.LongType())],
     )
     ranked = hash_rank(
         marked, seed, row_id, [target, "__test"], rank="__rank", extra=extra
@@ -122,25 +123,25 @@ def kfold_long(
     no fold needs a shuffle of its own. Validation windows are shifted by one
     quota per fold, so the folds validate on different rows.
     """
-    folds = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold_id")
-    classes = class_table(df, target)
-    per_fold = (
-        classes.withColumn("n_table", F.sum("n_class").over(Window.partitionBy()))
-        .select("*", folds)
-        .withColumn(
-            "n_rest",
-            F.col("n_class")
-            - _in_fold_before(F.col("n_class"), F.col("class_offset"), F.col("fold_id"), k),
-        )
-    )
-    quotas = (
-        validation_quota(per_fold, ["fold_id"], target, val_size)
-        .groupBy(target, "class_offset")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("fold_id", "quota", "n_rest"))).alias(
-                "__folds"
-            )
-        )
+    counts = class_counts(df, target)
+    sizes = [n for _, n in counts]
+    offsets = _running(sizes)
+    n_table = sum(sizes)
+    folds: list[list] = [[] for _ in counts]
+    for fold in range(k):
+        rest = [
+            n - max(0, (n - (fold - o) % k + k - 1) // k)
+            for n, o in zip(sizes, offsets, strict=True)
+        ]
+        quota = validation_quota(rest, n_table, val_size)
+        for c in range(len(counts)):
+            folds[c].append((fold, quota[c], rest[c]))
+    entry = T.ArrayType(T.StructType.fromDDL("fold_id int, quota bigint, n_rest bigint"))
+    quotas = _class_table(
+        df,
+        target,
+        [(y, o, f) for (y, _), o, f in zip(counts, offsets, folds, strict=True)],
+        [T.StructField("class_offset", T.LongType()), T.StructField("__folds", entry)],
     )
     ranked = hash_rank(df, seed, row_id, [target], rank="__rank", extra=quotas)
     long = ranked.select("*", F.explode("__folds").alias("__fold")).select(

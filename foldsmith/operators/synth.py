@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.functions.arrays import dot, upper_bound
+from foldsmith.functions.arrays import dot, with_upper_bound
 from foldsmith.functions.hashing import uniform
 from foldsmith.functions.normal import inverse_normal
 from foldsmith.operators.clean import impute_synth_prep
@@ -66,8 +66,11 @@ class CopulaModel:
     aggregate. Only features x features correlations reach the driver.
     """
 
-    def __init__(self, spec: TableSpec, by, marginals: DataFrame, classes: DataFrame):
+    def __init__(
+        self, spec: TableSpec, by, marginals: DataFrame, classes: DataFrame, n_quantiles: int
+    ):
         self.spec = spec
+        self.n_quantiles = n_quantiles
         self.by = list(by)
         self.marginals = marginals
         self.classes = classes
@@ -105,7 +108,7 @@ class CopulaModel:
         for part in parts[1:]:
             marginals = attach(marginals, part, keys)
         marginals = materialize(marginals, "marginals")
-        factors = _factors(df, marginals, spec, keys)
+        factors = _factors(df, marginals, spec, keys, n_quantiles)
         classes = (
             df.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n"))
@@ -114,7 +117,7 @@ class CopulaModel:
                 F.array_sort(F.collect_list(F.struct(spec.target, "n"))).alias("__classes")
             )
         )
-        return cls(spec, by, attach(marginals, factors, keys), classes)
+        return cls(spec, by, attach(marginals, factors, keys), classes, n_quantiles)
 
     def sample(self, wanted: DataFrame, seed=42) -> DataFrame:
         """``n`` new rows per group; ``wanted`` holds the group columns and ``n``.
@@ -154,16 +157,15 @@ class CopulaModel:
                 for i, c in enumerate(features)
             ],
         )
-        placed = correlated.select(
-            "*",
-            *[
-                upper_bound(F.col(f"{c}__map.z_hi"), F.col(f"{c}__y"), 10).alias(f"{c}__at")
-                for c in spec.numeric
-            ],
-            *[
-                upper_bound(F.col(f"{c}__cat.z"), F.col(f"{c}__y"), 14).alias(f"{c}__at")
-                for c in spec.categorical
-            ],
+        placed = with_upper_bound(
+            correlated,
+            {f"{c}__at": (F.col(f"{c}__map.z_hi"), F.col(f"{c}__y")) for c in spec.numeric},
+            self.n_quantiles,
+        )
+        placed = with_upper_bound(
+            placed,
+            {f"{c}__at": (F.col(f"{c}__cat.z"), F.col(f"{c}__y")) for c in spec.categorical},
+            MAX_CATEGORIES,
         )
         return placed.select(
             *by,
@@ -247,19 +249,22 @@ def _category_marginals(df: DataFrame, keys, categorical) -> DataFrame:
     )
 
 
-def _factors(df: DataFrame, marginals: DataFrame, spec: TableSpec, keys) -> DataFrame:
+def _factors(
+    df: DataFrame, marginals: DataFrame, spec: TableSpec, keys, n_quantiles: int
+) -> DataFrame:
     """Cholesky factor of the correlation of normal scores, one per group and class."""
     numeric, categorical = list(spec.numeric), list(spec.categorical)
     features = [*numeric, *categorical]
-    wide = attach(df.select(*keys, *features), marginals, keys)
+    wide = with_upper_bound(
+        attach(df.select(*keys, *features), marginals, keys),
+        {f"{c}__at": (F.col(f"{c}__map.v"), F.col(c).cast("double")) for c in numeric},
+        n_quantiles,
+    )
     placed = wide.select(
         *keys,
         *[f"{c}__map" for c in numeric],
         *numeric,
-        *[
-            upper_bound(F.col(f"{c}__map.v"), F.col(c).cast("double"), 10).alias(f"{c}__at")
-            for c in numeric
-        ],
+        *[f"{c}__at" for c in numeric],
         *[
             F.get(
                 F.col(f"{c}__cat.mid"),
