@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pad(vector: Column, width: int = 100) -> Column:
     """Fixed-width vector: zeros on the right, surplus cut off."""
     return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), width)), 1, width)

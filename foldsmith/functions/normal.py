@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldsmith.functions.arrays import let
+
 # Coefficients of algorithm AS 241 (PPND16), Wichura 1988,
 # numerator and denominator polynomials from the highest power down.
 CENTRAL_NUM = (
@@ -46,11 +48,6 @@ def _poly(coefficients, x: Column) -> Column:
     return acc
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _argument(q: Column, r: Column) -> Column:
     """Variable of the polynomials: central, middle or tail."""
     return (
@@ -64,8 +61,8 @@ def _ratio(q: Column, r: Column, t: Column) -> Column:
     sign = F.when(q < 0, -1.0).otherwise(1.0)
     return (
         F.when(F.abs(q) <= 0.425, q * _poly(CENTRAL_NUM, t) / _poly(CENTRAL_DEN, t))
-        .when(r <= 5.0, sign * _poly(MIDDLE_NUM, t) / _poly(MIDDLE_DEN, t))
-        .otherwise(sign * _poly(TAIL_NUM, t) / _poly(TAIL_DEN, t))
+        .when(r <= 5.0, sign * (_poly(MIDDLE_NUM, t) / _poly(MIDDLE_DEN, t)))
+        .otherwise(sign * (_poly(TAIL_NUM, t) / _poly(TAIL_DEN, t)))
     )
 
 
@@ -78,39 +75,47 @@ def inverse_normal(p: Column) -> Column:
 
     def of(x: Column) -> Column:
         q = x - F.lit(0.5)
-        return _let(_radius(x), lambda r: _let(_argument(q, r), lambda t: _ratio(q, r, t)))
+        return let(_radius(x), lambda r: let(_argument(q, r), lambda t: _ratio(q, r, t)))
 
-    return _let(p, of)
+    return let(p, of)
+
+
+# Columns whose quantiles are computed in one generated method. A method of
+# more than 8000 bytes of code is never compiled by the JVM.
+CODEGEN_COLUMNS = 4
 
 
 def with_inverse_normal(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add normal quantiles of several probabilities.
+    """Add normal quantiles of several probabilities; NULL stays NULL.
 
-    Each step is a projection of its own, which keeps the generated code short
-    and inside whole-stage code generation; the form to use on many rows.
+    For few columns each step is a projection of its own inside whole-stage
+    code generation, on values that cannot be NULL, which keeps the code short.
+    For many columns the expression form is used, which generates no code.
     """
     names = list(columns)
-    helpers = [f"__{part}_{n}" for n in names for part in "pqrt"]
+    if len(names) > CODEGEN_COLUMNS:
+        out = df.select("*", *[columns[n].alias(f"__p_{n}") for n in names])
+        return out.select(
+            "*", *[inverse_normal(F.col(f"__p_{n}")).alias(n) for n in names]
+        ).drop(*[f"__p_{n}" for n in names])
+    half = F.lit(0.5)
     out = df.select("*", *[columns[n].alias(f"__p_{n}") for n in names])
+    p = {n: F.coalesce(F.col(f"__p_{n}"), half) for n in names}
     out = out.select(
         "*",
-        *[(F.col(f"__p_{n}") - F.lit(0.5)).alias(f"__q_{n}") for n in names],
-        *[_radius(F.col(f"__p_{n}")).alias(f"__r_{n}") for n in names],
+        *[(p[n] - half).alias(f"__q_{n}") for n in names],
+        *[F.coalesce(_radius(p[n]), half).alias(f"__r_{n}") for n in names],
     )
     out = out.select(
         "*",
         *[_argument(F.col(f"__q_{n}"), F.col(f"__r_{n}")).alias(f"__t_{n}") for n in names],
     )
+    scores = {
+        n: _ratio(F.col(f"__q_{n}"), F.col(f"__r_{n}"), F.col(f"__t_{n}")) for n in names
+    }
     return out.select(
-        "*",
-        *[
-            F.when(
-                F.col(f"__p_{n}").isNotNull(),
-                _ratio(F.col(f"__q_{n}"), F.col(f"__r_{n}"), F.col(f"__t_{n}")),
-            ).alias(n)
-            for n in names
-        ],
-    ).drop(*helpers)
+        "*", *[F.when(F.col(f"__p_{n}").isNotNull(), scores[n]).alias(n) for n in names]
+    ).drop(*[f"__{part}_{n}" for n in names for part in "pqrt"])
 
 
 def _poly_sql(coefficients, x: str) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.functions.arrays import with_upper_bound
+from foldsmith.functions.arrays import let, upper_bound
 from foldsmith.functions.normal import with_inverse_normal
 from foldsmith.operators.stats import (
     FOLD,
@@ -97,32 +99,57 @@ def fit_quantile_normal(df: DataFrame, columns, n_quantiles: int = 1000) -> Data
 def quantile_normal(
     df: DataFrame, columns, maps: DataFrame | None = None, n_quantiles: int = 1000
 ) -> DataFrame:
-    """Empirical CDF by interpolation, then the normal quantile. NULL stays."""
+    """Empirical CDF by interpolation, then the normal quantile. NULL stays.
+
+    The maps, at most ``n_quantiles`` numbers per fold and column, enter the
+    plan as literals: as joined columns they would be copied with every row.
+    """
     if maps is None:
         maps = fit_quantile_normal(df, columns, n_quantiles)
-    found = with_upper_bound(
-        with_stats(df, maps),
-        {f"{c}__at": (F.col(f"{c}__map.v"), F.col(c).cast("double")) for c in columns},
-        n_quantiles,
-    )
-    placed = found.select(
-        *df.columns, *[_probability(c).alias(f"{c}__p") for c in columns]
+    literals = _map_literals(maps, columns)
+    steps = max(1, n_quantiles.bit_length())
+    placed = df.select(
+        *df.columns,
+        *[
+            _mapped(F.col(c).cast("double"), F.get(literals[c], F.col("fold_id")), steps).alias(
+                f"{c}__p"
+            )
+            for c in columns
+        ],
     )
     scored = with_inverse_normal(
         placed,
         {
-            f"{c}__n": F.least(F.greatest(F.col(f"{c}__p"), F.lit(CLIP)), F.lit(1.0 - CLIP))
+            f"{c}__n": F.when(
+                F.col(f"{c}__p").isNotNull(),
+                F.least(F.greatest(F.col(f"{c}__p"), F.lit(CLIP)), F.lit(1.0 - CLIP)),
+            )
             for c in columns
         },
     )
-    # ``least`` and ``greatest`` skip NULL, so a missing value is put back here.
-    new = {c: F.when(F.col(f"{c}__p").isNotNull(), F.col(f"{c}__n")) for c in columns}
-    return scored.select(*_replace(df, new))
+    return scored.select(*_replace(df, {c: F.col(f"{c}__n") for c in columns}))
+
+
+def _map_literals(maps: DataFrame, columns) -> dict[str, Column]:
+    """Quantile maps as array literals indexed by the fold."""
+    rows = {r.fold_id: r for r in maps.collect()}  # one row per fold
+    schema = "array<struct<v:array<double>,lo:array<double>,hi:array<double>>>"
+    out = {}
+    for c in columns:
+        by_fold = [
+            rows[f][f"{c}__map"].asDict() if f in rows and rows[f][f"{c}__map"] else None
+            for f in range(max(rows) + 1)
+        ]
+        out[c] = F.from_json(F.lit(json.dumps(by_fold)), schema)
+    return out
+
+
+def _mapped(x: Column, fold_map: Column, steps: int) -> Column:
+    return let(upper_bound(fold_map["v"], x, steps), lambda at: _probability(x, at, fold_map))
 
 
-def _probability(c: str) -> Column:
-    x, at = F.col(c).cast("double"), F.col(f"{c}__at")
-    v, lo, hi = (F.col(f"{c}__map.{part}") for part in ("v", "lo", "hi"))
+def _probability(x: Column, at: Column, fold_map: Column) -> Column:
+    v, lo, hi = (fold_map[part] for part in ("v", "lo", "hi"))
     left = F.get(v, at - 1)
     right = F.get(v, at)
     between = F.get(hi, at - 1) + (x - left) / (right - left) * (

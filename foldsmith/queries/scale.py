@@ -56,10 +56,14 @@ def standard_scale_pop(spark, sf_dir):
 
 
 def _quantile_ctes(c: str) -> str:
-    grid = ", ".join(f"{i}.0/999" for i in range(1000))
     return f"""
-g_{c} AS (SELECT fold_id, unnest(quantile_cont({c}, [{grid}])) AS v, unnest(range(1000)) / 999.0::DOUBLE AS p
-  FROM folds WHERE role = 'train' GROUP BY fold_id),
+o_{c} AS (SELECT fold_id, {c} AS v, row_number() OVER (PARTITION BY fold_id ORDER BY {c}) - 1 AS r
+  FROM folds WHERE role = 'train' AND {c} IS NOT NULL),
+c_{c} AS (SELECT fold_id, count(*) AS n, least(count(*), 1000) AS q FROM o_{c} GROUP BY 1),
+i_{c} AS (SELECT fold_id, i, n, q, i * (n - 1) / (q - 1) AS pos FROM c_{c}, range(1000) g(i) WHERE i < q),
+g_{c} AS (SELECT a.fold_id, l.v + (h.v - l.v) * (pos - floor(pos)) AS v, i / (q - 1) AS p FROM i_{c} a
+  JOIN o_{c} l ON a.fold_id = l.fold_id AND l.r = CAST(floor(pos) AS BIGINT)
+  JOIN o_{c} h ON a.fold_id = h.fold_id AND h.r = CAST(ceil(pos) AS BIGINT)),
 d_{c} AS (SELECT fold_id, v, min(p) AS lo, max(p) AS hi FROM g_{c} GROUP BY 1, 2),
 n_{c} AS (SELECT *, lead(v) OVER w AS nv, lead(lo) OVER w AS nlo FROM d_{c}
   WINDOW w AS (PARTITION BY fold_id ORDER BY v)),
