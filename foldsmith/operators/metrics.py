@@ -64,7 +64,7 @@ def rank_auc(scored: DataFrame, keys) -> DataFrame:
     pos = F.sum(F.when(F.col("positive"), 1).otherwise(0))
     neg = F.sum(F.when(F.col("positive"), 0).otherwise(1))
     counts = scored.groupBy(*keys, "score").agg(pos.alias("pos"), neg.alias("neg"))
-    ranged = value_ranges(counts, keys, "score")
+    ranged = value_ranges(counts, keys, "score", keep="pos")
     inside = (
         Window.partitionBy(*keys, "__range")
         .orderBy("score")
@@ -86,14 +86,11 @@ def rank_auc(scored: DataFrame, keys) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     below = F.coalesce(F.sum("neg").over(before), F.lit(0)).cast("double")
+    n_pos, n_neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     return (
         local.withColumn("wins", F.col("wins") + F.col("pos") * below)
         .groupBy(*keys)
-        .agg(
-            F.try_divide(
-                F.sum("wins"), F.sum("pos").cast("double") * F.sum("neg").cast("double")
-            ).alias("auc")
-        )
+        .agg(F.try_divide(F.sum("wins"), n_pos * n_neg).alias("auc"), n_pos.alias("n_pos"))
     )
 
 
@@ -102,42 +99,39 @@ def auc_prob(df: DataFrame, keys, multi_class: str = "ovo") -> DataFrame:
 
     Two classes use the probability of class 1. ``ovr`` compares each class
     with all others, ``ovo`` each ordered pair of classes by the probability
-    of its first. Undefined comparisons make the result NULL.
+    of its first. An undefined comparison, as where a class does not occur,
+    makes the result NULL.
     """
     keys = list(keys)
     if multi_class not in ("ovr", "ovo"):
         raise ValueError(f"unknown scheme {multi_class!r}")
-    classes = df.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("y_true")).alias("classes"),
-        F.max(F.size("probs")).alias("width"),
-    )
-    joined = attach(df.select(*keys, "y_true", "probs"), classes, keys)
-    two = F.size("classes") <= 2
+    y = F.col("y_true").cast("int")
+    every = F.sequence(F.lit(0), F.size("probs") - 1)
+
+    def pair(a, b) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"))
+
     if multi_class == "ovr":
-        pair = F.when(two, F.array(F.struct(F.lit(1).alias("a"), F.lit(-1).alias("b")))).otherwise(
-            F.transform(
-                F.sequence(F.lit(0), F.col("width") - 1),
-                lambda c: F.struct(c.alias("a"), F.lit(-1).alias("b")),
-            )
-        )
+        pairs = F.transform(every, lambda c: pair(c, F.lit(-1)))
     else:
-        others = F.filter(F.col("classes"), lambda c: c != F.col("y_true"))
-        pair = F.when(two, F.array(F.struct(F.lit(1).alias("a"), F.lit(-1).alias("b")))).otherwise(
-            F.concat(
-                F.transform(others, lambda c: F.struct(F.col("y_true").alias("a"), c.alias("b"))),
-                F.transform(others, lambda c: F.struct(c.alias("a"), F.col("y_true").alias("b"))),
-            )
+        others = F.filter(every, lambda c: c != y)
+        pairs = F.concat(
+            F.transform(others, lambda c: pair(y, c)), F.transform(others, lambda c: pair(c, y))
         )
-    scored = joined.select(*keys, "y_true", "probs", F.explode(pair).alias("pair")).select(
+    scored = df.select(*keys, "y_true", "probs", F.inline(pairs)).select(
         *keys,
-        "pair.a",
-        "pair.b",
-        F.get("probs", F.col("pair.a")).alias("score"),
-        (F.col("y_true") == F.col("pair.a")).alias("positive"),
+        "a",
+        "b",
+        F.get("probs", F.col("a")).alias("score"),
+        (F.col("y_true") == F.col("a")).alias("positive"),
     )
     parts = rank_auc(scored, [*keys, "a", "b"])
+    present = F.count_distinct(F.when(F.col("n_pos") > 0, F.col("a")))
+    rest = F.lit(-1) if multi_class == "ovr" else F.lit(0)
+    binary = F.max(F.when((F.col("a") == 1) & (F.col("b") == rest), F.col("auc")))
+    whole = F.count("auc") == F.count(F.lit(1))
     return parts.groupBy(*keys).agg(
-        F.when(F.count("auc") == F.count(F.lit(1)), F.avg("auc")).alias("auc")
+        F.when(present <= 2, binary).when(whole, F.avg("auc")).alias("auc")
     )
 
 

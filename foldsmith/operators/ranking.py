@@ -8,8 +8,6 @@ its offset, and only the rows of one range meet in one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +25,12 @@ VALUE_RANGES = 256
 
 
 def attach(df: DataFrame, side: DataFrame, columns, how: str = "inner") -> DataFrame:
-    """Null-safe equi-join that keeps one copy of the key columns."""
-    columns = list(columns)
-    renamed = side.select(
-        *[F.col(c).alias(f"__{c}") if c in columns else F.col(c) for c in side.columns]
-    )
-    on = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns]
-    )
-    return df.join(renamed, on, how).drop(*[f"__{c}" for c in columns])
+    """Equi-join on key columns without NULL.
+
+    Plain equality keeps the hash partitioning of the window or aggregate
+    before the join, which null-safe equality would not.
+    """
+    return df.join(side, list(columns), how)
 
 
 def hash_ranges(df: DataFrame, seed, row_id: str, by=(), digits: int = RANGE_DIGITS):
@@ -112,13 +107,23 @@ def value_splits(
     )
 
 
-def value_ranges(df: DataFrame, by, order: str, ranges: int = VALUE_RANGES) -> DataFrame:
-    """Add ``__range``: the position of ``order`` among its group's cut points."""
+def value_ranges(
+    df: DataFrame, by, order: str, ranges: int = VALUE_RANGES, keep: str | None = None
+) -> DataFrame:
+    """Add ``__range``: the position of ``order`` among its group's cut points.
+
+    ``keep`` names an aggregate of ``df``. The sample then reads the same
+    aggregate as the rows do, so that its shuffle is computed once.
+    """
     by = list(by)
     if not by:
         whole = df.withColumn("__whole", F.lit(0))
-        return value_ranges(whole, ["__whole"], order, ranges).drop("__whole")
-    out = attach(df, value_splits(df, by, order, ranges), by, "left")
+        return value_ranges(whole, ["__whole"], order, ranges, keep).drop("__whole")
+    if keep is not None:  # a column that both sides read is not pruned on one
+        sample = df.filter(F.col(keep).isNotNull())
+    else:
+        sample = df
+    out = attach(df, value_splits(sample, by, order, ranges), by, "left")
     return with_upper_bound(
         out, {"__range": (F.col("__splits"), F.col(order))}, ranges
     ).drop("__splits")
@@ -140,8 +145,8 @@ def running_total(
     """
     by = list(by)
     totals = totals or {}
-    ranged = value_ranges(df, by, order, ranges)
     columns = list(dict.fromkeys([*amounts, *totals]))
+    ranged = value_ranges(df, by, order, ranges, columns[0])
     before = (
         Window.partitionBy(*by)
         .orderBy("__range")

@@ -21,11 +21,14 @@ TOP_N_ROWS = 100_000
 
 def class_counts(df: DataFrame, *keys) -> list[tuple]:
     """``(class, ..., rows)`` in class order. A column-pruned, map-side combined
-    count; its result is refused beyond ``MAX_CLASSES`` rows."""
+    count; its result is refused beyond ``MAX_CLASSES`` rows. A missing class is
+    an error: rows without a label are dropped first."""
     rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes: not a classification target")
-    return sorted((tuple(r) for r in rows), key=lambda r: [(v is not None, v) for v in r])
+    if any(v is None for r in rows for v in r):
+        raise ValueError(f"{keys[0]} has missing values; drop those rows before a stratified split")
+    return sorted(tuple(r) for r in rows)
 
 
 def _class_table(df: DataFrame, target: str, rows, fields: list[T.StructField]) -> DataFrame:
