@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions.hashing import hash_key
 from foldsmith.operators.stats import unpivot
+from foldsmith.session import materialize
 
 # Fixed value: 97.5 % point of the standard normal distribution.
 Z_975 = 1.959963984540054
@@ -191,9 +192,10 @@ def _histograms(long: DataFrame, by, bins: int) -> DataFrame:
     place = F.least(
         F.floor((F.col("value") - F.col("low")) / F.col("width")), F.lit(bins - 1)
     )
+    # Written, so that the planner sees the size: one row per group and column.
+    ranges = materialize(ranges, "ranges")
     return (
-        # One row per group and column.
-        long.join(F.broadcast(ranges), [*by, "column"])
+        long.join(ranges, [*by, "column"])
         .groupBy(*by, "column", "total", "sd", "low", "width", place.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("left", F.col("low") + F.col("bin") * F.col("width"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.operators.ranking import running_total
 from foldsmith.operators.stats import FOLD, train_rows, value_counts
-from foldsmith.session import BROADCAST_ROWS, broadcast_if_small, materialize
+from foldsmith.session import broadcast_if_small, materialize
 
 # Indicator columns that one-hot encoding may add; beyond, use ordinal codes.
 MAX_ONE_HOT = 1000
@@ -57,8 +57,8 @@ def label_encode(df: DataFrame, target: str, fitted: DataFrame | None = None) ->
 class OrdinalEncoder:
     """Ordinal codes of categorical columns per fold; unseen values become -1.
 
-    The fitted codes are written once. Their number decides the join: a
-    vocabulary within the limit is broadcast, a larger one is shuffled.
+    The fitted codes are written once and measured. A vocabulary within the
+    limit is broadcast, a larger one is shuffled.
     """
 
     def __init__(self, codes_table: DataFrame, columns, sizes: dict[str, int]):
@@ -72,10 +72,11 @@ class OrdinalEncoder:
         if counts is None:
             counts = value_counts(train_rows(df), FOLD, columns)
         table = materialize(codes(counts, [*FOLD, "column"]), "codes")
-        sizes = {r["column"]: r["count"] for r in table.groupBy("column").count().collect()}
+        size = F.sum(F.octet_length("value") + 32).alias("size")
+        sizes = {r["column"]: r["size"] for r in table.groupBy("column").agg(size).collect()}
         return cls(table, columns, sizes)
 
-    def transform(self, df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    def transform(self, df: DataFrame, limit: int | None = None) -> DataFrame:
         out = df
         for c in self.columns:
             side = self.codes.filter(F.col("column") == c).select(

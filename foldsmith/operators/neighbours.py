@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldsmith.functions.arrays import norm
-from foldsmith.functions.hashing import hash_key
+from foldsmith.functions.hashing import hash_key, uniform
 from foldsmith.session import materialize
 
 # Most pivots: a pivot table of this many vectors travels with each task.
@@ -31,8 +31,8 @@ MAX_PIVOTS = 512
 PIVOT_ROWS = 4_000
 
 # Rows of one block of a cell: the most a task holds of either side.
-TRAIN_BLOCK = 20_000
-QUERY_BLOCK = 4_000
+TRAIN_BLOCK = 50_000
+QUERY_BLOCK = 10_000
 
 # Distance cells computed at a time inside a block.
 TILE = 2_000_000
@@ -233,8 +233,12 @@ def _blocked_join(
         raise ValueError(f"{k} neighbours asked for, {total[1] or 0} training rows given")
     if pivots is None:
         pivots = min(MAX_PIVOTS, math.ceil(total[0] / PIVOT_ROWS))
-    # At most MAX_PIVOTS vectors come to the driver.
-    chosen = train.orderBy(hash_key("pivot", *by, "s_id"), "s_id").limit(pivots).collect()
+    # At most MAX_PIVOTS vectors come to the driver. The rows with the smallest
+    # digests are below this share, so tasks pass on few rows to the top-n.
+    share = 16 * pivots / total[0]
+    few = train.filter(uniform("pivot", *by, "s_id") <= share) if share < 1 else train
+    chosen = few.orderBy(hash_key("pivot", *by, "s_id"), "s_id").limit(pivots).collect()
+    chosen = chosen or train.limit(1).collect()
     points = np.unique(np.array([r.vec for r in chosen], dtype=float), axis=0)
 
     assigned = materialize(_assign(train, points, p, [*by, "s_id", "vec"]), "cells")

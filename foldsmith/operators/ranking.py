@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from foldsmith.functions.arrays import with_upper_bound
 from foldsmith.functions.hashing import hash_key
 
-# Leading hex digits of the digest that name a range: 16**3 ranges per group.
-# Uniform digests give ranges of equal size, whatever the group sizes are.
-RANGE_DIGITS = 3
+# Rows of a digest range that one task should sort. Uniform digests give ranges
+# of equal size, whatever the group sizes are.
+RANGE_ROWS = 1_000_000
 
 # Ranges per group when the order is by value instead of by digest.
 VALUE_RANGES = 256
@@ -33,7 +33,15 @@ def attach(df: DataFrame, side: DataFrame, columns, how: str = "inner") -> DataF
     return df.join(side, list(columns), how)
 
 
-def hash_ranges(df: DataFrame, seed, row_id: str, by=(), digits: int = RANGE_DIGITS):
+def range_digits(rows: int) -> int:
+    """Leading hex digits of the digest that name a range: 256 to 16**6 ranges."""
+    digits = 2
+    while digits < 6 and rows > RANGE_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def hash_ranges(df: DataFrame, seed, row_id: str, by, digits: int) -> DataFrame:
     """Row counts and offsets of the digest ranges of every group.
 
     One row per group and non-empty range: at most ``16**digits`` per group.
@@ -60,14 +68,16 @@ def hash_rank(
     rank: str = "rn",
     total: str | None = None,
     extra: DataFrame | None = None,
-    digits: int = RANGE_DIGITS,
+    rows: int | None = None,
 ) -> DataFrame:
     """1-based rank of each row within its group, ordered by digest, then id.
 
     ``extra`` (one row per group) is attached together with the offsets, so
-    that it costs no additional join on the rows.
+    that it costs no additional join on the rows. ``rows`` is the size of the
+    table where it is known.
     """
     by = list(by)
+    digits = range_digits(df.select(row_id).count() if rows is None else rows)
     offsets = hash_ranges(df, seed, row_id, by, digits)
     if extra is not None:
         offsets = attach(offsets, extra, by)

@@ -15,8 +15,9 @@ from foldsmith.operators.ranking import attach, hash_rank, value_ranges
 # Classes of a target column; more than this is not a classification target.
 MAX_CLASSES = 100_000
 
-# Sample sizes up to here use a top-n; larger ones use the distributed rank.
-TOP_N_ROWS = 100_000
+# Sample sizes up to here use a top-n, where every task passes on n rows; larger
+# ones use the distributed rank.
+TOP_N_ROWS = 1_000
 
 
 def class_counts(df: DataFrame, *keys) -> list[tuple]:
@@ -52,7 +53,8 @@ def stratified_kfold(
         [(y, o) for (y, _), o in zip(counts, offsets, strict=True)],
         [T.StructField("class_offset", T.LongType())],
     )
-    ranked = hash_rank(df, seed, row_id, [target], rank="__rank", extra=extra)
+    n_table = sum(n for _, n in counts)
+    ranked = hash_rank(df, seed, row_id, [target], rank="__rank", extra=extra, rows=n_table)
     fold = F.pmod(F.col("class_offset") + F.col("__rank") - 1, F.lit(k))
     return ranked.withColumn("fold_id", fold.cast("int")).drop("__rank", "class_offset")
 
@@ -101,7 +103,7 @@ def stratified_holdout(
         [marked.schema["__test"], T.StructField("quota", T.LongType())],
     )
     ranked = hash_rank(
-        marked, seed, row_id, [target, "__test"], rank="__rank", extra=extra
+        marked, seed, row_id, [target, "__test"], rank="__rank", extra=extra, rows=n_table
     )
     role = (
         F.when(F.col("__test"), "test")
@@ -146,7 +148,7 @@ def kfold_long(
         [(y, o, f) for (y, _), o, f in zip(counts, offsets, folds, strict=True)],
         [T.StructField("class_offset", T.LongType()), T.StructField("__folds", entry)],
     )
-    ranked = hash_rank(df, seed, row_id, [target], rank="__rank", extra=quotas)
+    ranked = hash_rank(df, seed, row_id, [target], rank="__rank", extra=quotas, rows=n_table)
     long = ranked.select("*", F.explode("__folds").alias("__fold")).select(
         *df.columns, "__rank", "class_offset", "__fold.*"
     )

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.functions.hashing import hash_key
 from foldsmith.operators.augment import augment_dataset, augment_rag
 from foldsmith.operators.schema import union_rows
 from foldsmith.operators.splits import size_budget
@@ -83,25 +82,20 @@ def topup(
     if not room.limit(1).count():
         return plain
 
-    # Synthetic rows look like the raw training rows and take the same chain.
+    # Synthetic rows look like the raw training rows and take the same chain. They
+    # are as many as the raw fold has room for, and the chain only removes rows.
     made = materialize(synthetic_rows(raw, settings.spec, cap, seed), "synthetic")
     as_rows = made.withColumnRenamed("synth_id", settings.spec.row_id).withColumn(
         "role", F.lit("train")
     )
     chain = settings.fit(as_rows) if refit else model
-    prepared = chain.transform(as_rows.select(*raw.columns))
-    # At most the budget: fewer than ``cap`` rows per fold.
-    order = Window.partitionBy("fold_id").orderBy(hash_key(seed, spec.row_id), spec.row_id)
-    capped = (
-        prepared.withColumn("__pick", F.row_number().over(order))
-        .join(F.broadcast(room), "fold_id")
-        .filter(F.col("__pick") <= F.col("budget"))
-        .drop("__pick", "budget")
+    prepared = chain.transform(as_rows.select(*raw.columns)).join(
+        F.broadcast(room.select("fold_id")), "fold_id", "left_semi"
     )
     small = base.join(F.broadcast(room.select("fold_id")), "fold_id", "left_semi")
     test = small.filter(F.col("role") == "test")
     grown = plain.join(F.broadcast(room.select("fold_id")), "fold_id", "left_semi")
-    for origin, queries in (("test", test), ("synthetic", capped), ("test again", test)):
+    for origin, queries in (("test", test), ("synthetic", prepared), ("test again", test)):
         grown = materialize(_grow(grown, queries, spec, origin, k, multi_class), "grown")
     full = plain.join(F.broadcast(room.select("fold_id")), "fold_id", "left_anti")
     return union_rows(full, grown)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
-# Rows up to which a side that has been counted may be broadcast.
-BROADCAST_ROWS = 200_000
+# Size up to which a side that has been measured may be broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -48,6 +48,6 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
-    """Hint a broadcast when the known row count is within the limit."""
-    return F.broadcast(df) if rows <= (BROADCAST_ROWS if limit is None else limit) else df
+def broadcast_if_small(df: DataFrame, size: int, limit: int | None = None) -> DataFrame:
+    """Hint a broadcast when the measured size in bytes is within the limit."""
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if limit is None else limit) else df

@@ -11,9 +11,10 @@ RUN_KEYS = ("random_state", "dataset_id", "fold", "model_name", "augmentation")
 
 def store_results(results: DataFrame, path: str, mode: str = "append") -> None:
     """Write result rows, one folder per dataset, so that reading one dataset
-    prunes the others. Rows are gathered per dataset first: no small files."""
+    prunes the others. Rows are gathered per dataset first: no small files, and
+    a dataset with many rows is split by its measured size."""
     (
-        results.repartition("dataset_id", F.pmod(F.xxhash64(*results.columns), F.lit(8)))
+        results.hint("rebalance", "dataset_id")
         .write.mode(mode)
         .partitionBy("dataset_id")
         .parquet(path)
