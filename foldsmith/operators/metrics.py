@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsmith.functions.arrays import argmax
-from foldsmith.operators.ranking import attach, value_ranges
+from foldsmith.operators.ranking import attach, count_ranges, value_ranges
+from foldsmith.session import materialize
 
 # Fixed value: double-precision machine epsilon, the clip of the log loss.
 EPS = 2.220446049250313e-16
@@ -64,7 +65,8 @@ def rank_auc(scored: DataFrame, keys) -> DataFrame:
     pos = F.sum(F.when(F.col("positive"), 1).otherwise(0))
     neg = F.sum(F.when(F.col("positive"), 0).otherwise(1))
     counts = scored.groupBy(*keys, "score").agg(pos.alias("pos"), neg.alias("neg"))
-    ranged = value_ranges(counts, keys, "score", keep="pos")
+    counts = materialize(counts, "scores")
+    ranged = value_ranges(counts, keys, "score", count_ranges(counts, keys))
     inside = (
         Window.partitionBy(*keys, "__range")
         .orderBy("score")

@@ -8,18 +8,24 @@ its offset, and only the rows of one range meet in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsmith.functions.arrays import with_upper_bound
 from foldsmith.functions.hashing import hash_key
+from foldsmith.session import materialize
 
 # Rows of a digest range that one task should sort. Uniform digests give ranges
 # of equal size, whatever the group sizes are.
 RANGE_ROWS = 1_000_000
 
-# Ranges per group when the order is by value instead of by digest.
-VALUE_RANGES = 256
+# Rows of a group that are ordered in one task without cutting it into ranges.
+SMALL_GROUP = 200_000
+
+# Most cut points of a group when the order is by value instead of by digest.
+MAX_RANGES = 4096
 
 
 
@@ -77,7 +83,10 @@ def hash_rank(
     table where it is known.
     """
     by = list(by)
-    digits = range_digits(df.select(row_id).count() if rows is None else rows)
+    rows = df.select(row_id).count() if rows is None else rows
+    if rows <= SMALL_GROUP:
+        return _small_rank(df, seed, row_id, by, rank, total, extra)
+    digits = range_digits(rows)
     offsets = hash_ranges(df, seed, row_id, by, digits)
     if extra is not None:
         offsets = attach(offsets, extra, by)
@@ -97,9 +106,28 @@ def hash_rank(
     return out.drop("__key", "__range", "__rn", "__offset")
 
 
-def value_splits(
-    df: DataFrame, by, order: str, ranges: int = VALUE_RANGES
-) -> DataFrame:
+def _small_rank(df, seed, row_id, by, rank, total, extra) -> DataFrame:
+    """The same rank for a table that was counted and is small."""
+    group = Window.partitionBy(*by)
+    ordered = group.orderBy("__key", row_id)
+    out = df.withColumn("__key", hash_key(seed, row_id)).withColumn(
+        rank, F.row_number().over(ordered).cast("long")
+    )
+    if total is not None:
+        out = out.withColumn(total, F.count(F.lit(1)).over(group))
+    out = out.drop("__key")
+    return out if extra is None else attach(out, extra, by)
+
+
+def count_ranges(counts: DataFrame, by) -> int:
+    """Ranges that the largest group of a written table needs; 1 if it is small."""
+    largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) <= SMALL_GROUP:
+        return 1
+    return min(MAX_RANGES, max(16, 2 * math.ceil(largest / RANGE_ROWS)))
+
+
+def value_splits(df: DataFrame, by, order: str, ranges: int) -> DataFrame:
     """Ascending cut points of ``order`` within each group.
 
     Taken from the values with the smallest digests, so the sample depends on
@@ -117,23 +145,18 @@ def value_splits(
     )
 
 
-def value_ranges(
-    df: DataFrame, by, order: str, ranges: int = VALUE_RANGES, keep: str | None = None
-) -> DataFrame:
+def value_ranges(df: DataFrame, by, order: str, ranges: int) -> DataFrame:
     """Add ``__range``: the position of ``order`` among its group's cut points.
 
-    ``keep`` names an aggregate of ``df``. The sample then reads the same
-    aggregate as the rows do, so that its shuffle is computed once.
+    With one range no value is looked up.
     """
     by = list(by)
+    if ranges <= 1:
+        return df.withColumn("__range", F.lit(0))
     if not by:
         whole = df.withColumn("__whole", F.lit(0))
-        return value_ranges(whole, ["__whole"], order, ranges, keep).drop("__whole")
-    if keep is not None:  # a column that both sides read is not pruned on one
-        sample = df.filter(F.col(keep).isNotNull())
-    else:
-        sample = df
-    out = attach(df, value_splits(sample, by, order, ranges), by, "left")
+        return value_ranges(whole, ["__whole"], order, ranges).drop("__whole")
+    out = attach(df, value_splits(df, by, order, ranges), by, "left")
     return with_upper_bound(
         out, {"__range": (F.col("__splits"), F.col(order))}, ranges
     ).drop("__splits")
@@ -145,18 +168,31 @@ def running_total(
     order: str,
     amounts: dict[str, str],
     totals: dict[str, str] | None = None,
-    ranges: int = VALUE_RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Running sum of the rows before each row, ordered by a value.
 
     ``df`` holds distinct ``(by, order)`` pairs. ``amounts`` maps a column to
     the name of its exclusive running sum; ``totals`` maps a column to the name
-    of its group sum.
+    of its group sum. The input is written once, because it is read for its cut
+    points, its range sums and its rows; the number of ranges follows from the
+    largest group.
     """
     by = list(by)
     totals = totals or {}
     columns = list(dict.fromkeys([*amounts, *totals]))
-    ranged = value_ranges(df, by, order, ranges, columns[0])
+    if ranges is None:
+        df = materialize(df, "ordered")
+        ranges = count_ranges(df, by)
+    if ranges <= 1:
+        group = Window.partitionBy(*by)
+        earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(
+            "*",
+            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(n) for c, n in amounts.items()],
+            *[F.sum(c).over(group).alias(n) for c, n in totals.items()],
+        )
+    ranged = value_ranges(df, by, order, ranges)
     before = (
         Window.partitionBy(*by)
         .orderBy("__range")

@@ -126,10 +126,10 @@ def test_one_hot_round_trip_and_unknown(spark):
 
 def test_running_total_over_many_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(1).alias("n"))
-    rows = (
-        running_total(df.withColumn("g", F.lit("x")), ["g"], "v", {"n": "before"}, {"n": "all"}, 9)
-    )
-    assert all(r.before == r.v and r["all"] == 1000 for r in rows.collect())
+    grouped = df.withColumn("g", F.lit("x"))
+    for ranges in (None, 1, 9):
+        rows = running_total(grouped, ["g"], "v", {"n": "before"}, {"n": "all"}, ranges)
+        assert all(r.before == r.v and r["all"] == 1000 for r in rows.collect())
 
 
 def test_exact_quantiles(spark):

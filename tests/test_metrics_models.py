@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from foldsmith.operators import analytics as AN
 from foldsmith.operators import metrics as M
 from foldsmith.operators.splits import kfold_long, size_budget
-from foldsmith.operators.stats import train_rows
+from foldsmith.operators import ranking as R_
+from foldsmith.operators.stats import exact_quantiles, train_rows
 from foldsmith.operators.synth import CopulaModel
 from foldsmith.plans import experiment as X
 from foldsmith.plans.arms import augment, topup
@@ -37,6 +38,24 @@ def test_rank_auc_counts_ties_half(spark):
     assert M.auc_prob(df, ["run"]).first().auc == pytest.approx(3.5 / 4)
 
 
+def test_auc_and_quantiles_do_not_depend_on_ranges(spark, monkeypatch):
+    df = spark.range(500).select(
+        F.lit(0).alias("run"),
+        (F.col("id") % 3 == 0).cast("int").alias("y_true"),
+        F.array(F.lit(0.0), (F.col("id") * 7919 % 211 / 211)).alias("probs"),
+    )
+    values = df.select(F.lit("c").alias("column"), F.col("probs")[1].alias("value"))
+
+    def run():
+        auc = M.auc_prob(df, ["run"]).first().auc
+        return auc, {(r.i, r.quantile) for r in exact_quantiles(values, ["column"], 50).collect()}
+
+    plain = run()
+    monkeypatch.setattr(R_, "SMALL_GROUP", 0)
+    ranged = run()
+    assert ranged[0] == pytest.approx(plain[0]) and ranged[1] == plain[1]
+
+
 def test_log_loss_of_a_certain_mistake_is_finite(spark):
     row = M.log_loss(scored(spark, [(0, 1, [1.0, 0.0])]), ["run"]).first()
     assert row.log_loss == pytest.approx(-math.log(M.EPS))

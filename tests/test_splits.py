@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from foldsmith.operators import ranking as R
 from foldsmith.operators import splits as S
 
 
@@ -93,3 +94,18 @@ def test_too_many_classes_are_refused(people, monkeypatch):
     monkeypatch.setattr(S, "MAX_CLASSES", 50)
     with pytest.raises(ValueError):
         S.stratified_kfold(people, "id", "id")
+
+
+def test_ranged_ranks_equal_plain_ranks(people, monkeypatch):
+    def run():
+        long = {(r.id, r.fold_id, r.role) for r in S.kfold_long(people, "y", "id").collect()}
+        batches = {(r.id, r.batch_id, r.batch_pos) for r in S.mini_batches(people, "id", 10).collect()}
+        return long, batches
+
+    plain = run()
+    monkeypatch.setattr(R, "SMALL_GROUP", 0)
+    assert run() == plain
+
+
+def test_range_digits_grow_with_the_table():
+    assert [R.range_digits(n) for n in (10, 10**9, 10**12, 10**15)] == [2, 3, 5, 6]
