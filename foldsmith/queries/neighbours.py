@@ -168,8 +168,8 @@ def neighbour_aggregate(spark, sf_dir):
 
 
 # The flagship: orders through the whole chain, then neighbour rows of the test features.
-@query("augment_knn")
-def augment_knn(spark, sf_dir):
+@query("flagship_orders")
+def flagship_orders(spark, sf_dir):
     raw = written(orders_folds(spark, sf_dir), "order-folds")
     model = Preprocessor(ORDERS).fit(raw)
     ready = written(model.transform(raw), "prepared")
@@ -178,13 +178,13 @@ def augment_knn(spark, sf_dir):
 
 
 @query(
-    "augment_knn_points",
+    "augment_knn",
     f"""WITH {POINTS_FOLDS}, {POINT_NEAR} SELECT fold_id, c_custkey, {sr6('balance')} AS balance, {sr6('nation')} AS nation,
   CAST(label AS DOUBLE) AS label, 'train' AS origin FROM folds WHERE role = 'train' UNION ALL
 SELECT fold_id, q_id, {sr6('median(balance)')}, {sr6('median(nation)')}, median(label), 'neighbours'
 FROM near GROUP BY fold_id, q_id""",
 )
-def augment_knn_points(spark, sf_dir):
+def augment_knn(spark, sf_dir):
     out = A.augment_knn(point_folds(spark, sf_dir), POINTS)
     return rounded(out, ["balance", "nation"])
 
