@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +16,39 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    Functions that run in Python workers are pickled by reference, so the workers must be
+    able to import the package from any working directory.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_foldsmith_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="foldsmith-ship-"), "foldsmith.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(target)
+    context._foldsmith_shipped = True
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder the session names for checkpoints.
 
-    On a cluster ``spark.checkpoint.dir`` points to storage that every executor
-    can read. Only where the setting is absent (local tests) one is made.
+    On a cluster ``spark.checkpoint.dir`` has to point to storage that every executor can
+    read; without it an error is raised. Only on a local master one is made.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
         folder = spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="foldsmith-")
         spark.conf.set(CHECKPOINT_CONF, folder)
     return folder.rstrip("/")
