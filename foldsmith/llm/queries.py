@@ -1,6 +1,6 @@
 """Imports every operator, so that its query is registered."""
 
-from foldsmith.llm import chat, decontam, licenses, packing, pii, quality, simhash, warc  # noqa: F401
+from foldsmith.llm import chat, decontam, licenses, packing, pii, quality, simhash, substrings, warc  # noqa: F401
 from foldsmith.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
