@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -125,30 +126,41 @@ def byte_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each word in bytes; white space is 0x20 and 0x09 to 0x0D."""
+def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and hash of each word (white space is 0x20 and 0x09 to 0x0D) in texts laid end
+    to end, which begin at ``begins``."""
+    n = len(data)
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    fresh = np.concatenate([[True], space[:-1]])
+    fresh[begins[begins < n]] = True
+    starts = np.flatnonzero(fresh & ~space)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    size = np.diff(np.append(starts, n))
+    place = np.arange(starts[0], n) - np.repeat(starts, size)
+    with np.errstate(over="ignore"):
+        powers = np.multiply.accumulate(np.full(int(place.max()) + 1, BASE))
+        parts = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * powers[place]
+        parts[space[starts[0] :]] = 0
+        return starts, mixed(np.add.reduceat(parts, starts - starts[0]))
 
 
 def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash per word of all texts, and where each text's words begin."""
-    texts = column.fill_null("").to_pylist()
-    split = [t.encode().split() for t in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    digest = xxhash.xxh3_64_intdigest
-    known: dict[bytes, int] = {}
-    made = np.empty(int(counts.sum()), np.uint64)
-    at = 0
-    for ws in split:
-        for w in ws:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            made[at] = h
-            at += 1
-    return made, np.concatenate([[0], np.cumsum(counts)])
+    data, begins = byte_units(column)
+    at, n, found, hashes = 0, len(data), [], []
+    while at < n:
+        stop = min(n, at + BLOCK_UNITS)
+        while stop < n and data[stop] not in (32, 9, 10, 11, 12, 13):
+            stop += 1  # blocks end between words
+        low, high = np.searchsorted(begins, [at, stop])
+        starts, made = word_hashes(data[at:stop], begins[low:high] - at)
+        found.append(starts + at)
+        hashes.append(made)
+        at = stop
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(found), begins)
 
 
 def _emit(units_of: Callable, window: int, gram: int):
@@ -259,3 +271,26 @@ def on_text(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     other = other.withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
     same = [F.col("doc_id").eqNullSafe(F.col("_doc")), F.col("key") == F.col("_key")]
     return rows.join(other, same, how).drop("_doc", "_key")
+
+
+def lots(frames: Iterator[pd.DataFrame], lot_bytes: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``fp`` in lots of about ``lot_bytes`` of ``part``; no ``fp`` is parted."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for frame in frames:
+        held.append(frame)
+        size += int(frame["part"].str.len().sum())
+        while size >= lot_bytes:
+            rows = pd.concat(held, ignore_index=True)
+            total = rows["part"].str.len().cumsum().to_numpy()
+            fp = rows["fp"].to_numpy()
+            ends = np.flatnonzero(fp[1:] != fp[:-1]) + 1
+            fit = ends[total[ends - 1] <= lot_bytes]
+            cut = int(fit[-1]) if len(fit) else int(ends[0]) if len(ends) else 0
+            held = [rows.iloc[cut:]]
+            if not cut:
+                break
+            yield rows.iloc[:cut]
+            size = int(total[-1] - total[cut - 1])
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)

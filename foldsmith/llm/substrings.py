@@ -94,28 +94,8 @@ def _shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frame = pd.DataFrame(out, columns=["doc_id", "key", "low", "high"])
         return frame.astype({"doc_id": "Int64"})
 
-    held: list[pd.DataFrame] = []
-    size = 0
-    for frame in frames:
-        held.append(frame)
-        size += int(frame["part"].str.len().sum())
-        while size >= SHARD_BYTES:
-            rows = pd.concat(held, ignore_index=True)
-            total = rows["part"].str.len().cumsum().to_numpy()
-            fp = rows["fp"].to_numpy()
-            ends = np.flatnonzero(fp[1:] != fp[:-1]) + 1
-            fit = ends[total[ends - 1] <= SHARD_BYTES]
-            cut = int(fit[-1]) if len(fit) else int(ends[0]) if len(ends) else 0
-            if not cut:
-                held = [rows]
-                break
-            yield settle(rows.iloc[:cut])
-            held = [rows.iloc[cut:]]
-            size = int(total[-1] - total[cut - 1])
-    if held:
-        rows = pd.concat(held, ignore_index=True)
-        if len(rows):
-            yield settle(rows)
+    for lot in anchors.lots(frames, SHARD_BYTES):
+        yield settle(lot)
 
 
 def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
