@@ -1,18 +1,29 @@
-"""The training-data pipeline over ``documents``: each stage is written and read again."""
+"""The training-data pipeline over ``documents``.
+
+Stages run in order; each result is written as Parquet to the shared checkpoint folder and
+read again as the next stage's input, so a lost executor never repeats more than one stage.
+Each stage handles NULLs, empty texts, repeated rows, empty tables and extra columns as its
+operator's docstring says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldsmith.llm import quality
+from foldsmith.llm import decontam, packing, pii, quality, simhash
 from foldsmith.session import materialize
 
 # (name, function of (spark, docs, sf_dir)); all but the last keep the columns of documents.
 STAGES = [
     ("quality_rules", quality.stage),
+    ("simhash_near_dedup", simhash.stage),
+    ("benchmark_decontamination", decontam.stage),
+    ("pii", pii.stage),
+    ("packing", packing.stage),
 ]
 
-# The near-duplicate and packing stages iterate over state that SQL does not carry.
+# Near-duplicate groups, tilings and token ids are not within SQL's reach; the pipeline is
+# tested against a brute-force version instead.
 ORACLE_SQL = None
 
 
