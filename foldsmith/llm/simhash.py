@@ -136,7 +136,7 @@ def _links(distance: int, rings: list[list[tuple[int, int]]]):
                     if np.array_equal(up, label):
                         break
                     label = up
-        linked = label != np.arange(n)
+        linked = fps != fps[label]
         return pd.DataFrame(
             {"a": fps[linked].view(np.int64), "b": fps[label[linked]].view(np.int64)}
         ).drop_duplicates()
