@@ -8,7 +8,7 @@ confirmed: the paragraph must hold at least ``CONFIRM`` of the two-grams of one
 that family. A paragraph without any template two-gram can therefore never be confirmed;
 only the others are scored, which changes no result.
 
-The classifier is fitted on at most ``NEGATIVES`` corpus paragraphs (those of the rows with
+The classifier is fitted on at most ``NEGATIVES`` corpus paragraphs (first lines of the rows with
 the smallest digests of their ids) and ``VARIANTS`` altered copies of each template.
 
 Native: column functions and Spark ML only. Defined results: NULL or empty text has no
@@ -119,9 +119,15 @@ def tokens(text: Column) -> Column:
 
 
 def pairs(w: Column) -> Column:
-    return F.transform(
-        w, lambda x, i: F.when(F.get(w, i + 1).isNotNull(), F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    """Neighbouring words joined by a space; the words are made once, not per pair."""
+    made = F.transform(
+        F.array(w),
+        lambda v: F.transform(
+            F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))),
+            lambda x, i: F.concat(x, F.lit(" "), F.get(v, i + 1)),
+        ),
     )
+    return F.get(made, F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -150,7 +156,7 @@ class Classifier:
 
 def featured(rows: DataFrame, text: str, vectorizer: CountVectorizerModel) -> DataFrame:
     df = rows.withColumn("_t", tokens(F.col(text)))
-    df = df.withColumn("_g", F.array_compact(F.concat("_t", pairs(F.col("_t")))))
+    df = df.withColumn("_g", F.concat("_t", pairs(F.col("_t"))))
     return vectorizer.transform(df)
 
 
@@ -182,16 +188,14 @@ def training_rows(negatives: list[str], seed: int = SEED) -> list[tuple[str, str
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Classifier:
     spark = docs.sparkSession
+    whole = docs.where(F.col(text).rlike(NOT_SPACE)).select(
+        F.xxhash64(doc_id).alias("h"), F.xxhash64(text).alias("h2"), F.col(text).alias("whole")
+    )
     sample = (
-        docs.where(F.col(text).rlike(NOT_SPACE))
-        .select(
-            F.xxhash64(doc_id).alias("h"),
-            F.col(text).alias("whole"),
-        )
-        .select("h", F.filter(F.split("whole", "\n"), lambda x: x.rlike(NOT_SPACE))[0].alias("line"))
-        .where(~F.arrays_overlap(pairs(tokens(F.col("line"))), literal(TEMPLATE_PAIRS)))
-        .orderBy("h", "line")
+        whole.orderBy("h", "h2")
         .limit(NEGATIVES)
+        .select(F.filter(F.split("whole", "\n"), lambda x: x.rlike(NOT_SPACE))[0].alias("line"))
+        .where(~F.arrays_overlap(pairs(tokens(F.col("line"))), literal(TEMPLATE_PAIRS)))
     )
     rows = training_rows([r["line"] for r in sample.collect()])
     families = (UNKNOWN, *TEMPLATES)
@@ -252,8 +256,8 @@ def scan(
         F.xxhash64("_text").alias("_digest"),
         F.size(F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOT_SPACE))).cast("long").alias("n_paragraphs"),
         F.when(
-            F.arrays_overlap(F.array_compact(pairs(F.col("_t"))), known),
-            F.filter(lines, lambda x: F.arrays_overlap(F.array_compact(pairs(tokens(x["text"]))), known)),
+            F.arrays_overlap(pairs(F.col("_t")), known),
+            F.filter(lines, lambda x: F.arrays_overlap(pairs(tokens(x["text"])), known)),
         ).alias("_lines"),
     )
     found = materialize(rows, "paragraphs")

@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,42 +41,91 @@ SEQUENCE = 2048
 WINDOW = 64  # sequences
 MIN_QUANTUM = 64  # tokens of a window
 END_ID = 1
-CACHED_WORDS = 400_000
+WORDS = 300_000  # of a generation of the cache
+SLICE = 512  # rows of an Arrow batch
 BASE_ROW_BYTES = 100
 
 TOKENS = "doc_id long, source string, part int, before long, n long, ids binary"
-PIECES = (
+PIECES_ROW = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long,"
     " offset long, source string"
 )
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+# Fixed values of the tokenizer: the mark of a piece's last token, and the letters and
+# numbers below U+0250. Texts with other characters, with U+0130, with control characters
+# that are white space to some only, or with the start of a special token are not cut here.
+WORD_END = "</w>"
+_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]|<\\|")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+# Runs of signs without an apostrophe, which may belong to letters, in or beside them.
+_SIGNS, _APART = re.compile(f"(?<!')[^{_LETTERS}{_NUMBERS}\\s']++(?!')"), r" \g<0> "
+_PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+class Recent:
+    """Values made for keys, of which those not asked for lately are forgotten.
+
+    There are two generations; a full one becomes the old one, and what is asked for again
+    moves to the new one.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """The keys without a value; those of the others are in ``now`` then."""
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        missing = keys.difference(self.now)
+        known = missing.intersection(self.old)
+        self.now.update((k, self.old[k]) for k in known)
+        return missing - known
 
 
 class WordTokenizer:
-    """Ids of a text as little-endian 32-bit numbers, words looked up in a cache.
+    """Ids of texts as little-endian 32-bit numbers, words looked up in bounded caches.
 
-    The tokenizer splits at white space and drops it, so a text's ids are those of its words
-    in a row. The cache is emptied when full; a text with more words adds to it beyond that.
+    The tokenizer lower-cases, drops white space, and cuts what is left into runs of letters,
+    single digits and runs of other signs; a text's ids are those of its pieces in a row. For
+    letters below U+0250, where no sign composes and lower case is one to one, words are
+    lower-cased and parted from the signs around them here, so that they share an entry.
+    Other texts go to the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        words = _WORD.findall(text)
-        cache = self.cache
-        missing = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(missing) > CACHED_WORDS:
-            cache.clear()
-            missing = list(dict.fromkeys(words))
-        for at in range(0, len(missing), 5000):
-            some = missing[at : at + 5000]
-            for word, made in zip(some, self.model.encode_batch(some, add_special_tokens=False)):
-                cache[word] = np.array(made.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.words = Recent(WORDS)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, many in one call; the last id of each of their pieces is known."""
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            pieces = [1 if w.isalpha() else len(_PIECE.findall(w)) for w in some]
+            made = self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(made[0].ids, "<u4")
+            ends, last = np.flatnonzero(self.last[ids]) + 1, np.cumsum(pieces)
+            if len(ends) == last[-1]:
+                data, begin = ids.tobytes(), 0
+                for word, end in zip(some, (4 * ends[last - 1]).tolist()):
+                    self.words.now[word] = data[begin:end]
+                    begin = end
+            else:
+                self.words.now.update((w, self._whole(w)) for w in some)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [None if _OTHER.search(t) else _SIGNS.sub(_APART, t.lower()).split() for t in texts]
+        self._learn(list(self.words.unknown(set().union(*(p for p in plain if p)))))
+        get = self.words.now.__getitem__
+        return [self._whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, plain)]
 
 
 @lru_cache(maxsize=2)
@@ -85,19 +134,30 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def _tokenize(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
         part = TaskContext.get().partitionId()
         before: dict = {}
-        for frame in frames:
-            rows = []
-            for doc, source, text in frame.itertuples(index=False):
-                source = None if source is None or source is pd.NA else source
-                ids = model.encode(text or "") + END_ID.to_bytes(4, "little")
-                n = len(ids) // 4
-                rows.append((doc, source, part, before.get(source, 0), n, ids))
-                before[source] = before.get(source, 0) + n
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "part", "before", "n", "ids"])
+        end = END_ID.to_bytes(4, "little")
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                doc, source, text = batch.slice(at, SLICE).columns
+                ids = [i + end for i in model.encode(text.fill_null("").to_pylist())]
+                sizes, earlier = [len(i) // 4 for i in ids], []
+                for name, n in zip(source.to_pylist(), sizes):
+                    earlier.append(before.get(name, 0))
+                    before[name] = earlier[-1] + n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        doc,
+                        source,
+                        pa.array([part] * len(ids), pa.int32()),
+                        pa.array(earlier, pa.int64()),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(ids, pa.binary()),
+                    ],
+                    names=["doc_id", "source", "part", "before", "n", "ids"],
+                )
 
     return run
 
@@ -108,7 +168,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     The table is written, so partition numbers and sums are those of the tasks that committed.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source"), F.col("text"))
-    return materialize(rows.mapInPandas(_tokenize(path), TOKENS), "tokens")
+    return materialize(rows.mapInArrow(_tokenize(path), TOKENS), "tokens")
 
 
 @dataclass(frozen=True)
@@ -177,21 +237,27 @@ def make_plan(totals: list[int], weights: list[float] | None, window: int) -> Pl
 
 
 def _cut(plan: Plan, sequence: int):
-    columns = [c.strip().split()[0] for c in PIECES.split(",")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, source, n, ids, queue, at in frame.itertuples(index=False):
-                view = memoryview(ids)
-                for start, length, place in plan.spans(int(queue), int(at), int(n)):
-                    while length:
-                        offset = place % sequence
-                        size = min(length, sequence - offset)
-                        crc = zlib.crc32(view[4 * start : 4 * (start + size)])
-                        out.append((doc, start, size, crc, n, place // sequence, offset, source))
-                        start, length, place = start + size, length - size, place + size
-            yield pd.DataFrame(out, columns=columns)
+    columns = [c.strip().split()[0] for c in PIECES_ROW.split(",")]
+    types = [pa.int64()] * 7 + [pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), SLICE):
+                out = []
+                rows = zip(*(c.to_pylist() for c in batch.slice(first, SLICE).columns))
+                for doc, source, n, ids, queue, at in rows:
+                    view = memoryview(ids)
+                    for start, length, place in plan.spans(queue, at, n):
+                        while length:
+                            offset = place % sequence
+                            size = min(length, sequence - offset)
+                            crc = zlib.crc32(view[4 * start : 4 * (start + size)])
+                            out.append((doc, start, size, crc, n, place // sequence, offset, source))
+                            start, length, place = start + size, length - size, place + size
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out), types)], names=columns
+                    )
 
     return run
 
@@ -233,7 +299,7 @@ def pack(
     rows = tokens.join(base, same).select(
         "doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("before")).alias("at")
     )
-    return rows.mapInPandas(_cut(plan, sequence), PIECES)
+    return rows.mapInArrow(_cut(plan, sequence), PIECES_ROW)
 
 
 def default_tokenizer() -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldsmith.functions.arrays import argmax
-from foldsmith.operators.ranking import attach, count_ranges, value_ranges
+from foldsmith.operators.ranking import attach, value_ranges
 from foldsmith.session import materialize
 
 # Fixed value: double-precision machine epsilon, the clip of the log loss.
@@ -65,25 +65,25 @@ def rank_auc(scored: DataFrame, keys) -> DataFrame:
     pos = F.sum(F.when(F.col("positive"), 1).otherwise(0))
     neg = F.sum(F.when(F.col("positive"), 0).otherwise(1))
     counts = scored.groupBy(*keys, "score").agg(pos.alias("pos"), neg.alias("neg"))
-    counts = materialize(counts, "scores")
-    ranged = value_ranges(counts, keys, "score", count_ranges(counts, keys))
+    ranged = value_ranges(counts, keys, "score")
     inside = (
-        Window.partitionBy(*keys, "__range")
+        Window.partitionBy("__group", "__range")
         .orderBy("score")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     half_ties = F.coalesce(F.sum("neg").over(inside), F.lit(0)) + F.col("neg") / 2
     local = (
         ranged.withColumn("below", half_ties)
-        .groupBy(*keys, "__range")
+        .groupBy("__group", "__range")
         .agg(
+            *[F.first(c).alias(c) for c in keys],
             F.sum(F.col("pos") * F.col("below")).alias("wins"),
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("neg"),
         )
     )
     before = (
-        Window.partitionBy(*keys)
+        Window.partitionBy("__group")
         .orderBy("__range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -1,34 +1,29 @@
 """Exact ranks and running totals without putting a group into one task.
 
 ``row_number()`` over a class or over a whole table sends that class or table
-to one task. Here every order is first cut into ranges; ranges are counted
-(map-side combined), a running sum over the few range counts gives each range
-its offset, and only the rows of one range meet in one task.
+to one task. Here every order is first cut into ranges, whatever its size:
+ranges of digests, or Spark's own range partitions of (group, value). Ranges
+are summed up, a running sum over the few range sums gives each range its
+offset, and only the rows of one range meet in one task.
+
+Groups are told apart by a text of their key columns that is never NULL, so
+NULL is a group like any other, and plain equality keeps the partitioning.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.functions.arrays import with_upper_bound
 from foldsmith.functions.hashing import hash_key
 from foldsmith.session import materialize
 
-# Rows of a digest range that one task should sort. Uniform digests give ranges
-# of equal size, whatever the group sizes are.
+# Rows of a range that one task should sort. Uniform digests and range partitions
+# give ranges of about equal size, whatever the group sizes are.
 RANGE_ROWS = 1_000_000
 
-# Rows of a group that are ordered in one task without cutting it into ranges.
-SMALL_GROUP = 200_000
-
-# Most cut points of a group when the order is by value instead of by digest.
-MAX_RANGES = 4096
-
-
-
 
 def attach(df: DataFrame, side: DataFrame, columns, how: str = "inner") -> DataFrame:
     """Equi-join on key columns without NULL.
@@ -39,10 +34,20 @@ def attach(df: DataFrame, side: DataFrame, columns, how: str = "inner") -> DataF
     return df.join(side, list(columns), how)
 
 
+def group_key(by) -> Column:
+    """One text per group; NULL and every value differ from each other."""
+    parts = []
+    for c in by:
+        text = F.col(c).cast("string")
+        size = F.length(text).cast("string")
+        parts.append(F.coalesce(F.concat(size, F.lit(":"), text), F.lit("-")))
+    return F.concat_ws("", *parts) if parts else F.lit("")
+
+
 def range_digits(rows: int) -> int:
-    """Leading hex digits of the digest that name a range: 256 to 16**6 ranges."""
+    """Leading hex digits of the digest that name a range."""
     digits = 2
-    while digits < 6 and rows > RANGE_ROWS * 16**digits:
+    while rows > RANGE_ROWS * 16**digits:
         digits += 1
     return digits
 
@@ -52,17 +57,19 @@ def hash_ranges(df: DataFrame, seed, row_id: str, by, digits: int) -> DataFrame:
 
     One row per group and non-empty range: at most ``16**digits`` per group.
     """
-    by = list(by)
     before = (
-        Window.partitionBy(*by)
+        Window.partitionBy("__group")
         .orderBy("__range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        df.groupBy(*by, F.substring(hash_key(seed, row_id), 1, digits).alias("__range"))
-        .agg(F.count(F.lit(1)).alias("__rows"))
+        df.groupBy(
+            group_key(by).alias("__group"),
+            F.substring(hash_key(seed, row_id), 1, digits).alias("__range"),
+        )
+        .agg(F.count(F.lit(1)).alias("__rows"), *[F.first(c).alias(c) for c in by])
         .withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-        .withColumn("__total", F.sum("__rows").over(Window.partitionBy(*by)))
+        .withColumn("__total", F.sum("__rows").over(Window.partitionBy("__group")))
     )
 
 
@@ -78,88 +85,71 @@ def hash_rank(
 ) -> DataFrame:
     """1-based rank of each row within its group, ordered by digest, then id.
 
-    ``extra`` (one row per group) is attached together with the offsets, so
-    that it costs no additional join on the rows. ``rows`` is the size of the
-    table where it is known.
+    ``extra`` (one row per group, without NULL keys) is attached together with
+    the offsets, so that it costs no additional join on the rows. ``rows`` is
+    the size of the table where it is known.
     """
     by = list(by)
     rows = df.select(row_id).count() if rows is None else rows
-    if rows <= SMALL_GROUP:
-        return _small_rank(df, seed, row_id, by, rank, total, extra)
     digits = range_digits(rows)
     offsets = hash_ranges(df, seed, row_id, by, digits)
     if extra is not None:
         offsets = attach(offsets, extra, by)
-    offsets = offsets.drop("__rows")
+    offsets = offsets.drop("__rows", *by)
     if total is None:
         offsets = offsets.drop("__total")
-    keyed = df.withColumn("__key", hash_key(seed, row_id)).withColumn(
-        "__range", F.substring("__key", 1, digits)
-    )
-    inside = Window.partitionBy(*by, "__range").orderBy("__key", row_id)
+    keyed = df.withColumns(
+        {"__key": hash_key(seed, row_id), "__group": group_key(by)}
+    ).withColumn("__range", F.substring("__key", 1, digits))
+    inside = Window.partitionBy("__group", "__range").orderBy("__key", row_id)
     ranked = keyed.withColumn("__rn", F.row_number().over(inside))
-    out = attach(ranked, offsets, [*by, "__range"]).withColumn(
+    out = attach(ranked, offsets, ["__group", "__range"]).withColumn(
         rank, (F.col("__offset") + F.col("__rn")).cast("long")
     )
     if total is not None:
         out = out.withColumnRenamed("__total", total)
-    return out.drop("__key", "__range", "__rn", "__offset")
-
-
-def _small_rank(df, seed, row_id, by, rank, total, extra) -> DataFrame:
-    """The same rank for a table that was counted and is small."""
-    group = Window.partitionBy(*by)
-    ordered = group.orderBy("__key", row_id)
-    out = df.withColumn("__key", hash_key(seed, row_id)).withColumn(
-        rank, F.row_number().over(ordered).cast("long")
-    )
-    if total is not None:
-        out = out.withColumn(total, F.count(F.lit(1)).over(group))
-    out = out.drop("__key")
-    return out if extra is None else attach(out, extra, by)
+    return out.drop("__key", "__group", "__range", "__rn", "__offset")
 
 
-def count_ranges(counts: DataFrame, by) -> int:
-    """Ranges that the largest group of a written table needs; 1 if it is small."""
-    largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) <= SMALL_GROUP:
-        return 1
-    return min(MAX_RANGES, max(16, 2 * math.ceil(largest / RANGE_ROWS)))
+def count_ranges(df: DataFrame) -> int:
+    """Ranges for the counted rows, at least one per task that runs at a time."""
+    rows = df.count()
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / RANGE_ROWS))
 
 
-def value_splits(df: DataFrame, by, order: str, ranges: int) -> DataFrame:
-    """Ascending cut points of ``order`` within each group.
+def value_ranges(df: DataFrame, by, order: str, ranges: int | None = None) -> DataFrame:
+    """Add ``__group`` and ``__range``, ascending with ``order`` inside a group.
 
-    Taken from the values with the smallest digests, so the sample depends on
-    the data only. The group limit is applied before the shuffle: each task
-    passes on at most ``ranges - 1`` rows per group.
+    The ranges are Spark's range partitions of (group, value), so a group with
+    most of the rows is cut like any other. The table is written with them:
+    what follows sees fixed ranges, however often it is read.
     """
-    by = list(by)
-    smallest = Window.partitionBy(*by).orderBy(hash_key("split", order), order)
-    return (
-        df.select(*by, order)
-        .withColumn("__pick", F.row_number().over(smallest))
-        .filter(F.col("__pick") < ranges)
-        .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(order)).alias("__splits"))
-    )
-
+    keyed = df.withColumn("__group", group_key(by))
+    if ranges is None:
+        keyed = materialize(keyed, "unordered")
+        ranges = count_ranges(keyed)
+    parted = keyed.repartitionByRange(ranges, "__group", order)
+    return materialize(parted.withColumn("__range", F.spark_partition_id()), "ordered")
 
-def value_ranges(df: DataFrame, by, order: str, ranges: int) -> DataFrame:
-    """Add ``__range``: the position of ``order`` among its group's cut points.
 
-    With one range no value is looked up.
-    """
-    by = list(by)
-    if ranges <= 1:
-        return df.withColumn("__range", F.lit(0))
-    if not by:
-        whole = df.withColumn("__whole", F.lit(0))
-        return value_ranges(whole, ["__whole"], order, ranges).drop("__whole")
-    out = attach(df, value_splits(df, by, order, ranges), by, "left")
-    return with_upper_bound(
-        out, {"__range": (F.col("__splits"), F.col(order))}, ranges
-    ).drop("__splits")
+def range_offsets(ranged: DataFrame, before: dict[str, Column], totals: dict[str, Column]) -> DataFrame:
+    """Per group and range: sums over the ranges before it, and over the group."""
+    earlier = (
+        Window.partitionBy("__group")
+        .orderBy("__range")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    whole = Window.partitionBy("__group")
+    sums = ranged.groupBy("__group", "__range").agg(
+        *[c.alias(f"__a_{n}") for n, c in before.items()],
+        *[c.alias(f"__t_{n}") for n, c in totals.items()],
+    )
+    return sums.select(
+        "__group",
+        "__range",
+        *[F.coalesce(F.sum(f"__a_{n}").over(earlier), F.lit(0)).alias(n) for n in before],
+        *[F.sum(f"__t_{n}").over(whole).alias(n) for n in totals],
+    )
 
 
 def running_total(
@@ -174,56 +164,25 @@ def running_total(
 
     ``df`` holds distinct ``(by, order)`` pairs. ``amounts`` maps a column to
     the name of its exclusive running sum; ``totals`` maps a column to the name
-    of its group sum. The input is written once, because it is read for its cut
-    points, its range sums and its rows; the number of ranges follows from the
-    largest group.
+    of its group sum.
     """
-    by = list(by)
     totals = totals or {}
-    columns = list(dict.fromkeys([*amounts, *totals]))
-    if ranges is None:
-        df = materialize(df, "ordered")
-        ranges = count_ranges(df, by)
-    if ranges <= 1:
-        group = Window.partitionBy(*by)
-        earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            "*",
-            *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(n) for c, n in amounts.items()],
-            *[F.sum(c).over(group).alias(n) for c, n in totals.items()],
-        )
-    ranged = value_ranges(df, by, order, ranges)
-    before = (
-        Window.partitionBy(*by)
-        .orderBy("__range")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    whole = Window.partitionBy(*by)
-    offsets = ranged.groupBy(*by, "__range").agg(
-        *[F.sum(c).alias(f"__sum_{c}") for c in columns]
-    )
-    offsets = offsets.select(
-        *by,
-        "__range",
-        *[
-            F.coalesce(F.sum(f"__sum_{c}").over(before), F.lit(0)).alias(f"__before_{c}")
-            for c in amounts
-        ],
-        *[F.sum(f"__sum_{c}").over(whole).alias(name) for c, name in totals.items()],
+    ranged = value_ranges(df, list(by), order, ranges)
+    offsets = range_offsets(
+        ranged,
+        {f"__before_{c}": F.sum(c) for c in amounts},
+        {name: F.sum(c) for c, name in totals.items()},
     )
     inside = (
-        Window.partitionBy(*by, "__range")
+        Window.partitionBy("__group", "__range")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = ranged.select(
         "*",
-        *[
-            F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__local_{c}")
-            for c in amounts
-        ],
+        *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__local_{c}") for c in amounts],
     )
-    out = attach(local, offsets, [*by, "__range"])
+    out = attach(local, offsets, ["__group", "__range"])
     return out.select(
         *df.columns,
         *[
@@ -232,3 +191,17 @@ def running_total(
         ],
         *totals.values(),
     )
+
+
+def value_rank(df: DataFrame, value: str, row_id: str, rank: str, ranges: int | None = None) -> DataFrame:
+    """1-based rank of each row of the table by ``value``, then id."""
+    keyed = df.withColumn("__pair", F.struct(value, row_id))
+    ranged = value_ranges(keyed, [], "__pair", ranges)
+    offsets = range_offsets(ranged, {"__offset": F.count(F.lit(1))}, {})
+    inside = Window.partitionBy("__group", "__range").orderBy("__pair")
+    ranked = ranged.withColumn("__rn", F.row_number().over(inside))
+    return (
+        attach(ranked, offsets, ["__group", "__range"])
+        .withColumn(rank, F.col("__offset") + F.col("__rn"))
+        .drop("__pair", "__group", "__range", "__rn", "__offset")
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldsmith.functions.hashing import hash_key, uniform
-from foldsmith.operators.ranking import attach, hash_rank, value_ranges
+from foldsmith.operators.ranking import hash_rank, value_rank
 
 # Classes of a target column; more than this is not a classification target.
 MAX_CLASSES = 100_000
@@ -200,27 +200,10 @@ def sample_weighted(
     )
     if n <= TOP_N_ROWS:
         return drawn.orderBy("__draw", row_id).limit(max(n, 0)).drop("__draw")
-    ranked = _rank_by_value(drawn, "__draw", row_id)
+    ranked = value_rank(drawn, "__draw", row_id, "__rank")
     return ranked.filter(F.col("__rank") <= n).drop("__draw", "__rank")
 
 
-def _rank_by_value(df: DataFrame, value: str, row_id: str) -> DataFrame:
-    keyed = df.withColumn("__pair", F.struct(value, row_id))
-    ranged = value_ranges(keyed, [], "__pair", 1024)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("__range")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__off"))
-    )
-    inside = Window.partitionBy("__range").orderBy("__pair")
-    return (
-        attach(ranged.withColumn("__rn", F.row_number().over(inside)), offsets, ["__range"])
-        .withColumn("__rank", F.col("__off") + F.col("__rn"))
-        .drop("__pair", "__range", "__rn", "__off")
-    )
-
-
 def size_budget(df: DataFrame, by, cap: int = 1000) -> DataFrame:
     """Rows that may still be added per group without passing ``cap``.
 

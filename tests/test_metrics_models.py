@@ -51,7 +51,7 @@ def test_auc_and_quantiles_do_not_depend_on_ranges(spark, monkeypatch):
         return auc, {(r.i, r.quantile) for r in exact_quantiles(values, ["column"], 50).collect()}
 
     plain = run()
-    monkeypatch.setattr(R_, "SMALL_GROUP", 0)
+    monkeypatch.setattr(R_, "RANGE_ROWS", 10)
     ranged = run()
     assert ranged[0] == pytest.approx(plain[0]) and ranged[1] == plain[1]
 

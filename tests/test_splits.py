@@ -1,8 +1,11 @@
+import itertools
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foldsmith.functions.hashing import hash_key
 from foldsmith.operators import ranking as R
 from foldsmith.operators import splits as S
 
@@ -96,16 +99,54 @@ def test_too_many_classes_are_refused(people, monkeypatch):
         S.stratified_kfold(people, "id", "id")
 
 
-def test_ranged_ranks_equal_plain_ranks(people, monkeypatch):
-    def run():
-        long = {(r.id, r.fold_id, r.role) for r in S.kfold_long(people, "y", "id").collect()}
-        batches = {(r.id, r.batch_id, r.batch_pos) for r in S.mini_batches(people, "id", 10).collect()}
-        return long, batches
-
-    plain = run()
-    monkeypatch.setattr(R, "SMALL_GROUP", 0)
-    assert run() == plain
+def test_ranks_equal_plain_ranks_with_null_groups(spark):
+    rows = [(k, None if k % 3 == 0 else f"g{k % 2}", k % 7) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, g string, v int").repartition(5)
+    for by in ([], ["g"], ["g", "v"]):
+        plain = df.withColumn(
+            "wanted", F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(1, "id"), "id"))
+        )
+        wanted = {r.id: r.wanted for r in plain.collect()}
+        assert {r.id: r.rn for r in R.hash_rank(df, 1, "id", by).collect()} == wanted
+
+
+@pytest.mark.parametrize("ranges", [1, 16, 2000])
+def test_running_totals_do_not_depend_on_ranges(spark, ranges):
+    rows = [(None if k % 3 == 0 else f"g{k % 2}", float(k), k) for k in range(90)]
+    rows.append((None, None, 5))
+    df = spark.createDataFrame(rows, "g string, v double, n long").repartition(4)
+    got = R.running_total(df, ["g"], "v", {"n": "before"}, {"n": "all"}, ranges=ranges).collect()
+    wanted = set()
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0))
+        sums = [0, *itertools.accumulate(r[2] for r in own)]
+        wanted |= {(g, r[1], r[2], s, sums[-1]) for r, s in zip(own, sums)}
+    assert {(r.g, r.v, r.n, r.before, r.all) for r in got} == wanted and len(got) == len(rows)
+
+
+def test_ranged_plans_part_no_group_and_no_table(spark):
+    """With 2000 ranges, AQE and automatic broadcasts off: no exchange by the group alone."""
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"), F.lit(1).alias("n"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        total = R.running_total(df, ["g"], "v", {"n": "before"}, ranges=2000)
+        ranked = R.value_rank(df, "v", "n", "rank", ranges=2000)
+        rows = R.hash_rank(df, 1, "v", ["g"])
+        for out in (total, ranked, rows):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SinglePartition" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+            # The rows: every exchange of them is by group and range together.
+            exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
+            rows_by_group = [x for x in exchanges if "__range" not in x and "__a_" not in x]
+            sums = plan.count("Window [")
+            assert len(rows_by_group) <= 1 and sums <= 4  # only the range sums meet by group
+        assert total.count() == ranked.count() == rows.count() == 300
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
 
 
 def test_range_digits_grow_with_the_table():
-    assert [R.range_digits(n) for n in (10, 10**9, 10**12, 10**15)] == [2, 3, 5, 6]
+    assert [R.range_digits(n) for n in (10, 10**9, 10**12, 10**15)] == [2, 3, 5, 8]
