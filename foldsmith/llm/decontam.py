@@ -41,9 +41,10 @@ def words(text: str | None) -> list[str]:
 
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hash of every window, in 64-bit arithmetic that wraps around."""
-    value = np.zeros(max(0, len(ids) - size + 1), np.uint64)
+    n = max(0, len(ids) - size + 1)
+    value = np.zeros(n, np.uint64)
     for k in range(size):
-        value = value * BASE + ids[k : len(ids) - size + 1 + k]
+        value = value * BASE + ids[k : k + n]
     return value
 
 
