@@ -256,6 +256,8 @@ def fragments(rows: DataFrame, groups: DataFrame, units_of: Callable, window: in
     made = first.select("doc_id", "key", "text").mapInArrow(_emit(units_of, window, gram), ROWS)
     made = materialize(made, "anchors")
     often = made.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # Written, so that both sides of the join are exchanges and AQE can split a hot gram.
+    often = materialize(often, "often")
     return materialize(made.join(often, "fp", "left_semi").select("doc_id", "key", "fp", "fd", "place"), "shared")
 
 

@@ -131,6 +131,7 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
     grams = kinds.groupBy("fp").agg(
         F.count(F.lit(1)).alias("different"), F.max(F.col("n") == 1).alias("any_alone")
     )
+    grams = materialize(grams, "grams")  # both sides exchanges: hot grams are split
     close = kinds.join(grams.where("different > 1 AND any_alone"), "fp").select(
         "doc_id",
         "key",
@@ -158,6 +159,7 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
         names = "fp long, w1 long, w2 long, alone boolean, doc_id long, key long, low long"
         each = materialize(parts(close.where("hot")).mapInPandas(_windows, names), "windows")
         often = each.groupBy("fp", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        often = materialize(often, "often")
         again = each.where("alone").join(often, ["fp", "w1", "w2"], "left_semi")
         found = found.unionByName(again.select("doc_id", "key", "low", F.col("low").alias("high")))
     return found

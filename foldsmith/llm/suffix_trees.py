@@ -173,6 +173,7 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
     grams = kinds.groupBy("fp").agg(
         F.count(F.lit(1)).alias("different"), F.min("owner").alias("least"), F.max("owner").alias("most")
     )
+    grams = materialize(grams, "grams")  # both sides exchanges: hot grams are split
     close = kinds.join(grams.where("different > 1 AND most > least"), "fp").select(
         "doc_id",
         "key",
@@ -202,6 +203,7 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
         names = "fp long, fd long, owner long, asks boolean, w1 long, w2 long, first long"
         each = materialize(parts(close.where("hot")).mapInPandas(_windows, names), "windows")
         least = each.groupBy("fp", "w1", "w2").agg(F.min("owner").alias("least"))
+        least = materialize(least, "least")
         again = each.where("asks").join(least, ["fp", "w1", "w2"]).where("owner > least")
         found = found.unionByName(
             again.select("fp", "fd", "owner", "first", F.col("first").alias("last"))
