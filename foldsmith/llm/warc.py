@@ -29,6 +29,8 @@ VERSION = "WARC/1.1"
 CRLF = "\r\n"
 END = CRLF + CRLF
 REVISIT_BYTES = 1000
+# Keys over which the revisits of one response are dealt.
+SALTS = 64
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -260,14 +262,26 @@ def assemble(found: DataFrame) -> DataFrame:
             F.col("concurrent_to").alias("record_id"), whole.alias(kind)
         )
 
-    original = linked("metadata").select(
-        F.col("record_id").alias("_of"), F.col("metadata.fields").alias("original")
+    # The revisits of one response may be a third of all rows: the few responses that are
+    # referred to are repeated per salt, and mains without a reference keep a key of their own.
+    referred = main.select(F.col("main.refers_to").alias("record_id")).dropna().distinct()
+    original = (
+        linked("metadata")
+        .join(referred, "record_id", "left_semi")
+        .select(
+            F.col("record_id").alias("_of"),
+            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
+            F.col("metadata.fields").alias("original"),
+        )
     )
+    own = F.concat(F.lit("-"), F.col("record_id"))
     return (
         main.join(linked("request"), "record_id", "left")
         .join(linked("metadata"), "record_id", "left")
-        .join(original, F.col("main.refers_to") == F.col("_of"), "left")
-        .drop("_of")
+        .withColumn("_of", F.coalesce("main.refers_to", own))
+        .withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
+        .join(original, ["_of", "_salt"], "left")
+        .drop("_of", "_salt")
     )
 
 
