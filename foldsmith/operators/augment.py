@@ -10,6 +10,7 @@ from foldsmith.operators.clean import impute_simple
 from foldsmith.operators.neighbours import knn_join, neighbour_aggregate, vector
 from foldsmith.operators.ranking import attach, running_total
 from foldsmith.operators.schema import binarize_target, union_rows
+from foldsmith.session import materialize
 from foldsmith.spec import TableSpec
 
 FOLD = ["fold_id"]
@@ -152,11 +153,24 @@ def retrieval_candidates(
     )
 
 
+def room(train: DataFrame, cap: int | None, share: float | None) -> DataFrame:
+    """Rows that each fold may gain, as ``__needed``: up to ``cap``, or a ``share`` more."""
+    if (cap is None) == (share is None):
+        raise ValueError("give either cap or share")
+    n = F.count(F.lit(1))
+    if cap is not None:
+        needed = F.greatest(F.lit(0), F.lit(cap) - n)
+    else:
+        needed = F.floor(F.round(F.lit(float(share)) * n, 9))
+    return train.groupBy("fold_id").agg(needed.cast("long").alias("__needed"))
+
+
 def augment_rag(
     df: DataFrame,
     synthetic: DataFrame,
     spec: TableSpec,
-    cap: int = 1000,
+    cap: int | None = None,
+    share: float | None = None,
     k: int = 10,
     weights: tuple[float, float] = (0.3, 0.7),
     seed=42,
@@ -165,26 +179,32 @@ def augment_rag(
 
     Candidates are the means around the synthetic rows (label included in the
     distance) and around the validation and test features (label left out).
-    Each fold is filled up to ``cap`` rows; the helper weight is not kept.
+    Each fold is filled up to ``cap`` rows, or gains ``share`` of its training rows;
+    one of the two is given. Folds without room take no part in the joins. The helper
+    weight is not kept.
     """
     train = df.filter(F.col("role") == "train")
-    unknown = df.filter(F.col("role").isin("val", "test"))
+    needed = materialize(room(train, cap, share), "room")
+    open_folds = needed.filter(F.col("__needed") > 0).select("fold_id")
+    doubles = [F.col(c).cast("double").alias(c) for c in (*spec.features, spec.target)]
+    kept = train.select(
+        "fold_id", F.col(spec.row_id).cast("string").alias(spec.row_id), *doubles
+    )
+    if not open_folds.limit(1).count():
+        return kept.withColumn("origin", F.lit("train"))
+    pool = train.join(open_folds, "fold_id", "left_semi")
+    synthetic = synthetic.join(open_folds, "fold_id", "left_semi")
+    unknown = df.filter(F.col("role").isin("val", "test")).join(open_folds, "fold_id", "left_semi")
     around_synthetic = retrieval_candidates(
-        synthetic, train, spec, k, weights[0], "synthetic", True
+        synthetic, pool, spec, k, weights[0], "synthetic", True
     )
     around_unknown = retrieval_candidates(
-        unknown, train, spec, k, weights[1], "unknown", False
+        unknown, pool, spec, k, weights[1], "unknown", False
     )
     candidates = union_rows(around_synthetic, around_unknown)
-    needed = train.groupBy("fold_id").agg(
-        F.greatest(F.lit(0), F.lit(cap) - F.count(F.lit(1))).alias("__needed")
-    )
     sampled = weighted_per_group(candidates, needed, "candidate", "weight", FOLD, seed)
-    doubles = [F.col(c).cast("double").alias(c) for c in (*spec.features, spec.target)]
     return union_rows(
-        train.select(
-            "fold_id", F.col(spec.row_id).cast("string").alias(spec.row_id), *doubles
-        ),
+        kept,
         sampled.select("fold_id", F.col("candidate").alias(spec.row_id), *doubles),
         origins=("train", "retrieved"),
     )

@@ -204,7 +204,7 @@ def sample_weighted(
     return ranked.filter(F.col("__rank") <= n).drop("__draw", "__rank")
 
 
-def size_budget(df: DataFrame, by, cap: int = 1000) -> DataFrame:
+def size_budget(df: DataFrame, by, cap: int) -> DataFrame:
     """Rows that may still be added per group without passing ``cap``.
 
     ``n_train + n_test`` count against the cap, as do the training rows alone.

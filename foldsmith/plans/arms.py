@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.operators.augment import augment_dataset, augment_rag
+from foldsmith.operators.augment import augment_dataset, augment_rag, room
 from foldsmith.operators.schema import union_rows
 from foldsmith.operators.splits import size_budget
 from foldsmith.operators.synth import CopulaModel
@@ -34,7 +34,7 @@ def augment_neighbours(df: DataFrame, spec: TableSpec, **options) -> DataFrame:
     return out.withColumn(spec.row_id, F.col(spec.row_id).cast("string"))
 
 
-def synthetic_rows(df: DataFrame, spec: TableSpec, cap: int = 1000, seed=42) -> DataFrame:
+def synthetic_rows(df: DataFrame, spec: TableSpec, cap: int, seed=42) -> DataFrame:
     """Synthetic rows of every fold, as many as its budget allows."""
     train = df.filter(F.col("role") == "train").select("fold_id", *spec.features, spec.target)
     wanted = size_budget(df, ["fold_id"], cap).select("fold_id", F.col("budget").alias("n"))
@@ -42,23 +42,33 @@ def synthetic_rows(df: DataFrame, spec: TableSpec, cap: int = 1000, seed=42) ->
 
 
 def augment_retrieval(
-    df: DataFrame, spec: TableSpec, synthetic: DataFrame | None = None, cap: int = 1000, **options
+    df: DataFrame,
+    spec: TableSpec,
+    synthetic: DataFrame | None = None,
+    cap: int | None = None,
+    share: float | None = None,
+    **options,
 ) -> DataFrame:
-    """Weighted sample of neighbour means around synthetic and unlabelled rows."""
+    """Weighted sample of neighbour means around synthetic and unlabelled rows.
+
+    Each fold is filled up to ``cap`` rows, or gains ``share`` of its training rows.
+    """
     if synthetic is None:
         train = df.filter(F.col("role") == "train")
-        wanted = train.groupBy("fold_id").agg(
-            F.greatest(F.lit(0), F.lit(cap) - F.count(F.lit(1))).alias("n")
-        )
+        wanted = materialize(room(train, cap, share), "room").filter(F.col("__needed") > 0)
+        wanted = wanted.withColumnRenamed("__needed", "n")
+        train = train.join(wanted.select("fold_id"), "fold_id", "left_semi")
+        if not wanted.limit(1).count():
+            return augment_rag(df, train, spec, cap=cap, share=share, **options)
         model = CopulaModel.fit(train.select("fold_id", *spec.features, spec.target), spec)
         synthetic = model.sample(wanted).withColumnRenamed("synth_id", spec.row_id)
-    return augment_rag(df, synthetic, spec, cap=cap, **options)
+    return augment_rag(df, synthetic, spec, cap=cap, share=share, **options)
 
 
 def topup(
     raw: DataFrame,
     settings: Preprocessor,
-    cap: int = 1000,
+    cap: int,
     k: int = 5,
     seed=42,
     refit: bool = False,
@@ -78,8 +88,8 @@ def topup(
     multi_class = model.labels.select("code").distinct().limit(3).count() > 2
     plain = augment_none(base, spec)
     budget = size_budget(base, ["fold_id"], cap).select("fold_id", "budget")
-    room = budget.filter(F.col("budget") > 0)
-    if not room.limit(1).count():
+    open_folds = budget.filter(F.col("budget") > 0)
+    if not open_folds.limit(1).count():
         return plain
 
     # Synthetic rows look like the raw training rows and take the same chain. They
@@ -90,14 +100,14 @@ def topup(
     )
     chain = settings.fit(as_rows) if refit else model
     prepared = chain.transform(as_rows.select(*raw.columns)).join(
-        F.broadcast(room.select("fold_id")), "fold_id", "left_semi"
+        F.broadcast(open_folds.select("fold_id")), "fold_id", "left_semi"
     )
-    small = base.join(F.broadcast(room.select("fold_id")), "fold_id", "left_semi")
+    small = base.join(F.broadcast(open_folds.select("fold_id")), "fold_id", "left_semi")
     test = small.filter(F.col("role") == "test")
-    grown = plain.join(F.broadcast(room.select("fold_id")), "fold_id", "left_semi")
+    grown = plain.join(F.broadcast(open_folds.select("fold_id")), "fold_id", "left_semi")
     for origin, queries in (("test", test), ("synthetic", prepared), ("test again", test)):
         grown = materialize(_grow(grown, queries, spec, origin, k, multi_class), "grown")
-    full = plain.join(F.broadcast(room.select("fold_id")), "fold_id", "left_anti")
+    full = plain.join(F.broadcast(open_folds.select("fold_id")), "fold_id", "left_anti")
     return union_rows(full, grown)
 
 

@@ -242,7 +242,7 @@ unk AS (SELECT * FROM folds WHERE role <> 'train'),
 cand AS (SELECT *, 0.3 AS w FROM synthetic UNION ALL SELECT *, 0.7 FROM unknown),
 pick AS (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY -ln((CAST('0x' || substr(md5(concat_ws(':', '42',
   CAST(fold_id AS VARCHAR), cand)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) / w, cand) AS r FROM cand),
-need AS (SELECT fold_id, 1000 - count(*) AS n FROM folds WHERE role = 'train' GROUP BY 1)
+need AS (SELECT fold_id, CAST(floor(0.25 * count(*)) AS BIGINT) AS n FROM folds WHERE role = 'train' GROUP BY 1)
 SELECT fold_id, CAST(c_custkey AS VARCHAR) AS c_custkey, {sr6('balance')} AS balance, {sr6('nation')} AS nation,
   {sr6('label')} AS label, 'train' AS origin FROM folds WHERE role = 'train' UNION ALL
 SELECT p.fold_id, cand, {sr6('balance')}, {sr6('nation')}, {sr6('label')}, 'retrieved'
@@ -265,5 +265,5 @@ def augment_rag(spark, sf_dir):
         (F.col("s_nationkey").cast("double") + 0.5).alias("nation"),
         (F.col("s_suppkey") % 2).cast("int").alias("label"),
     )
-    out = A.augment_rag(folds, synthetic, POINTS)
+    out = A.augment_rag(folds, synthetic, POINTS, share=0.25)
     return rounded(out, ["balance", "nation", "label"])

@@ -134,4 +134,4 @@ def augment_none(spark, sf_dir):
 
 @query("augment_retrieval")
 def augment_retrieval(spark, sf_dir):
-    return augment("retrieval", point_folds(spark, sf_dir), POINTS)
+    return augment("retrieval", point_folds(spark, sf_dir), POINTS, share=0.25)
