@@ -22,8 +22,8 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-# Near-duplicate groups, tilings and token ids are not within SQL's reach; the pipeline is
-# tested against a brute-force version instead.
+# Near-duplicate groups, tilings and token ids are not within SQL's reach. The operators of
+# the stages are tested against brute-force versions; the pipeline as a whole has no test yet.
 ORACLE_SQL = None
 
 
