@@ -1,12 +1,15 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines. A logistic regression over word one- and two-grams (elastic net, so
-most weights are zero) gives the licence family or ``unknown``; margins are divided by a
+A block is a run of lines that are not blank, its line ends taken as spaces, so that wrapped
+and comment-prefixed notices are whole. Within a block, windows of ``WIDTH`` times the words
+of a template are compared with it: a notice is a window with at least ``CONFIRM`` of the
+template's two-grams; of overlapping ones the best counts, cut to its first and last
+two-gram. A logistic regression over word one- and two-grams (elastic net, so most weights
+are zero) then gives the notice's licence family or ``unknown``; margins are divided by a
 temperature fitted on held-out rows, and a family counts only above a probability that at
-most ``FALSE_RATE`` of the held-out unknown rows reach. A prediction then has to be
-confirmed: the paragraph must hold at least ``CONFIRM`` of the two-grams of one template of
-that family. A paragraph without any template two-gram can therefore never be confirmed;
-only the others are scored, which changes no result.
+most ``FALSE_RATE`` of the held-out unknown rows reach. A notice is confirmed if that family
+is the template's. What is not near a template can never be confirmed and is not scored.
+``n_paragraphs`` counts lines that are not blank, ``n_license_paragraphs`` notices.
 
 The classifier is fitted on at most ``NEGATIVES`` corpus paragraphs (first lines of the rows with
 the smallest digests of their ids) and ``VARIANTS`` altered copies of each template.
@@ -38,6 +41,7 @@ NEGATIVES = 1_000
 VARIANTS = 40
 FALSE_RATE = 0.01
 CONFIRM = 0.8
+WIDTH = 2
 SEED = 42
 
 # Notices and opening sentences of common licences.
@@ -95,6 +99,7 @@ TEMPLATES = {
     ),
 }
 WORD = r"[\p{L}\p{N}]+"
+BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*+\n)++"
 
 
 def words_of(text: str) -> list[str]:
@@ -232,48 +237,136 @@ def log_loss(held: list[tuple[int, list[float]]], temperature: float) -> float:
     return -sum(math.log(max(softmax(m, temperature)[label], 1e-12)) for label, m in held)
 
 
-def containment(w: Column, family: Column) -> Column:
-    """Largest share of a template's two-grams, over the templates of the family."""
-    own = pairs(w)
-    share = F.lit(0.0)
-    for name, texts in TEMPLATES.items():
-        best = [F.size(F.array_intersect(own, literal(pairs_of(t)))) / len(pairs_of(t)) for t in texts]
-        share = F.when(family == name, F.greatest(*best, F.lit(0.0))).otherwise(share)
-    return share
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def templates() -> Column:
+    """Structs (family, pairs, words, needed): ``needed`` of the two-grams confirm."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(family).alias("family"),
+                literal(pairs_of(t)).alias("pairs"),
+                F.lit(len(words_of(t))).alias("words"),
+                F.lit(math.ceil(CONFIRM * len(pairs_of(t)) - 1e-9)).alias("needed"),
+            )
+            for family, texts in TEMPLATES.items()
+            for t in texts
+        ]
+    )
+
+
+def contained(own: Column) -> Column:
+    """The templates of which these two-grams hold enough to confirm."""
+    few = F.array_intersect(own, literal(TEMPLATE_PAIRS))
+    return bound(
+        few, lambda k: F.filter(templates(), lambda t: F.size(F.array_intersect(k, t["pairs"])) >= t["needed"])
+    )
+
+
+def notices(own: Column, template: Column) -> Column:
+    """Structs (start, end, n): the best of each run of overlapping windows that confirm.
+
+    ``start`` and ``end`` are the places of the first and last two-gram of the template in
+    the window, ``n`` how many different ones it holds.
+    """
+    reach = WIDTH * template["words"] - 1  # two-grams of a window
+    hits = F.filter(
+        F.transform(own, lambda x, i: F.struct(i.alias("at"), x.alias("pair"))),
+        lambda h: F.array_contains(template["pairs"], h["pair"]),
+    )
+
+    def window(hits: Column, h: Column, i: Column) -> Column:
+        inside = F.filter(F.slice(hits, i + 1, reach), lambda x: x["at"] < h["at"] + reach)
+        return bound(
+            inside,
+            lambda v: F.struct(
+                h["at"].alias("start"),
+                F.element_at(v, -1)["at"].alias("end"),
+                F.size(F.array_distinct(F.transform(v, lambda x: x["pair"]))).alias("n"),
+            ),
+        )
+
+    whole = F.filter(
+        bound(hits, lambda v: F.transform(v, lambda h, i: window(v, h, i))),
+        lambda w: w["n"] >= template["needed"],
+    )
+    none = F.array().cast("array<struct<start:int,end:int,n:int>>")
+
+    def best(done: Column, w: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return (
+            F.when((F.size(done) == 0) | (w["start"] > last["end"]), F.concat(done, F.array(w)))
+            .when(w["n"] > last["n"], F.concat(before, F.array(w)))
+            .otherwise(done)
+        )
+
+    return F.aggregate(whole, none, best)
 
 
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classifier: Classifier | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Per row: id, digest, number of paragraphs; per licence paragraph: family and spans."""
+    """Per row: id, digest, number of paragraphs; per confirmed notice: place and family."""
     classifier = classifier or fit(docs, doc_id, text)
-    known = literal(TEMPLATE_PAIRS)
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     rows = rows.withColumn("_t", tokens(F.col("_text")))
-    lines = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    blocks = F.transform(F.split("_text", BLANK), lambda x, i: F.struct(i.alias("block"), tokens(x).alias("w")))
     rows = rows.select(
         "_id",
         F.xxhash64("_text").alias("_digest"),
         F.size(F.filter(F.split("_text", "\n"), lambda x: x.rlike(NOT_SPACE))).cast("long").alias("n_paragraphs"),
-        F.when(
-            F.arrays_overlap(pairs(F.col("_t")), known),
-            F.filter(lines, lambda x: F.arrays_overlap(pairs(tokens(x["text"])), known)),
-        ).alias("_lines"),
+        # What a window of a block holds, the two-grams of the whole text hold.
+        F.when(F.size(contained(pairs(F.col("_t")))) > 0, blocks).alias("_blocks"),
     )
     found = materialize(rows, "paragraphs")
-    candidates = found.where(F.size("_lines") > 0).select("_id", "_digest", F.explode("_lines").alias("l"))
-    candidates = candidates.select("_id", "_digest", "l.*").distinct()
-    scored = classifier.predict(candidates, "text").where(F.col("family") != UNKNOWN)
-    scored = scored.withColumn("_t", tokens(F.col("text")))
-    scored = scored.withColumn("containment", containment(F.col("_t"), F.col("family")))
-    return found, scored.where(F.col("containment") >= CONFIRM).drop("_t")
+    candidates = found.where(F.size("_blocks") > 0).select("_id", "_digest", F.explode("_blocks").alias("b"))
+    words = F.struct("b.w", pairs(F.col("b.w")).alias("own"))
+    candidates = candidates.select("_id", "_digest", "b.block", F.explode(F.array(words)).alias("b"))
+    candidates = candidates.select("_id", "_digest", "block", "b", F.explode(contained(F.col("b.own"))).alias("t"))
+    candidates = candidates.select(
+        "_id", "_digest", "block", "b", "t", F.explode(notices(F.col("b.own"), F.col("t"))).alias("n")
+    )
+    candidates = candidates.select(
+        "_id",
+        "_digest",
+        "block",
+        F.col("n.start").alias("start"),
+        F.col("n.end").alias("end"),
+        F.col("t.family").alias("_template"),
+        (F.col("n.n") / F.size("t.pairs")).alias("containment"),
+        F.array_join(F.slice("b.w", F.col("n.start") + 1, F.col("n.end") - F.col("n.start") + 2), " ").alias("text"),
+    ).distinct()
+    scored = classifier.predict(candidates, "text")
+    return found, scored.where(F.col("family") == F.col("_template")).drop("_template")
+
+
+def separate() -> Column:
+    """Number of notices of a group; overlapping ones of one family are one."""
+    spans = F.array_sort(F.collect_list(F.struct("block", "family", "start", "end")))
+
+    def next_(acc: Column, s: Column) -> Column:
+        same = (acc["block"] == s["block"]) & (acc["family"] == s["family"]) & (s["start"] <= acc["end"])
+        return F.struct(
+            (acc["n"] + F.when(same, 0).otherwise(1)).alias("n"),
+            s["block"].alias("block"),
+            s["family"].alias("family"),
+            F.when(same, F.greatest(acc["end"], s["end"])).otherwise(s["end"]).alias("end"),
+        )
+
+    none = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("block"), F.lit("").alias("family"), F.lit(-1).alias("end"))
+    return F.aggregate(spans, none, next_, lambda acc: acc["n"])
 
 
 def by_document(found: DataFrame, licences: DataFrame) -> DataFrame:
-    """One row per input row: the family of its most probable confirmed paragraph."""
-    best = F.max(F.struct("probability", "containment", F.negative("line").alias("l"), "family"))
+    """One row per input row: the family of its most probable confirmed notice."""
+    place = [F.negative("block").alias("b"), F.negative("start").alias("s")]
+    best = F.max(F.struct("probability", "containment", *place, "family"))
     grouped = licences.groupBy("_id", "_digest").agg(
-        best.alias("b"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("family")).alias("families")
+        best.alias("b"), separate().alias("n"), F.array_sort(F.collect_set("family")).alias("families")
     )
     same = [F.col("f._id").eqNullSafe(F.col("g._id")), F.col("f._digest") == F.col("g._digest")]
     return found.alias("f").join(grouped.alias("g"), same, "left").select(

@@ -147,6 +147,47 @@ def test_licence_families_are_found(spark, classifier):
     assert counted[1] == counted[2] == counted[3] == 0 and counted[1000] == 3
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice""",
+    "gpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either""",
+    "mpl-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this""",
+}
+
+
+def test_wrapped_notices_are_found(spark, classifier):
+    rows, wanted = [], {}
+    for family, text in WRAPPED.items():
+        for mark in ("", "# ", " * ", "// ", "dnl "):
+            for end in ("\n", "\r\n"):
+                wanted[len(rows)] = family
+                lines = [mark + line for line in text.split("\n")]
+                rows.append((len(rows), end.join(["Some words.", "", *lines, "", "la la"]), "en", "s", 0))
+    filler = " ".join(f"v{k} of the" for k in range(300))
+    # In a long block, and beside another notice.
+    rows.append((900, f"{filler}\n{WRAPPED['mit']}\n{filler}", "en", "s", 0))
+    rows.append((901, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "en", "s", 0))
+    # The two-grams of a notice far from each other, or in different blocks, are no notice.
+    apart = WRAPPED["bsd"].replace("\n", " ").split(" ")[:20]
+    rows.append((902, f" {filler} ".join(f"{a} {b}" for a, b in zip(apart, apart[1:])), "en", "s", 0))
+    rows.append((903, "\n\n".join(f"{a} {b}" for a, b in zip(apart, apart[1:])), "en", "s", 0))
+    found = licenses.by_document(*licenses.scan(frame(spark, rows), classifier=classifier)).collect()
+    got = {r["doc_id"]: (r["license"], r["families"], r["n_license_paragraphs"]) for r in found}
+    assert {d: got[d] for d in wanted} == {d: (f, f, 1) for d, f in wanted.items()}
+    assert got[900] == ("mit", "mit", 1) and got[901][1:] == ("apache-2.0,mit", 2)
+    assert got[902] == got[903] == (licenses.UNKNOWN, "", 0)
+
+
 def test_classifier_on_held_out_rows(spark, classifier):
     rows = licenses.training_rows(["some words of a text without a notice"] * 20, seed=7)
     labelled = spark.createDataFrame([(t, f) for t, f, _ in rows], "text string, wanted string")
