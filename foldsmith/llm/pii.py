@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Base spans are pattern matches. Every matched value is a protected entity; the corpus says
-how strongly a word near it reveals it. With document counts, the pointwise mutual
+how strongly a word reveals it. With document counts over whole texts, the pointwise mutual
 information of word and entity is ``log2(n_et * N / (n_e * n_t))`` and the information of
 the entity ``log2(N / n_e)``. A word discloses the entity when it carries at least
 ``DISCLOSURE`` of that information and is supported by ``MIN_TEXTS`` different texts. Such
-words become spans of kind ``term`` where they stand near the entity, and are generalised
-to a placeholder like the base spans.
+words become spans of kind ``term`` wherever they stand, also in documents without the
+entity, and are generalised to a placeholder like the base spans. Words are runs of letters
+and numbers outside of base spans, of ``MIN_TERM`` characters or more.
 
 Native: column functions, joins and counts only. Defined results: NULL text has no spans;
 repeated rows get the same spans; rows are matched by id and text digest, so an id may
@@ -16,6 +17,8 @@ input columns of these names are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,19 +42,20 @@ NEEDED = {
     "card": r"(?<![0-9])(?:[0-9][\x20-]?){15}[0-9]",
     "phone": r"\+[0-9][\x20().0-9-]",
 }
-TERM = r"\p{L}++"
+TERM = r"[\p{L}\p{N}]++"
 
 RESULT = ("n_email", "n_ip", "n_card", "n_phone", "n_term", "base_sha256", "spans")
-CONTEXT = 100  # characters on either side of a protected value
-MIN_TERM = 3  # letters of a term
+MIN_TERM = 2  # characters of a term
 MIN_TEXTS = 3  # different texts that hold both
 DISCLOSURE = 0.9
-TERM_BYTES = 100
+ROW_BYTES = 100
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column] = lambda value: F.lit(True)) -> Column:
     """Leftmost non-overlapping matches as structs (start, end, value), in code points.
 
+    Only those whose value is to be kept.
+
     What lies between the matches comes from splitting by the same pattern, so positions
     are running sums of lengths.
     """
@@ -69,16 +73,21 @@ def matches(text: Column, pattern: str) -> Column:
         ),
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(
-                acc["all"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                        x["value"].alias("value"),
-                    )
+            F.when(
+                keep(x["value"]),
+                F.concat(
+                    acc["all"],
+                    F.array(
+                        F.struct(
+                            (acc["at"] + x["gap"]).alias("start"),
+                            (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"),
+                            x["value"].alias("value"),
+                        )
+                    ),
                 ),
-            ).alias("all"),
+            )
+            .otherwise(acc["all"])
+            .alias("all"),
         ),
     )
     return found["all"]
@@ -152,85 +161,79 @@ def entity(span: Column) -> Column:
     )
 
 
-def _near(text: Column, start: Column, size: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Terms of a slice of the text; words that the slice may have cut are left out."""
-    part = F.substring(text, start + 1, size)
-    return F.transform(
-        F.filter(
-            matches(part, TERM),
-            lambda w: (F.length(w["value"]) >= MIN_TERM)
-            & ~(cut_left & (w["start"] == 0))
-            & ~(cut_right & (w["end"] == size)),
+def blanked() -> Column:
+    """The text with spaces in the place of its base spans."""
+    text = F.col("_text")
+    state = F.aggregate(
+        F.sort_array(F.transform("_base", lambda s: F.struct(s["start"], s["end"]))),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.concat(
+                acc["parts"],
+                F.array(
+                    F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
+                    F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0))),
+                ),
+            ).alias("parts"),
         ),
-        lambda w: F.struct(
-            F.lower(w["value"]).alias("term"),
-            (w["start"] + start).alias("start"),
-            (w["end"] + start).alias("end"),
+        lambda acc: F.concat(
+            F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))
         ),
     )
+    return F.when(F.size("_base") > 0, state).otherwise(text)
 
 
-def contexts() -> Column:
-    """Terms within ``CONTEXT`` characters of each base span, outside of all base spans."""
-    text, n = F.col("_text"), F.length("_text")
-
-    def around(span: Column) -> Column:
-        left = F.greatest(span["start"] - CONTEXT, F.lit(0))
-        right = F.least(n - span["end"], F.lit(CONTEXT))
-        near = F.concat(
-            _near(text, left, span["start"] - left, left > 0, F.lit(False)),
-            _near(text, span["end"], right, F.lit(False), span["end"] + right < n),
-        )
-        free = F.filter(
-            near,
-            lambda w: ~F.exists(
-                "_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])
-            ),
-        )
-        return F.transform(
-            free,
-            lambda w: F.struct(
-                entity(span).alias("entity"),
-                w["term"].alias("term"),
-                w["start"].alias("start"),
-                w["end"].alias("end"),
-            ),
-        )
+def words() -> Column:
+    """The different words of a text outside of its base spans."""
+    long = F.filter(
+        F.array_distinct(F.regexp_extract_all(blanked(), F.lit(TERM), F.lit(0))),
+        lambda w: F.length(w) >= MIN_TERM,
+    )
+    return F.array_distinct(F.transform(long, F.lower))
 
-    return F.when(F.size("_base") > 0, F.flatten(F.transform("_base", around)))
 
+def disclosing(found: DataFrame) -> DataFrame:
+    """Pairs (entity, term) where the term gives the entity away, by corpus counts.
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Pairs (entity, term) where the term gives the entity away, by corpus counts."""
-    near = found.where(F.size("_near") > 0).select(
-        "_digest", F.explode(F.array_distinct(F.transform("_near", lambda c: F.struct(c["entity"], c["term"])))).alias("p")
-    )
-    pairs = (
-        near.groupBy(F.col("p.entity").alias("entity"), F.col("p.term").alias("term"), "_digest")
-        .agg(F.count(F.lit(1)).alias("docs"))
-        .groupBy("entity", "term")
-        .agg(F.sum("docs").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= MIN_TEXTS)
+    As ``n_et <= n_e``, a term of an entity is in at most ``n_e * (total / n_e) ** (1 -
+    DISCLOSURE)`` documents; other pairs are not made.
+    """
+    total = found.count()
+    texts = found.where(F.size("_base") > 0).groupBy("_digest").agg(
+        F.count(F.lit(1)).alias("docs"), F.first("_base").alias("_base"), F.first("_words").alias("_words")
     )
-    pairs = materialize(pairs, "pairs")
-    terms = materialize(pairs.select("term").distinct(), "terms")
+    texts = texts.withColumn("entities", F.array_distinct(F.transform("_base", entity)))
+    texts = materialize(texts.drop("_base"), "texts")
+    named = texts.select("_digest", "docs", F.explode("entities").alias("entity"))
+    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - DISCLOSURE)) * F.lit(1 + 1e-9)
     entities = (
-        found.where(F.size("_base") > 0)
-        .select(F.explode(F.array_distinct(F.transform("_base", entity))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_e"))
+        named.groupBy("entity")
+        .agg(F.sum("docs").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+        .where((F.col("texts") >= MIN_TEXTS) & (F.col("n_e") < total))
+        .select("entity", "n_e", most.alias("most"))
     )
-    spoken = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))
-    said = docs.select(F.explode(spoken).alias("term"))
-    small = broadcast_if_small(terms, terms.count() * TERM_BYTES)
-    counts = said.join(small, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.count()
+    entities = materialize(entities, "entities")
+    n, highest = entities.agg(F.count(F.lit(1)), F.max("most")).first()
+    named = materialize(named.join(broadcast_if_small(entities, n * ROW_BYTES), "entity"), "named")
+    holders = texts.join(named.select("_digest").distinct(), "_digest", "left_semi")
+    held = holders.select("_digest", F.explode("_words").alias("term"))
+    terms = held.groupBy("term").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= MIN_TEXTS)
+    terms = materialize(terms.select("term"), "terms")
+    small = broadcast_if_small(terms, terms.count() * ROW_BYTES)
+    said = found.select(F.explode("_words").alias("term")).join(small, "term", "left_semi")
+    counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = materialize(counts.where(F.col("n_t") <= F.lit(highest)), "counts")
+    held = held.join(broadcast_if_small(counts, counts.count() * ROW_BYTES), "term")
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     known = F.log2(F.lit(float(total)) / F.col("n_e"))
+    rare = (F.col("e._digest") == F.col("h._digest")) & (F.col("n_t") <= F.col("most"))
     return (
-        pairs.join(counts, "term")
-        .join(entities, "entity")
-        .where(known > 0)
+        named.alias("e")
+        .join(held.alias("h"), rare)
+        .groupBy("entity", "term", "n_e", "n_t")
+        .agg(F.sum("docs").alias("n_et"), F.count(F.lit(1)).alias("texts"))
+        .where(F.col("texts") >= MIN_TEXTS)
         .where(pmi >= DISCLOSURE * known)
         .select("entity", "term")
     )
@@ -239,23 +242,32 @@ def disclosing(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id``, ``_digest`` and ``_spans`` (kind, start, end) of each row, terms included."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    rows = base_spans(rows, "_text")
+    spanned = base_spans(rows, "_text")
     found = materialize(
-        rows.select(
-            "_id",
-            F.xxhash64("_text").alias("_digest"),
-            "_base",
-            contexts().alias("_near"),
-        ),
-        "pii",
+        spanned.select("_id", F.xxhash64("_text").alias("_digest"), "_base", words().alias("_words")), "pii"
+    )
+    given = materialize(disclosing(found).select("term").distinct(), "disclosing")
+    hits = (
+        found.select("_id", "_digest", F.explode("_words").alias("term"))
+        .join(broadcast_if_small(given, given.count() * ROW_BYTES), "term")
+        .groupBy(F.col("_id").alias("_hid"), F.col("_digest").alias("_hash"))
+        .agg(F.collect_set("term").alias("_hits"))
     )
-    pairs = disclosing(found, docs, text)
-    near = found.where(F.size("_near") > 0).select("_id", "_digest", F.explode("_near").alias("n"))
-    near = near.select("_id", "_digest", "n.*").distinct()
+    hits = materialize(hits, "hits")
+    size = hits.agg(F.sum(ROW_BYTES + F.length(F.array_join("_hits", " ")))).first()[0] or 0
+    here = F.xxhash64(F.coalesce("_text", F.lit("")))
+    marked = rows.join(
+        broadcast_if_small(hits, size), F.col("_id").eqNullSafe(F.col("_hid")) & (here == F.col("_hash"))
+    )
+    places = matches(blanked(), TERM, lambda value: F.array_contains("_hits", F.lower(value)))
     terms = (
-        near.join(pairs, ["entity", "term"], "left_semi")
-        .groupBy("_id", "_digest")
-        .agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end")).alias("_terms"))
+        base_spans(marked, "_text")
+        .select(
+            "_id",
+            F.col("_hash").alias("_digest"),
+            F.transform(places, lambda w: F.struct(F.lit(len(KINDS)).alias("kind"), w["start"], w["end"])).alias("_terms"),
+        )
+        .dropDuplicates(["_id", "_digest"])
     )
     base = F.transform("_base", lambda b: F.struct(b["kind"], b["start"], b["end"]))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -112,6 +114,64 @@ def test_terms_that_disclose_are_spans(spark):
     assert staged[50] == rows[4][1]
 
 
+def test_terms_are_spans_wherever_they_stand(spark):
+    # Far from the address, in texts without it, names of two letters, numbers, repeated rows.
+    far = "the mail of someone is the same " * 20
+    rows = [(k, f"{k} Bo Zorblatt {far} zed@mail.example {far} badge 77123 {far} Zorblatt", "en", "s", 0) for k in range(9)]
+    rows += [(20, "Zorblatt and BO are someone, the mail", "en", "s", 0)] * 2
+    rows += [(50 + k, f"and are {far} number {k}", "en", "s", 0) for k in range(400)]
+    found = pii.detect(frame(spark, rows)).select("_id", pii.rendered("_spans").alias("s"))
+    spans = {r["_id"]: r["s"].split(",") for r in found.collect()}
+    marks = lambda text, *words: {f"term:{m.start()}:{m.end()}" for w in words for m in re.finditer(rf"\b{w}\b", text)}
+    for doc, text, *_ in rows[:9]:
+        wanted = marks(text, "Bo", "Zorblatt", "77123", "badge")
+        assert len(wanted) == 5 and {s for s in spans[doc] if s.startswith("term")} == wanted
+    assert set(spans[20]) == marks(rows[9][1], "Zorblatt", "BO")
+    assert all(spans[50 + k] == [""] for k in range(400))
+    staged = pii.stage(spark, frame(spark, rows), "").collect()
+    assert len(staged) == len(rows)
+    assert not [r for r in staged if "Zorblatt" in r["text"] or "77123" in r["text"]]
+
+
+def plain_terms(rows):
+    """Terms that disclose, by the definition."""
+    bags, named = [], []
+    for _, text, *_ in rows:
+        cut = re.sub(r"\S+@\S+", " ", text)
+        bags.append({w.lower() for w in re.findall(r"[^\W_]+", cut) if len(w) > 1})
+        named.append(set(re.findall(r"\S+@\S+", text)))
+    terms = set()
+    for e in set().union(*named):
+        own = [k for k, x in enumerate(named) if e in x]
+        for t in set().union(*(bags[k] for k in own)):
+            both = [k for k in own if t in bags[k]]
+            n, n_t = len(rows), sum(t in x for x in bags)
+            if len({rows[k][1] for k in both}) >= 3 and len(own) < n:
+                pmi = math.log2(len(both) * n / (len(own) * n_t))
+                terms |= {t} if pmi >= 0.9 * math.log2(n / len(own)) else set()
+    return terms
+
+
+def test_terms_by_the_definition(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        who = [i for i in range(6) if rng.random() < 0.08]
+        text = [f"name{i}" for i in who if rng.random() < 0.9] + [f"m{i}@ex.org" for i in who]
+        text += [f"name{rng.randrange(6)}"] * (rng.random() < 0.1) + rng.choices([f"w{j}" for j in range(60)], k=12)
+        rng.shuffle(text)
+        rows += [(k, " ".join(text), "en", "s", 0)] * rng.choice([1, 1, 1, 3])
+    wanted = plain_terms(rows)
+    got = {
+        r["t"][int(a) : int(b)].lower()
+        for r in pii.detect(frame(spark, rows)).join(frame(spark, rows), F.col("_id") == F.col("doc_id"))
+        .select(F.col("text").alias("t"), pii.rendered("_spans").alias("s")).collect()
+        for kind, a, b in [x.split(":") for x in r["s"].split(",") if x]
+        if kind == "term"
+    }
+    assert wanted and got == wanted
+
+
 def test_replacement_of_overlapping_spans(spark):
     text = "ab +1 22.33.44.55 cd"
     rows = [(1, text, "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 3)]
