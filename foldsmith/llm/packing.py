@@ -52,9 +52,11 @@ PIECES_ROW = (
 )
 # Fixed values of the tokenizer: the mark of a piece's last token, and the letters and
 # numbers below U+0250. Texts with other characters, with U+0130, with control characters
-# that are white space to some only, or with the start of a special token are not cut here.
+# that are white space to some only, or with the start of a special token are not cut here,
+# and neither are those with a capital whose lower case is above U+024F.
 WORD_END = "</w>"
-_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]|<\\|")
+_RISING = "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f")
+_OTHER = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]|[{_RISING}]|<\\|")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 # Runs of signs without an apostrophe, which may belong to letters, in or beside them.
 _SIGNS, _APART = re.compile(f"(?<!')[^{_LETTERS}{_NUMBERS}\\s']++(?!')"), r" \g<0> "

@@ -124,6 +124,18 @@ def test_windows_follow_the_mixture(spark):
         assert given == due
 
 
+def test_ids_of_every_low_letter_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["\u018fliyev", "\u018f li", "in \u018fliyev's \u01b7ord, \u0186"]
+    for c in map(chr, range(0x250)):
+        texts += [c, f"{c}li", f"li{c}li", f"li{c}", f"a {c} b", f"ab, {c}li's x{c}"]
+    got = packing.WordTokenizer(packing.default_tokenizer()).encode(texts)
+    wanted = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not [t for t, g, w in zip(texts, got, wanted) if np.frombuffer(g, "<u4").tolist() != w]
+
+
 def test_packing_of_no_rows(spark):
     assert packing.pack(frame(spark, []), packing.default_tokenizer()).count() == 0
 
