@@ -9,8 +9,13 @@ in any partition, and nothing has to run one window after another.
 
 Targets are the tokens of the sources themselves, so that all queues end together, or given
 weights; then a queue that runs dry ends a phase, and the others go on by their weights.
-Sources that would get fewer than ``MIN_QUANTUM`` tokens of a window share one last queue,
-so the number of queues is bounded by window and quantum, whatever the number of sources.
+Sources without a target that would get fewer than ``MIN_QUANTUM`` tokens of a window share
+one last queue, so the number of queues is bounded by window, quantum and targets, whatever
+the number of sources. In that queue whole documents are ordered by their fractional place
+in their own source: tokens before them, and of the document itself a part drawn from the
+source's digest (else all first documents would come together), by tokens of the source. So
+every stretch of the queue holds its sources by their sizes, to within a document each. The
+order is exact: documents are dealt to ranges of places, and ranges are summed up.
 
 Documents are cut freely. Sequences follow each other without a gap; only the last one may
 be shorter than ``SEQUENCE``.
@@ -55,8 +60,9 @@ PIECES_ROW = (
 # that are white space to some only, or with the start of a special token are not cut here,
 # and neither are those with a capital whose lower case is above U+024F.
 WORD_END = "</w>"
-_RISING = "".join(c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f")
-_OTHER = re.compile(f"[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u024f]|[{_RISING}]|<\\|")
+_RISING = {c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f"}
+_CUT = "".join(c for c in map(chr, range(0x250)) if c not in {*"\x1c\x1d\x1e\x1f\x85\xa0\u0130", *_RISING})
+_OTHER = re.compile(f"[^{re.escape(_CUT)}]|<\\|")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 # Runs of signs without an apostrophe, which may belong to letters, in or beside them.
 _SIGNS, _APART = re.compile(f"(?<!')[^{_LETTERS}{_NUMBERS}\\s']++(?!')"), r" \g<0> "
@@ -264,6 +270,24 @@ def _cut(plan: Plan, sequence: int):
     return run
 
 
+def _in_tail(rows: DataFrame, tail: int, window: int) -> DataFrame:
+    """``at`` of each document of the shared queue, in order of places in their sources."""
+    ranges = max(1, tail // window)
+    drawn = F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))), F.lit(2**31)) / F.lit(2.0**31)
+    place = (F.col("base") + F.col("before") + drawn * F.col("n")) / F.col("total")
+    rows = rows.withColumn("_place", place)
+    rows = rows.withColumn("_range", F.least(F.floor(F.col("_place") * ranges), F.lit(ranges - 1)))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    # One row per window of the queue at most.
+    starts = rows.groupBy("_range").agg(F.sum("n").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(earlier.orderBy("_range")), F.lit(0)).alias("_start")
+    )
+    starts = materialize(starts, "ranges")
+    within = earlier.partitionBy("_range").orderBy("_place", "source", "base", "before")
+    rows = rows.withColumn("_within", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return rows.join(starts, "_range").withColumn("at", F.col("_start") + F.col("_within"))
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -278,7 +302,10 @@ def pack(
     sources = sums.groupBy("source").agg(F.sum("n").alias("n"))
     # At most window * sequence / MIN_QUANTUM sources can reach the quantum.
     floor = MIN_QUANTUM * total / (window * sequence)
-    own = sources.where(F.col("n") >= floor).orderBy("source").collect()
+    wanted = [name for name, weight in (targets or {}).items() if weight > 0]
+    named = F.col("source").isin([x for x in wanted if x is not None])
+    named = F.coalesce(named, F.lit(None in wanted))
+    own = sources.where((F.col("n") >= floor) | named).orderBy("source").collect()
     names = [r["source"] for r in own]
     sizes = [r["n"] for r in own]
     tail = total - sum(sizes)
@@ -289,18 +316,27 @@ def pack(
     numbered = docs.sparkSession.createDataFrame(
         [(name, k) for k, name in enumerate(names)], "source string, queue int"
     )
-    # Where a partition's ids of a source begin in the queue of the source.
-    placed = sums.alias("s").join(
+    # Where a partition's ids of a source begin among those of the source.
+    whole = Window.partitionBy("_source")
+    running = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.alias("s").join(
         F.broadcast(numbered).alias("q"), F.col("s.source").eqNullSafe(F.col("q.source")), "left"
     ).select("part", F.col("s.source").alias("_source"), "n", F.coalesce("queue", F.lit(len(names))).alias("queue"))
-    running = Window.partitionBy("queue").orderBy("part", "_source").rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.select("part", "_source", "queue", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
+    base = base.select(
+        "part", "_source", "queue",
+        F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"), F.sum("n").over(whole).alias("total"),
+    )
     base = materialize(base, "bases").withColumnRenamed("part", "_part")
     base = broadcast_if_small(base, base.count() * BASE_ROW_BYTES)
     same = [F.col("part") == F.col("_part"), F.col("source").eqNullSafe(F.col("_source"))]
-    rows = tokens.join(base, same).select(
-        "doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("before")).alias("at")
-    )
+    rows = tokens.join(base, same)
+    own_rows = rows.where(F.col("queue") < len(names)).withColumn("at", F.col("base") + F.col("before"))
+    columns = ["doc_id", "source", "n", "ids", "queue", "at"]
+    if not tail:
+        rows = own_rows.select(columns)
+    else:
+        in_tail = _in_tail(rows.where(F.col("queue") == len(names)), tail, window * sequence)
+        rows = own_rows.select(columns).union(in_tail.select(columns))
     return rows.mapInArrow(_cut(plan, sequence), PIECES_ROW)
 
 
@@ -316,6 +352,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @query("op4_packing")
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents."""
+    """Pieces of all documents; the mixture is that of the table, every source by its tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return pack(docs, default_tokenizer()).drop("source")

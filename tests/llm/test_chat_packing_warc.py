@@ -124,6 +124,48 @@ def test_windows_follow_the_mixture(spark):
         assert given == due
 
 
+def whole(pieces):
+    """No gap, no overlap, nothing lost."""
+    at = 0
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert (p["sequence_id"], p["offset"]) == divmod(at, packing.SEQUENCE)
+        at += p["length"]
+    return at
+
+
+def test_small_sources_keep_their_share_in_every_window(spark):
+    # Sources of 12 and 6 documents, all below the quantum, one of them NULL.
+    names = [f"a{k:03}" for k in range(300)] + [None]
+    rows = [(s, j) for k, s in enumerate(names) for j in range(12 if k % 2 else 6)]
+    rows = [(i, "word " * 10, "en", s, 0) for i, (s, _) in enumerate(rows)]
+    pieces = packing.pack(frame(spark, rows), packing.default_tokenizer(), sequence=2048, window=2).collect()
+    assert whole(pieces) == 11 * len(rows)
+    total = Counter()
+    for p in pieces:
+        total[p["source"]] += p["length"]
+    assert max(total.values()) < packing.MIN_QUANTUM * 11 * len(rows) / 4096
+    for edge in range(2048, 11 * len(rows), 2048):
+        given = Counter()
+        for p in pieces:
+            if p["sequence_id"] * 2048 + p["offset"] < edge:
+                given[p["source"]] += p["length"]
+        for s, n in total.items():
+            assert abs(given[s] - n * edge / (11 * len(rows))) <= 22 + 0.05 * n
+
+
+def test_targets_of_small_sources_are_kept(spark):
+    rows = [(k, "word " * 10, "en", "large", 0) for k in range(2000)]
+    rows += [(3000 + k, "word " * 10, "en", s, 0) for k, s in enumerate(["tiny", "tiny", None, "other"])]
+    targets = {"large": 100.0, "tiny": 50.0, None: 50.0}
+    pieces = packing.pack(frame(spark, rows), packing.default_tokenizer(), targets, window=2).collect()
+    assert whole(pieces) == 11 * len(rows)
+    place = defaultdict(list)
+    for p in pieces:
+        place[p["source"]].append(p["sequence_id"] * packing.SEQUENCE + p["offset"])
+    assert max(place["tiny"]) < 200 and max(place[None]) < 200
+    assert min(place["other"]) == 11 * len(rows) - 11  # no target: last
+
+
 def test_ids_of_every_low_letter_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
