@@ -14,8 +14,10 @@ def let(value: Column, body) -> Column:
 
 
 def pad(vector: Column, width: int = 100) -> Column:
-    """Fixed-width vector: zeros on the right, surplus cut off."""
-    return F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), width)), 1, width)
+    """Fixed-width vector: zeros on the right; surplus features are an error."""
+    surplus = F.raise_error(F.format_string(f"%d features do not fit into {width}", F.size(vector)))
+    filled = F.slice(F.concat(vector, F.array_repeat(F.lit(0.0), width)), 1, width)
+    return F.when(F.size(vector) > width, surplus).otherwise(filled)
 
 
 def dot(a: Column, b: Column) -> Column:
