@@ -14,7 +14,9 @@ the first and last start.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldsmith.session import broadcast_if_small, materialize
+from foldsmith.llm.joins import balanced, looked_up
+from foldsmith.session import materialize
 
 BLOCK_UNITS = 1 << 20
-SIDE_BYTES = 16 << 20  # measured size up to which a table is broadcast here
+LOT_BYTES = 1 << 22  # of texts worked on at a time
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 STEP = 1 << 8
 ROWS = "doc_id long, key long, fp long, fd long, place long"
 ROW_TYPES = [pa.int64()] * 5
@@ -117,88 +121,113 @@ def blocks(sizes: np.ndarray, window: int) -> Iterator[list[tuple[int, int, int]
         yield pieces
 
 
-def byte_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, and where each text begins (with the end)."""
-    column = column.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+@dataclass
+class Units:
+    """Units of texts laid end to end, and the bytes they stand for.
 
+    ``begins``: where each text begins, with the end of the last one. Unit k is the bytes
+    from ``first[k]`` to ``last[k]`` of ``data``; single bytes need no such arrays.
+    """
 
-def word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and hash of each word (white space is 0x20 and 0x09 to 0x0D) in texts laid end
-    to end, which begin at ``begins``."""
-    n = len(data)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    fresh = np.concatenate([[True], space[:-1]])
-    fresh[begins[begins < n]] = True
-    starts = np.flatnonzero(fresh & ~space)
-    if not len(starts):
-        return starts, np.zeros(0, np.uint64)
-    size = np.diff(np.append(starts, n))
-    place = np.arange(starts[0], n) - np.repeat(starts, size)
-    with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.full(int(place.max()) + 1, BASE))
-        parts = (data[starts[0] :].astype(np.uint64) + np.uint64(1)) * powers[place]
-        parts[space[starts[0] :]] = 0
-        return starts, mixed(np.add.reduceat(parts, starts - starts[0]))
-
-
-def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word of all texts, and where each text's words begin."""
-    data, begins = byte_units(column)
-    at, n, found, hashes = 0, len(data), [], []
-    while at < n:
-        stop = min(n, at + BLOCK_UNITS)
-        while stop < n and data[stop] not in (32, 9, 10, 11, 12, 13):
-            stop += 1  # blocks end between words
-        low, high = np.searchsorted(begins, [at, stop])
-        starts, made = word_hashes(data[at:stop], begins[low:high] - at)
-        found.append(starts + at)
-        hashes.append(made)
+    values: np.ndarray
+    begins: np.ndarray
+    data: bytes
+    first: np.ndarray | None = None
+    last: np.ndarray | None = None
+
+    def digests(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Digest of the bytes of each run of units."""
+        stop = begin + size
+        if self.first is not None:
+            begin, stop = self.first[begin], self.last[stop - 1]
+        digest, data = xxhash.xxh3_64_intdigest, self.data
+        return np.array([digest(data[a:b]) for a, b in zip(begin.tolist(), stop.tolist())], np.uint64)
+
+
+def byte_units(texts: list[bytes]) -> Units:
+    """All bytes of the texts."""
+    data = b"".join(texts)
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    return Units(np.frombuffer(data, np.uint8), begins, data)
+
+
+def pieces_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, those of about ``LOT_BYTES`` at a time."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + LOT_BYTES)
+        stop = space.start() if space else len(text)
+        yield text[at:stop].split()  # at 0x20 and 0x09 to 0x0D
         at = stop
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(found), begins)
 
 
-def _emit(units_of: Callable, window: int, gram: int):
+def word_units(texts: list[bytes]) -> Units:
+    """A 64-bit digest per word of all texts; the bytes are the words joined by one space."""
+    counts, hashes, sizes, joined = [0], [], [], []
+    for text in texts:
+        count = 0
+        for words in pieces_of(text):
+            if not words:
+                continue
+            n = len(words)
+            count += n
+            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n))
+            sizes.append(np.fromiter(map(len, words), np.int64, n))
+            joined.append(b" ".join(words))
+        counts.append(count)
+    begins = np.cumsum(counts, dtype=np.int64)
+    if not joined:
+        none = np.zeros(0, np.int64)
+        return Units(none.astype(np.uint64), begins, b"", none, none)
+    size = np.concatenate(sizes)
+    last = np.cumsum(size + 1) - 1
+    return Units(np.concatenate(hashes), begins, b" ".join(joined), last - size, last)
+
+
+def text_lots(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts (NULL: empty) in lots of about ``LOT_BYTES``, with the place of the first."""
+    held, size, at = [], 0, 0
+    for k, text in enumerate(column.cast(pa.large_binary())):
+        held.append(text.as_py() or b"")
+        size += len(held[-1])
+        if size >= LOT_BYTES:
+            yield at, held
+            held, size, at = [], 0, k + 1
+    if held:
+        yield at, held
+
+
+def _emit(units_of: Callable[[list[bytes]], Units], window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
             key = batch.column(1).to_numpy(zero_copy_only=False)
-            units, begins = units_of(batch.column(2))
-            for pieces in blocks(np.diff(begins), window):
-                part = np.concatenate([units[begins[t] + a : begins[t] + b] for t, a, b in pieces])
-                ends = np.cumsum([b - a for _, a, b in pieces])
-                at, low, high, fp = owned(part, ends, window, gram)
-                if not len(at):
-                    continue
-                of = np.searchsorted(ends, low, "right")
-                shift = np.array([a for _, a, _ in pieces]) - np.concatenate([[0], ends[:-1]])
-                data, size = part.tobytes(), part.itemsize
-                fd = np.array(
-                    [
-                        xxhash.xxh3_64_intdigest(data[a * size : (b + window) * size])
-                        for a, b in zip(low.tolist(), high.tolist())
-                    ],
-                    np.uint64,
-                )
-                # Where the anchor stands in its fragment is part of the fragment's identity.
-                fd = mixed(fd ^ (at - low).astype(np.uint64))
-                text = np.array([t for t, _, _ in pieces])[of]
-                place = ((at + shift[of]) * STEP + (at - low)) * STEP + (at - high)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc[text], pa.int64(), from_pandas=True),
-                        pa.array(key[text]),
-                        pa.array(fp.view(np.int64)),
-                        pa.array(fd.view(np.int64)),
-                        pa.array(place),
-                    ],
-                    names=["doc_id", "key", "fp", "fd", "place"],
-                )
+            for row, texts in text_lots(batch.column(2)):
+                units = units_of(texts)
+                begins = units.begins
+                for pieces in blocks(np.diff(begins), window):
+                    part = np.concatenate([units.values[begins[t] + a : begins[t] + b] for t, a, b in pieces])
+                    ends = np.cumsum([b - a for _, a, b in pieces])
+                    at, low, high, fp = owned(part, ends, window, gram)
+                    if not len(at):
+                        continue
+                    of = np.searchsorted(ends, low, "right")
+                    text = np.array([t for t, _, _ in pieces])[of]
+                    shift = (np.array([a for _, a, _ in pieces]) - np.concatenate([[0], ends[:-1]]))[of]
+                    fd = units.digests(begins[text] + low + shift, high - low + window)
+                    # Where the anchor stands in its fragment is part of the fragment's identity.
+                    fd = mixed(fd ^ (at - low).astype(np.uint64))
+                    place = ((at + shift) * STEP + (at - low)) * STEP + (at - high)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(doc[row + text], pa.int64(), from_pandas=True),
+                            pa.array(key[row + text]),
+                            pa.array(fp.view(np.int64)),
+                            pa.array(fd.view(np.int64)),
+                            pa.array(place),
+                        ],
+                        names=["doc_id", "key", "fp", "fd", "place"],
+                    )
 
     return run
 
@@ -237,42 +266,32 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 SAME_TEXT = ["key", "key2", "size"]
 
 
-def sized(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, hinted for broadcast where its rows are few."""
-    return broadcast_if_small(df, df.count() * row_bytes, SIDE_BYTES)
-
-
 def copies(rows: DataFrame) -> DataFrame:
     """Texts that occur more than once: number of rows, smallest id."""
     groups = rows.groupBy(*SAME_TEXT).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("owner"))
-    return sized(materialize(groups.where("copies > 1"), "copies"), 60)
+    return materialize(groups.where("copies > 1"), "copies")
+
+
+def with_copies(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return looked_up(rows, groups, SAME_TEXT, weight="copies")
 
 
 def fragments(rows: DataFrame, groups: DataFrame, units_of: Callable, window: int, gram: int) -> DataFrame:
     """Fragments, of one row of each group of equal texts, whose gram occurs more than once."""
-    first = rows.join(groups, SAME_TEXT, "left").where(
+    first = with_copies(rows, groups).where(
         F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("owner"))
     )
     made = first.select("doc_id", "key", "text").mapInArrow(_emit(units_of, window, gram), ROWS)
     made = materialize(made, "anchors")
-    often = made.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    # Written, so that both sides of the join are exchanges and AQE can split a hot gram.
+    often = made.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = materialize(often, "often")
-    return materialize(made.join(often, "fp", "left_semi").select("doc_id", "key", "fp", "fd", "place"), "shared")
-
-
-def with_size(df: DataFrame) -> DataFrame:
-    """A written table of one array column per text, hinted for broadcast where it is small."""
-    array = next(f.name for f in df.schema if f.dataType.typeName() == "array")
-    size = df.agg(F.sum(F.size(array) * 40 + 60)).first()[0] or 0
-    return broadcast_if_small(df, size, SIDE_BYTES)
+    shared = balanced(made, often, ["fp"], "n", "left_semi")
+    return materialize(shared.select("doc_id", "key", "fp", "fd", "place"), "shared")
 
 
 def on_text(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Rows joined with a table by document and digest; ids may be NULL."""
-    other = other.withColumnsRenamed({"doc_id": "_doc", "key": "_key"})
-    same = [F.col("doc_id").eqNullSafe(F.col("_doc")), F.col("key") == F.col("_key")]
-    return rows.join(other, same, how).drop("_doc", "_key")
+    return looked_up(rows, other, ["doc_id", "key"], how)
 
 
 def lots(frames: Iterator[pd.DataFrame], lot_bytes: int) -> Iterator[pd.DataFrame]:

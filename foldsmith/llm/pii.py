@@ -11,8 +11,8 @@ and numbers outside of base spans, of ``MIN_TERM`` characters or more.
 
 Native: column functions, joins and counts only. Defined results: NULL text has no spans;
 repeated rows get the same spans; rows are matched by id and text digest, so an id may
-repeat; an empty table gives an empty result. Columns made here are named in ``RESULT``;
-input columns of these names are replaced.
+repeat; an empty table gives an empty result. Other columns are not read; ``stage`` gives
+them back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldsmith.llm.joins import looked_up
 from foldsmith.llm.registry import query, table
 from foldsmith.session import broadcast_if_small, materialize
 
@@ -239,6 +240,10 @@ def disclosing(found: DataFrame) -> DataFrame:
     )
 
 
+def digest(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id``, ``_digest`` and ``_spans`` (kind, start, end) of each row, terms included."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
@@ -250,21 +255,17 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     hits = (
         found.select("_id", "_digest", F.explode("_words").alias("term"))
         .join(broadcast_if_small(given, given.count() * ROW_BYTES), "term")
-        .groupBy(F.col("_id").alias("_hid"), F.col("_digest").alias("_hash"))
+        .groupBy("_id", "_digest")
         .agg(F.collect_set("term").alias("_hits"))
     )
     hits = materialize(hits, "hits")
-    size = hits.agg(F.sum(ROW_BYTES + F.length(F.array_join("_hits", " ")))).first()[0] or 0
-    here = F.xxhash64(F.coalesce("_text", F.lit("")))
-    marked = rows.join(
-        broadcast_if_small(hits, size), F.col("_id").eqNullSafe(F.col("_hid")) & (here == F.col("_hash"))
-    )
+    marked = looked_up(rows.withColumn("_digest", digest("_text")), hits, ["_id", "_digest"], "inner")
     places = matches(blanked(), TERM, lambda value: F.array_contains("_hits", F.lower(value)))
     terms = (
         base_spans(marked, "_text")
         .select(
             "_id",
-            F.col("_hash").alias("_digest"),
+            "_digest",
             F.transform(places, lambda w: F.struct(F.lit(len(KINDS)).alias("kind"), w["start"], w["end"])).alias("_terms"),
         )
         .dropDuplicates(["_id", "_digest"])
@@ -272,14 +273,16 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     base = F.transform("_base", lambda b: F.struct(b["kind"], b["start"], b["end"]))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     same = [F.col("f._id").eqNullSafe(F.col("t._id")), F.col("f._digest") == F.col("t._digest")]
+    # Ids, digests and spans only; always by sorting, whatever the size.
     return (
-        found.alias("f")
-        .join(terms.alias("t"), same, "left")
+        found.select("_id", "_digest", base.alias("_base"))
+        .alias("f")
+        .join(terms.hint("merge").alias("t"), same, "left")
         .select(
             "f._id",
             "f._digest",
-            base.alias("_base"),
-            F.concat(base, F.sort_array(F.coalesce("_terms", none))).alias("_spans"),
+            "_base",
+            F.concat("_base", F.sort_array(F.coalesce("_terms", none))).alias("_spans"),
         )
     )
 
@@ -327,13 +330,17 @@ def sanitised(text: Column, spans: str) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their spans replaced; only rows with spans are joined and changed."""
+    """All documents, their spans replaced; texts move only where spans were found.
+
+    The columns of ``docs`` are carried in one struct, so they may have any names.
+    """
     spans = detect(docs).where(F.size("_spans") > 0).select("_id", "_digest", "_spans")
     spans = materialize(spans.dropDuplicates(["_id", "_digest"]), "spans")
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_hash") == F.col("_digest")]
-    joined = keyed.join(spans, same, "left").withColumn("text", sanitised(F.col("text"), "_spans"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.col("doc_id").alias("_id"), digest("text").alias("_digest"), row.alias("_row"))
+    joined = looked_up(keyed, spans, ["_id", "_digest"])
+    text = sanitised(F.col("_row.text"), "_spans").alias("text")
+    return joined.select(*[text if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 @query("op5_pii")

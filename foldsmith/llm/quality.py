@@ -168,8 +168,10 @@ def judge(
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with the columns of ``docs``."""
-    return judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the rules keep, with the columns of ``docs``, carried in one struct."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = judge(rows, "_row.source", "_row.text").where("kept")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldsmith.llm.components import components
+from foldsmith.llm.joins import looked_up
 from foldsmith.llm.registry import query, table
 from foldsmith.session import broadcast_if_small, materialize
 
@@ -234,20 +235,22 @@ def near_duplicates(
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; documents without an id stay.
 
-    An id that repeats within the kept rows is reduced to one row; the text is shuffled for
-    that only where ids do repeat.
+    Of the rows kept under one id one stays, by the digest of its text, then of the whole row.
+    Only rows whose id goes or repeats are moved. The columns of ``docs`` are carried in one
+    struct, so they may have any names.
     """
-    found = materialize(near_duplicates(docs), "groups")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialize(kept, "kept")
-    count, repeated = kept.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    ids = broadcast_if_small(kept.select("doc_id"), count * ID_BYTES)
-    rows = docs.where(F.col("doc_id").isNotNull()).join(ids, "doc_id", "left_semi")
-    if repeated > 1:
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-        rows = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    rows = rows.unionByName(docs.where(F.col("doc_id").isNull()))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = materialize(near_duplicates(docs), "groups").where("doc_id IS NOT NULL")
+    first = F.sum((F.col("doc_id") == F.col("component_id")).cast("long"))
+    ids = found.groupBy("doc_id").agg(first.alias("kept"), F.count(F.lit(1)).alias("rows"))
+    odd = ids.where("kept <> 1 OR rows <> 1").withColumnRenamed("doc_id", "_id")
+    odd = materialize(odd, "odd_ids")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), row.alias("_row"))
+    marked = looked_up(rows, odd, ["_id"], weight="rows")
+    stay = marked.where("kept IS NULL").select("_row")
+    order = Window.partitionBy("_id").orderBy(F.xxhash64("_text"), F.xxhash64(F.to_json("_row")), F.to_json("_row"))
+    repeated = marked.where("kept > 0").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row")
+    return stay.unionByName(repeated).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 @query("op3_simhash")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.llm import anchors
+from foldsmith.llm.joins import balanced
 from foldsmith.llm.registry import query, table
 from foldsmith.llm.substrings import merged, runs
 from foldsmith.session import materialize
@@ -163,18 +164,19 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
     kinds = shared.groupBy("fp", "fd").agg(
         F.min(rank).alias("owner"),
         F.max(rank).alias("top"),
+        F.count(F.lit(1)).alias("n"),
         *[F.first(c).alias(c) for c in ("doc_id", "key", "place")],
     )
     kinds = materialize(kinds, "kinds")
-    taken = kinds.where("top > owner").select("fp", "fd", "owner")
-    whole = shared.join(taken, ["fp", "fd"]).where(rank > F.col("owner"))
+    taken = kinds.where("top > owner").select("fp", "fd", "owner", "n")
+    whole = balanced(shared, taken, ["fp", "fd"], "n").where(rank > F.col("owner"))
     whole = whole.select("doc_id", "key", *anchors.start_range())
     # Fragments of a gram that has others, some of them with a smaller owner.
     grams = kinds.groupBy("fp").agg(
         F.count(F.lit(1)).alias("different"), F.min("owner").alias("least"), F.max("owner").alias("most")
     )
-    grams = materialize(grams, "grams")  # both sides exchanges: hot grams are split
-    close = kinds.join(grams.where("different > 1 AND most > least"), "fp").select(
+    grams = materialize(grams.where("different > 1 AND most > least"), "grams")
+    close = balanced(kinds, grams, ["fp"], "different").select(
         "doc_id",
         "key",
         "fp",
@@ -192,8 +194,7 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
     def parts(some: DataFrame) -> DataFrame:
         cut = F.struct("fp", "fd", "owner", "asks", "low", "high")
         cuts = some.groupBy("doc_id", "key").agg(F.collect_list(cut).alias("cuts"))
-        cuts = anchors.with_size(materialize(cuts, "cuts"))
-        texts = anchors.on_text(rows.select("doc_id", "key", "text"), cuts, "inner")
+        texts = anchors.on_text(rows.select("doc_id", "key", "text"), materialize(cuts, "cuts"), "inner")
         return texts.select("text", "cuts").mapInArrow(_parts, PARTS)
 
     # About eight bytes a word.
@@ -202,14 +203,15 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
     if close.where("hot").limit(1).count():
         names = "fp long, fd long, owner long, asks boolean, w1 long, w2 long, first long"
         each = materialize(parts(close.where("hot")).mapInPandas(_windows, names), "windows")
-        least = each.groupBy("fp", "w1", "w2").agg(F.min("owner").alias("least"))
+        least = each.groupBy("fp", "w1", "w2").agg(F.min("owner").alias("least"), F.count(F.lit(1)).alias("n"))
         least = materialize(least, "least")
-        again = each.where("asks").join(least, ["fp", "w1", "w2"]).where("owner > least")
+        again = balanced(each.where("asks"), least, ["fp", "w1", "w2"], "n").where("owner > least")
         found = found.unionByName(
             again.select("fp", "fd", "owner", "first", F.col("first").alias("last"))
         )
     found = materialize(found, "found")
-    owned = shared.join(found, ["fp", "fd"]).where(rank == F.col("owner"))
+    # The owner's rows only, so that a fragment many documents share meets in no task.
+    owned = shared.withColumn("owner", rank).join(found, ["fp", "fd", "owner"])
     low, _ = anchors.start_range()
     owned = owned.select(
         "doc_id", "key", (low + F.col("first")).alias("low"), (low + F.col("last")).alias("high")
@@ -249,8 +251,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = repeats(rows, groups).groupBy("doc_id", "key").agg(
         F.collect_list(F.struct("low", "high")).alias("found")
     )
-    found = anchors.with_size(materialize(found, "repeats"))
-    joined = anchors.on_text(rows.join(groups, anchors.SAME_TEXT, "left"), found, "left")
+    joined = anchors.on_text(anchors.with_copies(rows, groups), materialize(found, "repeats"), "left")
     later = F.col("owner").isNotNull() & F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(True))
     return joined.select("doc_id", "text", later.alias("copy"), "found").mapInArrow(
         _remove, "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string"

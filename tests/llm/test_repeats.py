@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from foldsmith.llm import anchors, induced, simhash, substrings, suffix_trees
+from foldsmith.llm import anchors, induced, joins, simhash, substrings, suffix_trees
 from foldsmith.llm.components import components
 from tests.llm.cases import copied_rows, edge_rows, frame, words
 
@@ -79,6 +79,52 @@ def test_word_windows_against_brute_force(spark, monkeypatch, seed, hot):
     assert got == words_removed(rows)
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_of_equal_polynomial_hashes_differ(spark):
+    """Thue-Morse words and their complements are equal under any polynomial modulo 2**64."""
+    before, after = " ".join(f"x{k}" for k in range(200)), " ".join(f"y{k}" for k in range(200))
+    rows = [(k, f"{before} {thue_morse(1024, k)} {after}", "en", "s", 0) for k in range(2)]
+    got = spans_of(suffix_trees.remove_repeats(frame(spark, rows)), lambda k: hashlib.sha256(k.encode()).hexdigest())
+    assert got == words_removed(rows) and {r[2] for r in got} == {0, 400}
+
+
+def test_white_space_between_words_does_not_count(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "LOT_BYTES", 300)  # texts and words at the edges of lots
+    some = [f"w{k}" for k in range(120)]
+    rows = [(1, " ".join(some), "en", "s", 0), (2, " \n" + "\t\x0b ".join(some) + " end\r\n", "en", "s", 0)]
+    rows += [(3, "q" * 2000 + " " + "  ".join(some[20:90]), "en", "s", 0)]
+    got = spans_of(suffix_trees.remove_repeats(frame(spark, rows)), lambda k: hashlib.sha256(k.encode()).hexdigest())
+    assert got == words_removed(rows)
+
+
+@pytest.mark.parametrize("heavy", [1, 1000])
+def test_lookups_find_what_plain_joins_find(spark, monkeypatch, heavy):
+    monkeypatch.setattr(joins, "HEAVY", heavy)
+    rng = random.Random(heavy)
+    rows = [(rng.choice([None, *range(60)]), rng.randrange(3), f"t{k}") for k in range(400)] + [(7, 1, "hot")] * 200
+    left = spark.createDataFrame(rows, "a long, b long, t string").repartition(5)
+    counts = Counter((r[0], r[1]) for r in rows)
+    side = [(a, b, n, f"s{n}") for (a, b), n in counts.items() if n > 2] + [(None, 9, 1, "none"), (900, 0, 1, "none")]
+    right = spark.createDataFrame(side, "a long, b long, n long, v string")
+    values = {(a, b): (n, v) for a, b, n, v in side}
+    for how in ("left", "inner"):
+        for weight in (None, "n"):
+            got = Counter(tuple(r) for r in joins.looked_up(left, right, ["a", "b"], how, weight).collect())
+            plain = [(*r, *values.get(r[:2], (None, None))) for r in rows if how == "left" or r[:2] in values]
+            assert got == Counter(plain)
+    none = joins.looked_up(left, right.where("false"), ["a", "b"])
+    assert none.count() == len(rows) and none.where("v IS NOT NULL").count() == 0
+    keyed = left.where("a IS NOT NULL")
+    for how in ("inner", "left_semi"):
+        got = joins.balanced(keyed, right.where("a IS NOT NULL"), ["a", "b"], "n", how)
+        assert got.count() == sum(r[0] is not None and r[:2] in values for r in rows)
+    plan = joins.looked_up(left, right, ["a", "b"], "inner")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
 def test_nothing_to_remove(spark):
     empty = frame(spark, [])
     assert substrings.remove_repeats(empty).count() == 0
