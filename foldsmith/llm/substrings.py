@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from foldsmith.llm import anchors
 from foldsmith.llm.induced import permuted_prefixes, suffix_array
+from foldsmith.llm.joins import balanced
 from foldsmith.llm.registry import query, table
 from foldsmith.session import materialize
 
 WINDOW = 200
 GRAM = 40
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 HOT = 4096
 ROW = "doc_id long, key long, low long, high long"
 PARTS = "fp long, alone boolean, doc_id long, key long, low long, part binary"
@@ -125,14 +126,14 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "key", "place")]
     )
     kinds = materialize(kinds, "kinds")
-    whole = shared.join(kinds.where("n > 1").select("fp", "fd"), ["fp", "fd"], "left_semi")
+    whole = balanced(shared, kinds.where("n > 1").select("fp", "fd", "n"), ["fp", "fd"], "n", "left_semi")
     whole = whole.select("doc_id", "key", *anchors.start_range())
     # Fragments that stand alone in a gram with others, and what they are compared with.
     grams = kinds.groupBy("fp").agg(
         F.count(F.lit(1)).alias("different"), F.max(F.col("n") == 1).alias("any_alone")
     )
-    grams = materialize(grams, "grams")  # both sides exchanges: hot grams are split
-    close = kinds.join(grams.where("different > 1 AND any_alone"), "fp").select(
+    grams = materialize(grams.where("different > 1 AND any_alone"), "grams")
+    close = balanced(kinds, grams, ["fp"], "different").select(
         "doc_id",
         "key",
         "fp",
@@ -149,8 +150,7 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
         cuts = some.groupBy("doc_id", "key").agg(
             F.collect_list(F.struct("fp", "alone", "low", "high")).alias("cuts")
         )
-        cuts = anchors.with_size(materialize(cuts, "cuts"))
-        texts = anchors.on_text(rows.select("doc_id", "key", "text"), cuts, "inner")
+        texts = anchors.on_text(rows.select("doc_id", "key", "text"), materialize(cuts, "cuts"), "inner")
         return texts.select("doc_id", "key", "text", "cuts").mapInArrow(_parts, PARTS)
 
     shards = parts(close.where("NOT hot")).repartition(max(1, -(-total // SHARD_BYTES)), "fp")
@@ -158,9 +158,9 @@ def repeats(rows: DataFrame, groups: DataFrame) -> DataFrame:
     if close.where("hot").limit(1).count():
         names = "fp long, w1 long, w2 long, alone boolean, doc_id long, key long, low long"
         each = materialize(parts(close.where("hot")).mapInPandas(_windows, names), "windows")
-        often = each.groupBy("fp", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        often = each.groupBy("fp", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         often = materialize(often, "often")
-        again = each.where("alone").join(often, ["fp", "w1", "w2"], "left_semi")
+        again = balanced(each.where("alone"), often, ["fp", "w1", "w2"], "n", "left_semi")
         found = found.unionByName(again.select("doc_id", "key", "low", F.col("low").alias("high")))
     return found
 
@@ -208,8 +208,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = repeats(rows, groups).groupBy("doc_id", "key").agg(
         F.collect_list(F.struct("low", "high")).alias("found")
     )
-    found = anchors.with_size(materialize(found, "repeats"))
-    joined = anchors.on_text(rows.join(groups, anchors.SAME_TEXT, "left"), found, "left")
+    joined = anchors.on_text(anchors.with_copies(rows, groups), materialize(found, "repeats"), "left")
     return joined.select("doc_id", "text", "copies", "found").mapInArrow(
         _remove, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     )
