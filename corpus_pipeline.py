@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foldsmith.llm import decontam, packing, pii, quality, simhash
-from foldsmith.session import materialize
+from foldsmith.session import WRITTEN, discard, materialize
 
 # (name, function of (spark, docs, sf_dir)); all but the last keep the columns of documents.
 STAGES = [
@@ -22,14 +22,19 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-# Near-duplicate groups, tilings and token ids are not within SQL's reach. The operators of
-# the stages are tested against brute-force versions; the pipeline as a whole has no test yet.
+# Near-duplicate groups, tilings and token ids are not within SQL's reach; tests/llm holds the
+# pipeline against the operators' brute-force versions in a chain.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage, from the whole documents table."""
+    """Rows of the last stage, from the whole documents table.
+
+    What a stage wrote on its way, and its input, go once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = len(WRITTEN)
     for name, apply in STAGES:
         docs = materialize(apply(spark, docs, sf_dir), name)
+        discard(spark, WRITTEN[before:-1])
     return docs

@@ -54,8 +54,23 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Folders of the tables written by this driver that are still there.
+WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables written here that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
