@@ -249,6 +249,7 @@ def _cut(plan: Plan, sequence: int):
     types = [pa.int64()] * 7 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer.cache_clear()  # a reused worker needs its words no longer
         for batch in batches:
             for first in range(0, len(batch), SLICE):
                 out = []
