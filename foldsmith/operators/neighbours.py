@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from foldsmith.functions.arrays import norm
 from foldsmith.functions.hashing import hash_key, uniform
+from foldsmith.operators.ranking import group_key
 from foldsmith.session import materialize
 
 # Most pivots: a pivot table of this many vectors travels with each task.
@@ -215,6 +216,27 @@ def _top_k(query: np.ndarray, train: np.ndarray, k: int, p: float, reach: float
         yield q + start, s, d[q, s]
 
 
+def check_sides(queries: DataFrame, train: DataFrame, by) -> None:
+    """An error for vectors with NULL or NaN, and for queries of a group without training rows."""
+    by = list(by)
+    vec = F.col("vec")
+    bad = vec.isNull() | F.exists(vec, lambda x: x.isNull() | F.isnan(x))
+
+    def groups(side: DataFrame) -> DataFrame:
+        sums = side.groupBy(group_key(by).alias("__group"))
+        return sums.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"))
+
+    asked, given = groups(queries), groups(train)
+    both = asked.alias("q").join(given.alias("s"), "__group", "full").agg(
+        F.sum("q.bad"), F.sum("s.bad"), F.count_if(F.col("s.rows").isNull())
+    )
+    bad_queries, bad_train, alone = (n or 0 for n in both.first())
+    if bad_queries or bad_train:
+        raise ValueError(f"vectors without a value in every place: {bad_queries} queries, {bad_train} training rows")
+    if alone:
+        raise ValueError(f"{alone} groups of queries have no training rows")
+
+
 def _blocked_join(
     queries: DataFrame,
     train: DataFrame,
@@ -228,6 +250,7 @@ def _blocked_join(
     by = list(by)
     spark = train.sparkSession
     train = train.select(*by, "s_id", "vec")
+    check_sides(queries, train, by)
     total = train.groupBy(*by).count().agg(F.sum("count"), F.min("count")).first()
     if total[0] is None or (reach is None and total[1] < k):
         raise ValueError(f"{k} neighbours asked for, {total[1] or 0} training rows given")

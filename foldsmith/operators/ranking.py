@@ -62,11 +62,11 @@ def hash_ranges(df: DataFrame, seed, row_id: str, by, digits: int) -> DataFrame:
         .orderBy("__range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    named = df.withColumns(
+        {"__group": group_key(by), "__range": F.substring(hash_key(seed, row_id), 1, digits)}
+    )
     return (
-        df.groupBy(
-            group_key(by).alias("__group"),
-            F.substring(hash_key(seed, row_id), 1, digits).alias("__range"),
-        )
+        named.groupBy("__group", "__range")
         .agg(F.count(F.lit(1)).alias("__rows"), *[F.first(c).alias(c) for c in by])
         .withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
         .withColumn("__total", F.sum("__rows").over(Window.partitionBy("__group")))

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from foldsmith.operators import augment as A
+from foldsmith.operators import neighbour_graph as G
 from foldsmith.operators import neighbours as N
 from foldsmith.plans.preprocess import Preprocessor
 from foldsmith.queries.base import (
@@ -56,6 +57,17 @@ def knn_join(spark, sf_dir):
     return rounded(N.knn_join(q, s, 5, by=["fold_id"]), ["distance"])
 
 
+@query("knn_join_approx")
+def knn_join_approx(spark, sf_dir):
+    """Every 50th vector against all, with the recall against the exact join."""
+    vectors = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    s = vectors.select(F.col("vec_id").alias("s_id"), F.col("embedding").alias("vec"))
+    q = s.where("s_id % 50 = 0").withColumnRenamed("s_id", "q_id")
+    found = written(G.knn_join_approx(q, s, 10), "approx")
+    reached = G.recall(found, q, s, 10).select("recall").first()[0]
+    return rounded(found, ["distance"]).withColumn("recall", F.lit(reached))
+
+
 GAPS = "list_transform(range(1, len(q.vec) + 1), lambda i: abs(q.vec[i] - s.vec[i]))"
 
 
