@@ -20,87 +20,119 @@ POISSON_CDF = tuple(
 )
 
 
+# A digest of 32 hex digits gives the draws of this many resamples, four digits each.
+WORDS, DIGITS = 8, 4
+
+
 def poisson_weight(word: Column) -> Column:
-    """Poisson(1) draw from eight hex digits of a digest.
+    """Poisson(1) draw from four hex digits of a digest.
 
-    With ``u = (number + 0.5) / 2**32`` the draw is the number of CDF steps
+    With ``u = (number + 0.5) / 2**16`` the draw is the number of CDF steps
     below ``u``. Hex text of one width orders like the numbers, so the steps are
-    compared as text and no digit is parsed.
+    compared as text, no digit is parsed, and the first step above ends the search.
     """
-    out = F.lit(0)
-    for step in POISSON_CDF:
-        first = math.floor(step * 2**32 - 0.5) + 1
-        if first < 2**32:
-            out = out + F.when(word >= F.lit(f"{first:08x}"), 1).otherwise(0)
-    return out
+    size = 16**DIGITS
+    steps = [math.floor(step * size - 0.5) + 1 for step in POISSON_CDF]
+    texts = [f"{step:0{DIGITS}x}" for step in steps if step < size]
+    out = F.when(word < F.lit(texts[0]), 0)
+    for number, text in enumerate(texts[1:], 1):
+        out = out.when(word < F.lit(text), number)
+    return out.otherwise(len(texts))
 
 
-def bootstrap_ci(
-    df: DataFrame,
-    by,
-    value: str,
-    row_id: str,
-    draws: int = 1000,
-    level: float = 0.95,
-    seed=42,
-) -> DataFrame:
-    """Mean and percentile interval of resampled means per group.
+def draw_sums(df: DataFrame, by, values, row_id: str, draws: int, seed=42) -> DataFrame:
+    """Sums per group and block of ``WORDS`` resamples, of all value columns at once.
 
-    A resample weights every row by a Poisson(1) count, so rows are never
-    gathered and the weighted sums combine on the map side. One digest gives
-    the weights of four resamples.
+    A resample weights every row by a Poisson(1) count, so rows are never gathered and the
+    weighted sums combine on the map side. One digest of seed, block and row gives the
+    weights of a block's resamples; all values share them. Sums add up to those of larger groups.
     """
     by = list(by)
-    x = F.col("__x")
-    rows = df.select(*by, row_id, F.col(value).cast("double").alias("__x"))
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws + 3) // 4 - 1)))
-    keyed = (
-        rows.filter(x.isNotNull())
-        .select(*by, "__x", row_id, blocks.alias("__block"))
-        .select(*by, "__x", "__block", hash_key(seed, "__block", row_id).alias("__key"))
-    )
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // WORDS) - 1)))
+    named = [F.col(v).cast("double").alias(f"__x{i}") for i, v in enumerate(values)]
+    keyed = df.select(*by, row_id, *named, blocks.alias("__block"))
+    x = [f"__x{i}" for i in range(len(values))]
+    keyed = keyed.select(*by, *x, "__block", hash_key(seed, "__block", row_id).alias("__key"))
     # Words and weights have projections of their own: each is used often.
-    words = keyed.select(
-        *by,
-        "__x",
-        "__block",
-        *[F.substring("__key", 1 + 8 * w, 8).alias(f"__u{w}") for w in range(4)],
-    )
-    weighted = words.select(
-        *by, "__x", "__block", *[poisson_weight(F.col(f"__u{w}")).alias(f"__w{w}") for w in range(4)]
-    )
-    sums = weighted.groupBy(*by, "__block").agg(
-        *[
-            F.try_divide(F.sum(x * F.col(f"__w{w}")), F.sum(f"__w{w}")).alias(f"m{w}")
-            for w in range(4)
-        ],
-        F.avg(x).alias("__centre"),
+    words = [F.substring("__key", 1 + DIGITS * w, DIGITS).alias(f"__u{w}") for w in range(WORDS)]
+    keyed = keyed.select(*by, *x, "__block", *words)
+    weights = [poisson_weight(F.col(f"__u{w}")).alias(f"__w{w}") for w in range(WORDS)]
+    keyed = keyed.select(*by, *x, "__block", *weights)
+    sums = []
+    for i in range(len(values)):
+        here = F.col(f"__x{i}").isNotNull()
+        sums += [F.sum(f"__x{i}").alias(f"__c{i}"), F.count(f"__x{i}").alias(f"__k{i}")]
+        for w in range(WORDS):
+            weight = F.col(f"__w{w}")
+            sums.append(F.sum(F.col(f"__x{i}") * weight).alias(f"__s{i}{w}"))
+            sums.append(F.sum(F.when(here, weight)).alias(f"__n{i}{w}"))
+    return keyed.groupBy(*by, "__block").agg(*sums)
+
+
+def intervals(sums: DataFrame, by, values, draws: int, level: float = 0.95) -> DataFrame:
+    """Mean and percentile interval of every value per group, from the sums of its draws."""
+    by = list(by)
+    total = sums.groupBy(*by, "__block").agg(
+        *[F.sum(c).alias(c) for c in sums.columns if c not in by and c[:3] in ("__s", "__n", "__c", "__k")]
     )
-    means = sums.select(
-        *by,
-        "__block",
-        "__centre",
-        F.posexplode(F.array(*[F.col(f"m{w}") for w in range(4)])).alias("__pos", "__mean"),
-    ).filter(F.col("__block") * 4 + F.col("__pos") < draws)
+    entries = [
+        F.struct(
+            F.lit(v).alias("metric"),
+            (F.col("__block") * WORDS + w).alias("draw"),
+            F.try_divide(F.col(f"__s{i}{w}"), F.col(f"__n{i}{w}")).alias("mean"),
+            F.try_divide(F.col(f"__c{i}"), F.col(f"__k{i}")).alias("centre"),
+        )
+        for i, v in enumerate(values)
+        for w in range(WORDS)
+    ]
+    means = total.select(*by, F.inline(F.array(*entries))).filter(F.col("draw") < draws)
     tail = (1 - level) / 2
-    limits = F.percentile("__mean", F.array(F.lit(tail), F.lit(1 - tail)))
-    return means.groupBy(*by).agg(
-        F.min_by("__centre", "__block").alias("mean"), limits.alias("__limits")
-    ).select(
+    limits = F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail)))
+    found = means.groupBy(*by, "metric").agg(F.min_by("centre", "draw").alias("mean"), limits.alias("__limits"))
+    return found.filter(F.col("mean").isNotNull()).select(
         *by,
+        "metric",
         "mean",
         F.get("__limits", F.lit(0)).alias("ci_low"),
         F.get("__limits", F.lit(1)).alias("ci_high"),
     )
 
 
+def bootstrap_ci(
+    df: DataFrame,
+    by,
+    value: str,
+    row_id: str,
+    draws: int = 1000,
+    level: float = 0.95,
+    seed=42,
+) -> DataFrame:
+    """Mean and percentile interval of resampled means per group."""
+    sums = draw_sums(df, by, [value], row_id, draws, seed)
+    return intervals(sums, by, [value], draws, level).drop("metric")
+
+
 def model_means(results: DataFrame, metrics, by, row_id: str, draws: int = 1000) -> DataFrame:
     """Mean and bootstrap interval of each metric by ``by``: within a dataset
     over folds, or over all datasets, as ``by`` says."""
-    long = unpivot(results, [*by, row_id], metrics, "double").withColumnRenamed(
-        "column", "metric"
-    )
-    return bootstrap_ci(long, [*by, "metric"], "value", row_id, draws)
+    return intervals(draw_sums(results, by, metrics, row_id, draws), by, metrics, draws)
+
+
+def model_means_sets(results: DataFrame, metrics, sets, row_id: str, draws: int = 1000) -> DataFrame:
+    """``model_means`` of several groupings, the first of which holds the columns of all others.
+
+    Weights are drawn once per row, for all metrics and groupings; the coarser groupings add
+    up the sums of the first. Columns that a grouping lacks are NULL, ``grouping`` is its
+    number in ``sets``.
+    """
+    finest = list(sets[0])
+    sums = materialize(draw_sums(results, finest, metrics, row_id, draws), "draws")
+    out = None
+    for number, by in enumerate(sets):
+        missing = [F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in finest if c not in by]
+        part = intervals(sums, by, metrics, draws).select("*", *missing, F.lit(number).alias("grouping"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def model_sd(results: DataFrame, metrics, by) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions.arrays import argmax
 from foldsmith.operators.ranking import attach, value_ranges
-from foldsmith.session import materialize
 
 # Fixed value: double-precision machine epsilon, the clip of the log loss.
 EPS = 2.220446049250313e-16
@@ -54,87 +53,99 @@ def auc_hard(df: DataFrame, keys) -> DataFrame:
     )
 
 
-def rank_auc(scored: DataFrame, keys) -> DataFrame:
-    """Mann-Whitney AUC with ties counted half, per key.
+def class_wins(df: DataFrame, keys) -> DataFrame:
+    """Per run and class a: how its rows rank among those of every class by the score of a.
 
-    ``scored`` holds the keys, ``score`` and ``positive`` (boolean). Scores are
-    counted first; ordered ranges of scores are then summed up one by one, so
-    neither a large run nor a tied score meets in one task.
+    Gives the keys, ``a``, ``n`` (rows of each true class) and ``wins``: pairs of a row of
+    class a and one of class c where the first scores higher, ties counted half. Every
+    scheme of AUC follows from these. Scores are counted first, per true class; ordered ranges
+    of scores then carry one running sum per class, so neither a large run nor a tied score
+    meets in one task, and the rows are ranked once for all classes and schemes.
     """
     keys = list(keys)
-    pos = F.sum(F.when(F.col("positive"), 1).otherwise(0))
-    neg = F.sum(F.when(F.col("positive"), 0).otherwise(1))
-    counts = scored.groupBy(*keys, "score").agg(pos.alias("pos"), neg.alias("neg"))
-    ranged = value_ranges(counts, keys, "score")
+    y = F.col("y_true").cast("int")
+    rows = df.select(*keys, y.alias("y"), "probs")
+    top = rows.agg(F.max(F.greatest(F.size("probs") - 1, "y"))).first()[0]
+    classes = range((top if top is not None else 0) + 1)
+    each = [F.sum(F.when(F.col("y") == c, 1).otherwise(0)).alias(f"n{c}") for c in classes]
+    scored = rows.select(*keys, "y", F.posexplode("probs").alias("a", "score"))
+    ranged = value_ranges(scored.groupBy(*keys, "a", "score").agg(*each), [*keys, "a"], "score")
     inside = (
         Window.partitionBy("__group", "__range")
         .orderBy("score")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    half_ties = F.coalesce(F.sum("neg").over(inside), F.lit(0)) + F.col("neg") / 2
-    local = (
-        ranged.withColumn("below", half_ties)
-        .groupBy("__group", "__range")
-        .agg(
-            *[F.first(c).alias(c) for c in keys],
-            F.sum(F.col("pos") * F.col("below")).alias("wins"),
-            F.sum("pos").alias("pos"),
-            F.sum("neg").alias("neg"),
-        )
+    own = F.get(F.array(*[F.col(f"n{c}") for c in classes]), F.col("a"))
+    local = ranged.select(
+        *keys, "a", "__group", "__range", own.alias("own"), *[f"n{c}" for c in classes],
+        *[(F.coalesce(F.sum(f"n{c}").over(inside), F.lit(0)) + F.col(f"n{c}") / 2).alias(f"b{c}") for c in classes],
+    )
+    sums = local.groupBy("__group", "__range").agg(
+        *[F.first(c).alias(c) for c in (*keys, "a")],
+        F.sum("own").alias("own"),
+        *[F.sum(F.col("own") * F.col(f"b{c}")).alias(f"w{c}") for c in classes],
+        *[F.sum(f"n{c}").alias(f"n{c}") for c in classes],
     )
     before = (
         Window.partitionBy("__group")
         .orderBy("__range")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    below = F.coalesce(F.sum("neg").over(before), F.lit(0)).cast("double")
-    n_pos, n_neg = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    return (
-        local.withColumn("wins", F.col("wins") + F.col("pos") * below)
-        .groupBy(*keys)
-        .agg(F.try_divide(F.sum("wins"), n_pos * n_neg).alias("auc"), n_pos.alias("n_pos"))
+    below = {c: F.coalesce(F.sum(f"n{c}").over(before), F.lit(0)).cast("double") for c in classes}
+    placed = sums.select(
+        *keys, "a", *[f"n{c}" for c in classes],
+        *[(F.col(f"w{c}") + F.col("own") * below[c]).alias(f"w{c}") for c in classes],
+    )
+    return placed.groupBy(*keys, "a").agg(
+        F.array(*[F.sum(f"n{c}").cast("double") for c in classes]).alias("n"),
+        F.array(*[F.sum(f"w{c}") for c in classes]).alias("wins"),
     )
 
 
-def auc_prob(df: DataFrame, keys, multi_class: str = "ovo") -> DataFrame:
-    """AUC of the probabilities, macro average over classes or class pairs.
+SCHEMES = ("ovo", "ovr")
 
-    Two classes use the probability of class 1. ``ovr`` compares each class
-    with all others, ``ovo`` each ordered pair of classes by the probability
-    of its first. An undefined comparison, as where a class does not occur,
-    makes the result NULL.
-    """
-    keys = list(keys)
-    if multi_class not in ("ovr", "ovo"):
-        raise ValueError(f"unknown scheme {multi_class!r}")
-    y = F.col("y_true").cast("int")
-    every = F.sequence(F.lit(0), F.size("probs") - 1)
 
-    def pair(a, b) -> Column:
-        return F.struct(a.alias("a"), b.alias("b"))
+def auc_schemes(df: DataFrame, keys, schemes=SCHEMES) -> DataFrame:
+    """AUC of the probabilities by several schemes, one column each, from one ranking.
 
-    if multi_class == "ovr":
-        pairs = F.transform(every, lambda c: pair(c, F.lit(-1)))
-    else:
-        others = F.filter(every, lambda c: c != y)
-        pairs = F.concat(
-            F.transform(others, lambda c: pair(y, c)), F.transform(others, lambda c: pair(c, y))
-        )
-    scored = df.select(*keys, "y_true", "probs", F.inline(pairs)).select(
+    Macro average over classes or class pairs. Two classes use the probability of class 1.
+    ``ovr`` compares each class with all others, ``ovo`` each ordered pair of classes by the
+    probability of its first. An undefined comparison, as where a class does not occur, makes
+    the result NULL.
+    """
+    keys = list(keys)
+    if not set(schemes) <= set(SCHEMES):
+        raise ValueError(f"unknown scheme in {schemes!r}")
+    classes = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    rows = class_wins(df, keys).withColumn("__size", F.max("a").over(classes) + 1)  # one row a class
+    of, n, own = F.col("a"), F.col("n"), F.get("n", F.col("a"))
+    others = F.filter(F.sequence(F.lit(0), F.col("__size") - 1), lambda c: c != of)
+    total = lambda part: F.aggregate(others, F.lit(0.0), lambda x, c: x + F.get(F.col(part), c))
+    pairs = F.transform(others, lambda c: F.try_divide(F.get("wins", c), own * F.get(n, c)))
+    rows = rows.select(
         *keys,
         "a",
-        "b",
-        F.get("probs", F.col("a")).alias("score"),
-        (F.col("y_true") == F.col("a")).alias("positive"),
-    )
-    parts = rank_auc(scored, [*keys, "a", "b"])
-    present = F.count_distinct(F.when(F.col("n_pos") > 0, F.col("a")))
-    rest = F.lit(-1) if multi_class == "ovr" else F.lit(0)
-    binary = F.max(F.when((F.col("a") == 1) & (F.col("b") == rest), F.col("auc")))
-    whole = F.count("auc") == F.count(F.lit(1))
-    return parts.groupBy(*keys).agg(
-        F.when(present <= 2, binary).when(whole, F.avg("auc")).alias("auc")
+        (own > 0).alias("__there"),
+        F.try_divide(total("wins"), own * total("n")).alias("ovr"),
+        pairs.alias("ovo"),
     )
+    present = F.count_if("__there")
+    first = F.max(F.when(of == 1, F.get("ovo", F.lit(0))))  # class 1 against class 0
+    found = {
+        "ovr": F.when(present <= 2, F.max(F.when(of == 1, F.col("ovr")))).when(
+            F.count("ovr") == F.count(F.lit(1)), F.avg("ovr")
+        ),
+        "ovo": F.when(present <= 2, first).when(
+            ~F.bool_or(F.exists("ovo", lambda x: x.isNull())),
+            F.sum(F.aggregate("ovo", F.lit(0.0), lambda x, y: x + y)) / F.sum(F.size("ovo")),
+        ),
+    }
+    return rows.groupBy(*keys).agg(*[found[s].alias(s) for s in schemes])
+
+
+def auc_prob(df: DataFrame, keys, multi_class: str = "ovo") -> DataFrame:
+    """AUC of the probabilities by one scheme; see ``auc_schemes``."""
+    return auc_schemes(df, keys, (multi_class,)).withColumnRenamed(multi_class, "auc")
 
 
 def _f1_weighted(counts: DataFrame, keys) -> DataFrame:

@@ -16,7 +16,7 @@ from foldsmith.queries.base import (
 )
 
 METRICS = ["accuracy", "f1"]
-DRAWS = 40
+DRAWS = 1000
 RUN_ID = "concat_ws('/', random_state, dataset_id, fold, model_name, augmentation)"
 LONG = f"""long AS (SELECT r.*, {RUN_ID} AS run_id, m AS metric,
   CASE WHEN m = 'f1' THEN f1 ELSE accuracy END AS value
@@ -31,9 +31,11 @@ def runs(spark, sf_dir):
 def ci_sql(source: str, by: str, draws: int = DRAWS) -> str:
     """Poisson bootstrap with the digest draws, written with a table of weights."""
     steps = " + ".join(f"(u > {p!r}::DOUBLE)::INTEGER" for p in A.POISSON_CDF)
-    return f"""draw AS (SELECT {by}, value, b, CAST('0x' || substr(md5(concat_ws(':', '42', CAST(b // 4 AS VARCHAR),
-  run_id)), CAST(1 + 8 * (b % 4) AS BIGINT), 8) AS BIGINT) AS word FROM {source}, range({draws}) g(b)),
-wt AS (SELECT {by}, value, b, {steps} AS w FROM (SELECT *, (word + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM draw)),
+    return f"""draw AS (SELECT {by}, value, k, md5(concat_ws(':', '42', CAST(k AS VARCHAR), run_id)) AS d
+  FROM {source}, range({-(-draws // A.WORDS)}) g(k)),
+wt AS (SELECT {by}, value, b, {steps} AS w FROM (SELECT {by}, value, {A.WORDS} * k + j AS b,
+  (CAST('0x' || substr(d, CAST(1 + {A.DIGITS} * j AS BIGINT), {A.DIGITS}) AS BIGINT) + 0.5::DOUBLE) / {16**A.DIGITS}.0::DOUBLE AS u
+  FROM draw, range({A.WORDS}) t(j)) WHERE b < {draws}),
 res AS (SELECT {by}, b, sum(value * w) / nullif(sum(w), 0) AS m FROM wt GROUP BY {by}, b),
 ci AS (SELECT {by}, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM res GROUP BY {by}),
 mean AS (SELECT {by}, avg(value) AS mean FROM {source} GROUP BY {by})
@@ -53,6 +55,19 @@ def agg_model_across_datasets(spark, sf_dir):
     return rounded(out, ["mean", "ci_low", "ci_high"])
 
 
+@query(
+    "agg_model_sets",
+    f"""SELECT dataset_id, model_name, metric, mean, ci_low, ci_high, 0 AS grouping FROM (
+  WITH {LONG}, {ci_sql('long', 'dataset_id, model_name, metric')})
+UNION ALL SELECT NULL, model_name, metric, mean, ci_low, ci_high, 1 FROM (
+  WITH {LONG}, {ci_sql('long', 'model_name, metric')})""",
+)
+def agg_model_sets(spark, sf_dir):
+    sets = [["dataset_id", "model_name"], ["model_name"]]
+    out = A.model_means_sets(runs(spark, sf_dir), METRICS, sets, "run_id", DRAWS)
+    return rounded(out, ["mean", "ci_low", "ci_high"])
+
+
 @query(
     "agg_model_sd",
     f"""WITH {LONG} SELECT dataset_id, model_name, metric, {sr6('avg(value)')} AS mean,

@@ -89,11 +89,9 @@ UNION ALL SELECT run, 'binary', {sr6('auc')} FROM ({AUC2.replace('FROM preds', '
 )
 def metric_auc_prob(spark, sf_dir):
     three, two = predictions(spark, sf_dir, 3), predictions(spark, sf_dir, 2)
-    parts = [
-        M.auc_prob(three, PRED_KEYS, "ovo").withColumn("scheme", F.lit("ovo")),
-        M.auc_prob(three, PRED_KEYS, "ovr").withColumn("scheme", F.lit("ovr")),
-        M.auc_prob(two, PRED_KEYS).withColumn("scheme", F.lit("binary")),
-    ]
+    both = M.auc_schemes(three, PRED_KEYS)
+    parts = [both.select(*PRED_KEYS, F.col(x).alias("auc"), F.lit(x).alias("scheme")) for x in M.SCHEMES]
+    parts.append(M.auc_prob(two, PRED_KEYS).withColumn("scheme", F.lit("binary")))
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["auc"])
 
 

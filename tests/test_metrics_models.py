@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,3 +222,49 @@ def test_runs_resume_and_search_marks_one_best(spark, table):
     assert all(r.accuracy >= majority - 0.05 for r in first.collect())
     trials = X.search_candidates(spark, {"depth": ("int", 1, 4), "lr": ("loguniform", 1e-6, 1e-3)}, 3)
     assert all(1 <= r.depth <= 4 and 1e-6 <= r.lr <= 1e-3 for r in trials.collect())
+
+
+def plain_auc(rows, a, others):
+    """Share of pairs that rank right, ties half; None without pairs."""
+    own = [p[a] for y, p in rows if y == a]
+    rest = [p[a] for y, p in rows if y in others]
+    pairs = [(x > z) + (x == z) / 2 for x in own for z in rest]
+    return sum(pairs) / len(pairs) if pairs else None
+
+
+@pytest.mark.parametrize("seed, labels", [(0, 3), (1, 4), (2, 2)])
+def test_all_schemes_come_from_one_ranking(spark, seed, labels):
+    rng = random.Random(seed)
+    rows = [(f"r{k % 2}", k, rng.randrange(labels), [rng.randrange(5) / 4 for _ in range(4)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "run string, id long, y_true int, probs array<double>")
+    got = {r.run: r for r in M.auc_schemes(df, ["run"]).collect()}
+    for run, r in got.items():
+        own = [(y, p) for name, _, y, p in rows if name == run]
+        if labels == 2:
+            wanted = plain_auc(own, 1, {0}), plain_auc(own, 1, {0, 2, 3})
+        else:
+            ovo = [plain_auc(own, a, {b}) for a in range(4) for b in range(4) if a != b]
+            ovr = [plain_auc(own, a, {*range(4)} - {a}) for a in range(4)]
+            wanted = [None if None in x else sum(x) / len(x) for x in (ovo, ovr)]
+        assert (r.ovo, r.ovr) == pytest.approx(tuple(wanted)) or (r.ovo, r.ovr) == tuple(wanted)
+        for scheme in M.SCHEMES:
+            alone = {x.run: x.auc for x in M.auc_prob(df, ["run"], scheme).collect()}
+            assert alone[run] == pytest.approx(r[scheme]) if r[scheme] is not None else alone[run] is None
+    assert M.auc_schemes(df.where("false"), ["run"]).count() == 0
+
+
+def test_groupings_share_their_draws(spark):
+    rng = random.Random(1)
+    rows = [(f"d{k % 5}", f"m{k % 3}", str(k), rng.random(), None if k % 7 == 0 else rng.random()) for k in range(300)]
+    df = spark.createDataFrame(rows, "d string, m string, id string, a double, b double")
+    both = AN.model_means_sets(df, ["a", "b"], [["d", "m"], ["m"]], "id", 100)
+    for number, by in enumerate((["d", "m"], ["m"])):
+        alone = {tuple(r[c] for c in (*by, "metric")): r for r in AN.model_means(df, ["a", "b"], by, "id", 100).collect()}
+        found = both.where(F.col("grouping") == number).collect()
+        assert len(found) == len(alone)
+        for r in found:
+            other = alone[tuple(r[c] for c in (*by, "metric"))]
+            for c in ("mean", "ci_low", "ci_high"):
+                assert r[c] == pytest.approx(other[c])
+            assert number == 0 or r.d is None
+            assert r.ci_low < r["mean"] < r.ci_high
