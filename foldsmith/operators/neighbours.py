@@ -1,11 +1,16 @@
 """Exact nearest-neighbour joins without comparing every pair.
 
-Training rows are assigned to the nearest of a few pivots. The distances to the
-pivots bound, by the triangle inequality, which cells can hold a neighbour of a
-query, and a query travels to those cells only (Lu, Shen, Chen and Ooi 2012).
-Cells, and the queries that visit them, are cut into blocks of bounded size, so
-a cell that holds a third of all rows becomes many tasks. Inside a block NumPy
-computes distances and passes on the best ``k`` rows per query, never pairs.
+Training rows are assigned to the nearest of about ``sqrt(rows)`` pivots, found through
+an upper level of ``sqrt(pivots)`` heads. The distances to the pivots bound, by the
+triangle inequality and by the borders between cells, which cells can hold a neighbour
+(after Lu, Shen, Chen and Ooi 2012). Cells below one head travel together in blocks of
+bounded size, and a cell that holds a third of all rows becomes many blocks. A query
+first visits the block of its nearest cell; the k-th distance found there bounds which
+other blocks it visits, and within a block which cells it is compared with. Inside a
+block NumPy computes distances and passes on the best ``k`` rows per query, never pairs.
+
+How many cells stay open depends on the intrinsic dimension of the vectors, not on
+clusters. Vectors drawn at random in many dimensions leave nothing to skip, by any bound.
 """
 
 from __future__ import annotations
@@ -23,15 +28,9 @@ from pyspark.sql import types as T
 from foldsmith.functions.arrays import norm
 from foldsmith.functions.hashing import hash_key, uniform
 from foldsmith.operators.ranking import group_key
-from foldsmith.session import materialize
+from foldsmith.session import BROADCAST_BYTES, materialize
 
-# Most pivots: a pivot table of this many vectors travels with each task.
-MAX_PIVOTS = 512
-
-# Training rows per pivot, until the number of pivots reaches its maximum.
-PIVOT_ROWS = 4_000
-
-# Rows of one block of a cell: the most a task holds of either side.
+# The most a task holds of either side.
 TRAIN_BLOCK = 50_000
 QUERY_BLOCK = 10_000
 
@@ -64,6 +63,13 @@ def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     return out if p in (1, math.inf) else out ** (1.0 / p)
 
 
+def _pieces(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Rows in pieces of at most ``TILE`` distances to ``width`` others."""
+    step = max(1, TILE // max(1, width))
+    for start in range(0, len(rows), step):
+        yield rows[start : start + step]
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
@@ -99,9 +105,66 @@ class _Cells:
 
     pivots: np.ndarray
     radius: np.ndarray  # groups x pivots, -1 where a cell is empty
+    inner: np.ndarray  # groups x pivots, distance of the closest row to its pivot
     nearest: np.ndarray  # groups x pivots x k, infinity where fewer
     groups: dict
 
+    def group(self, pdf: pd.DataFrame, by) -> np.ndarray:
+        keys = zip(*[pdf[c] for c in by], strict=True) if by else [()] * len(pdf)
+        return np.array([self.groups.get(key, -1) for key in keys], dtype=int)
+
+    def floor(self, d: np.ndarray, g: int, p: float) -> np.ndarray:
+        """Least distance of a query to the rows of each cell, from its distances to the pivots.
+
+        Three bounds: the ball around the pivot, the empty ball inside it, and the border
+        between the cell and the query's own, as every row is in the cell of its nearest pivot.
+        """
+        low = np.maximum(d - self.radius[g], self.inner[g] - d)
+        own = d.argmin(axis=1)
+        least = d[np.arange(len(d)), own][:, None]
+        border = (d - least) / 2
+        if p == 2:
+            homes, at = np.unique(own, return_inverse=True)
+            apart = distances(self.pivots[homes], self.pivots, p)[at.ravel()]
+            wide = apart > d * 1e-3  # pivots close together lose the digits of the difference
+            steep = (d - least) * (d + least) / np.where(wide, 2 * apart, 1.0)
+            border = np.where(wide, np.maximum(border, steep), border)
+        low = np.maximum(low, border) - SLACK * d
+        return np.where(self.radius[g] >= 0, low, np.inf)
+
+
+def _heads(pivots: np.ndarray, p: float) -> list:
+    """The upper level: every ``sqrt(pivots)``-th pivot of a fixed shuffle, the pivots
+    nearest to it, and the radius around them."""
+    chosen = np.random.default_rng(0).permutation(len(pivots))[: math.ceil(math.sqrt(len(pivots)))]
+    d = distances(pivots, pivots[chosen], p)
+    own = d.argmin(axis=1)
+    members = [np.flatnonzero(own == j) for j in range(len(chosen))]
+    return [(pivots[c], m, d[m, j].max()) for j, (c, m) in enumerate(zip(chosen, members)) if len(m)]
+
+
+def _closest(x: np.ndarray, pivots: np.ndarray, heads: list, p: float):
+    """Nearest pivot of every row and the distance to it. A head is opened for the rows
+    that may have their nearest pivot below it, the nearest heads first."""
+    far = distances(x, np.stack([h[0] for h in heads]), p)
+    cell = np.full(len(x), -1)
+    gap = np.full(len(x), np.inf)
+    first = far.argmin(axis=1)
+    for opened in (True, False):
+        for j, (_, members, radius) in enumerate(heads):
+            open_for = first == j if opened else (first != j) & (
+                far[:, j] * (1 - SLACK) - radius <= gap * (1 + SLACK)
+            )
+            at = np.flatnonzero(open_for)
+            for part in _pieces(at, len(members)):
+                d = distances(x[part], pivots[members], p)
+                best = d.argmin(axis=1)
+                least = d[np.arange(len(part)), best]
+                nearer = least < gap[part]
+                gap[part[nearer]] = least[nearer]
+                cell[part[nearer]] = members[best[nearer]]
+    return cell, gap
+
 
 def _assign(df: DataFrame, pivots: np.ndarray, p: float, columns) -> DataFrame:
     """Add the nearest pivot and the distance to it."""
@@ -109,13 +172,13 @@ def _assign(df: DataFrame, pivots: np.ndarray, p: float, columns) -> DataFrame:
         [df.schema[c] for c in columns]
         + [T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]
     )
+    heads = _heads(pivots, p)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                d = distances(matrix(pdf["vec"]), pivots, p)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), gap=d[np.arange(len(d)), cell])
+                cell, gap = _closest(matrix(pdf["vec"]), pivots, heads, p)
+                yield pdf.assign(cell=cell.astype("int32"), gap=gap)
 
     return df.select(*columns).mapInPandas(assign, schema)
 
@@ -148,71 +211,164 @@ def _describe(assigned: DataFrame, by, pivots: np.ndarray, k: int) -> tuple[_Cel
         radius[g, r.cell] = r.radius
         nearest[g, r.cell, : len(r.near)] = r.near
         counts[(*[r[c] for c in by], r.cell)] = r.n
-    return _Cells(pivots, radius, nearest, groups), counts
+    return _Cells(pivots, radius, nearest[:, :, 0].copy(), nearest, groups), counts
+
+
+@dataclass(frozen=True)
+class _Blocks:
+    """Which blocks hold a cell: ``parts`` of them from ``first`` on."""
+
+    first: np.ndarray  # groups x pivots
+    parts: np.ndarray
+
+
+def _deal(cells: _Cells, counts: dict, p: float) -> _Blocks:
+    """Cells below one head share blocks of bounded size; a larger cell is cut into several."""
+    sizes = np.zeros(cells.radius.shape, dtype=int)
+    for (*group, cell), n in counts.items():
+        sizes[cells.groups[tuple(group)], cell] = n
+    order = np.concatenate([members for _, members, _ in _heads(cells.pivots, p)])
+    first = np.zeros(sizes.shape, dtype=int)
+    parts = np.maximum(1, -(-sizes // TRAIN_BLOCK))
+    block = 0
+    for g in range(len(sizes)):
+        filled = 0
+        for c in order:
+            if filled + sizes[g, c] > TRAIN_BLOCK and filled:
+                block, filled = block + 1, 0
+            first[g, c] = block
+            filled += sizes[g, c]
+            if parts[g, c] > 1:
+                block, filled = block + parts[g, c], 0
+        block += 1
+    return _Blocks(first, parts)
 
 
 def _visits(
-    queries: DataFrame, cells: _Cells, by, k: int, p: float, reach: float | None
+    queries: DataFrame,
+    cells: _Cells,
+    by,
+    k: int,
+    p: float,
+    reach: float | None,
+    blocks: _Blocks | None = None,
+    home: bool = False,
 ) -> DataFrame:
-    """Each query once per cell that can hold one of its neighbours.
+    """Each query once per place that can hold one of its neighbours.
 
-    The k-th smallest of (distance to pivot + distance of a training row to the
-    pivot) bounds the distance of the k-th neighbour. A cell whose ball lies
-    beyond that bound is skipped. With ``reach`` the bound is given instead.
+    A place is a cell, or with ``blocks`` a block of cells. The k-th smallest of
+    (distance to pivot + distance of a training row to the pivot) bounds the distance
+    of the k-th neighbour; so does the column ``bound``, and ``reach`` when given. A
+    cell whose rows all lie beyond that bound is skipped, and so is the place named in
+    the column ``seen``. With ``home`` a query goes to its nearest cell alone.
     """
     by = list(by)
+    given = [c for c in ("bound", "seen") if c in queries.columns]
     schema = T.StructType(
         [queries.schema[c] for c in (*by, "q_id", "vec")]
-        + [T.StructField("cell", T.IntegerType())]
+        + [T.StructField("cell", T.IntegerType()), T.StructField("bound", T.DoubleType())]
     )
+    draw = F.pmod(F.xxhash64("q_id"), F.lit(1 << 31)).alias("__draw")
+
+    def places(g: int, r: np.ndarray, c: np.ndarray, draws: np.ndarray):
+        if blocks is None:
+            return r, c
+        parts = blocks.parts[g][c]
+        if home:  # one part of a cut cell
+            return r, blocks.first[g][c] + draws[r] % parts
+        ends = np.cumsum(parts)
+        step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - parts, parts)
+        pairs = np.stack([np.repeat(r, parts), np.repeat(blocks.first[g][c], parts) + step])
+        return np.unique(pairs, axis=1)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            d = distances(matrix(pdf["vec"]), cells.pivots, p)
-            keys = zip(*[pdf[c] for c in by], strict=True) if by else [()] * len(pdf)
-            group = np.array([cells.groups.get(key, -1) for key in keys])
-            rows, targets = [], []
+            x, group = matrix(pdf["vec"]), cells.group(pdf, by)
+            draws = pdf["__draw"].to_numpy()
             for g in np.unique(group[group >= 0]):
                 at = np.flatnonzero(group == g)
-                full = cells.radius[g] >= 0
-                for part in np.array_split(at, max(1, len(at) * full.sum() * k // TILE)):
+                for part in _pieces(at, len(cells.pivots) * k):
+                    d = distances(x[part], cells.pivots, p)
                     if reach is None:
-                        bounds = (d[part][:, full, None] + cells.nearest[g][full][None]).reshape(
-                            len(part), -1
-                        )
-                        bound = np.partition(bounds, k - 1, axis=1)[:, k - 1]
+                        sums = (d[:, :, None] + cells.nearest[g][None]).reshape(len(part), -1)
+                        bound = np.partition(sums, k - 1, axis=1)[:, k - 1]
                     else:
                         bound = np.full(len(part), reach)
+                    if "bound" in given:
+                        bound = np.minimum(bound, pdf["bound"].to_numpy()[part])
                     limit = bound * (1 + SLACK) + SLACK
-                    hit = (d[part] - cells.radius[g][None] <= limit[:, None]) & full[None]
-                    r, c = np.nonzero(hit)
-                    rows.append(part[r])
-                    targets.append(c)
-            if rows:
-                out = pdf.iloc[np.concatenate(rows)].reset_index(drop=True)
-                yield out.assign(cell=np.concatenate(targets).astype("int32"))
-
-    return queries.select(*by, "q_id", "vec").mapInPandas(visit, schema)
-
-
-def _top_k(query: np.ndarray, train: np.ndarray, k: int, p: float, reach: float | None):
-    """(query row, train row, distance) of the best k or of all within reach.
-    The training rows are in id order, which settles ties."""
+                    if home:
+                        full = np.where(cells.radius[g] >= 0, d, np.inf)
+                        r, c = np.arange(len(part)), full.argmin(axis=1)
+                    else:
+                        r, c = np.nonzero(cells.floor(d, g, p) <= limit[:, None])
+                    r, place = places(g, r, c, draws[part])
+                    if "seen" in given:
+                        new = pdf["seen"].to_numpy()[part][r] != place
+                        r, place = r[new], place[new]
+                    out = pdf.iloc[part[r]].drop(columns=["__draw", "bound", "seen"], errors="ignore")
+                    yield out.assign(cell=place.astype("int32"), bound=limit[r])
+
+    return queries.select(*by, "q_id", "vec", *given, draw).mapInPandas(visit, schema)
+
+
+class _Best:
+    """The k best training rows of every query so far. Rows are numbered in id order,
+    which settles ties."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.distance = np.full((queries, k), np.inf)
+        self.row = np.full((queries, k), np.iinfo(np.int64).max)
+
+    def add(self, at: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
+        """``d`` holds the distances of the queries ``at`` to ``rows``."""
+        k = self.k
+        limit = self.distance[at, k - 1]
+        if len(rows) > k:
+            limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+        q, c = np.nonzero(d <= limit[:, None])
+        if not len(q):
+            return
+        changed = np.unique(q)
+        owner = np.concatenate([np.repeat(changed, k), q])
+        distance = np.concatenate([self.distance[at[changed]].ravel(), d[q, c]])
+        row = np.concatenate([self.row[at[changed]].ravel(), rows[c]])
+        order = np.lexsort((row, distance, owner))
+        place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+        order = order[place < k]
+        self.distance[at[changed]] = distance[order].reshape(-1, k)
+        self.row[at[changed]] = row[order].reshape(-1, k)
+
+
+def _top_k(query, limit, train, cell, cells: _Cells, g: int, k: int, p: float) -> _Best:
+    """Best k rows of one block. Every query looks into its nearest cell of the block
+    first; the distances found there close most of the others."""
+    best = _Best(len(query), k)
+    present = np.unique(cell)
+    rows = [np.flatnonzero(cell == c) for c in present]
+    pivots = cells.pivots[present]
+    for part in _pieces(np.arange(len(query)), len(present)):
+        d = distances(query[part], pivots, p)
+        low = np.maximum(d - cells.radius[g, present], cells.inner[g, present] - d) - SLACK * d
+        first = d.argmin(axis=1)
+        for nearest in (True, False):
+            for j, members in enumerate(rows):
+                closed = np.minimum(limit[part], best.distance[part, k - 1] * (1 + SLACK) + SLACK)
+                at = part[((first == j) == nearest) & (low[:, j] <= closed)]
+                for some in _pieces(at, len(members)):
+                    best.add(some, members, distances(query[some], train[members], p))
+    return best
+
+
+def _within(query, train, p: float, reach: float):
+    """(query row, train row, distance) of all pairs within reach."""
     step = max(1, TILE // max(1, len(train)))
     for start in range(0, len(query), step):
         d = distances(query[start : start + step], train, p)
-        if reach is not None:
-            q, s = np.nonzero(d <= reach)
-        else:
-            kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            q, s = np.nonzero(d <= kth[:, None])
-            order = np.lexsort((s, d[q, s], q))
-            q, s = q[order], s[order]
-            first = np.searchsorted(q, q)
-            keep = np.arange(len(q)) - first < k
-            q, s = q[keep], s[keep]
+        q, s = np.nonzero(d <= reach)
         yield q + start, s, d[q, s]
 
 
@@ -237,107 +393,160 @@ def check_sides(queries: DataFrame, train: DataFrame, by) -> None:
         raise ValueError(f"{alone} groups of queries have no training rows")
 
 
-def _blocked_join(
-    queries: DataFrame,
-    train: DataFrame,
-    k: int,
-    p: float,
-    by=(),
-    reach: float | None = None,
-    pivots: int | None = None,
-) -> DataFrame:
-    """Best k rows per query and block, or all rows within ``reach``."""
-    by = list(by)
-    spark = train.sparkSession
-    train = train.select(*by, "s_id", "vec")
-    check_sides(queries, train, by)
-    total = train.groupBy(*by).count().agg(F.sum("count"), F.min("count")).first()
-    if total[0] is None or (reach is None and total[1] < k):
-        raise ValueError(f"{k} neighbours asked for, {total[1] or 0} training rows given")
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, math.ceil(total[0] / PIVOT_ROWS))
-    # At most MAX_PIVOTS vectors come to the driver. The rows with the smallest
-    # digests are below this share, so tasks pass on few rows to the top-n.
-    share = 16 * pivots / total[0]
+def _pivots(train: DataFrame, by, wanted: int) -> np.ndarray:
+    """The rows with the smallest digests, at most ``wanted`` different vectors."""
+    # Few rows have digests below this share, so tasks pass on little to the top-n.
+    total = train.count()
+    share = 16 * wanted / total
     few = train.filter(uniform("pivot", *by, "s_id") <= share) if share < 1 else train
-    chosen = few.orderBy(hash_key("pivot", *by, "s_id"), "s_id").limit(pivots).collect()
+    chosen = few.orderBy(hash_key("pivot", *by, "s_id"), "s_id").limit(wanted).collect()
     chosen = chosen or train.limit(1).collect()
-    points = np.unique(np.array([r.vec for r in chosen], dtype=float), axis=0)
+    return np.unique(np.array([r.vec for r in chosen], dtype=float), axis=0)
 
-    assigned = materialize(_assign(train, points, p, [*by, "s_id", "vec"]), "cells")
-    cells, sizes = _describe(assigned, by, points, k)
-    visits = materialize(_visits(queries, cells, by, k, p, reach), "visits")
-    asked = {
-        (*[r[c] for c in by], r.cell): r["count"]
-        for r in visits.groupBy(*by, "cell").count().collect()
-    }
-    blocks = spark.createDataFrame(
+
+def _meet(visits: DataFrame, assigned: DataFrame, cells: _Cells, blocks: _Blocks, by, schema, search):
+    """``search(group, queries, rows)`` for every block and the queries that visit it.
+
+    Visits are counted, and a block with many is met by several tasks, each with a part of
+    its queries. Blocks nobody visits are not shuffled.
+    """
+    by = list(by)
+    spark = visits.sparkSession
+    visits = visits.withColumnRenamed("cell", "block")
+    groups = [assigned.schema[c] for c in by]
+    held = spark.createDataFrame(
         [
-            (*key, math.ceil(n / TRAIN_BLOCK), math.ceil(asked[key] / QUERY_BLOCK))
-            for key, n in sizes.items()
-            if key in asked
+            (*key, int(c), int(blocks.first[g, c]), int(blocks.parts[g, c]))
+            for key, g in cells.groups.items()
+            for c in np.flatnonzero(cells.radius[g] >= 0)
         ],
-        T.StructType(
-            [train.schema[c] for c in by]
-            + [
-                T.StructField("cell", T.IntegerType()),
-                T.StructField("s_blocks", T.IntegerType()),
-                T.StructField("q_blocks", T.IntegerType()),
-            ]
-        ),
+        T.StructType([*groups, *[T.StructField(n, T.IntegerType()) for n in ("cell", "first", "parts")]]),
     )
-    keys = [*by, "cell", "s_block", "q_block"]
-
-    def block(key: Column, count: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
-
-    def others(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = (
-        visits.join(F.broadcast(blocks), [*by, "cell"])
-        .withColumn("q_block", block(F.col("q_id"), "q_blocks"))
-        .withColumn("s_block", others("s_blocks"))
-        .select(*keys, "q_id", "vec")
+    asked = spark.createDataFrame(
+        [
+            (r.block, math.ceil(r["count"] / QUERY_BLOCK))
+            for r in visits.groupBy("block").count().collect()
+        ],
+        "block int, q_blocks int",
     )
-    right = (
-        assigned.join(F.broadcast(blocks), [*by, "cell"])
-        .withColumn("s_block", block(F.col("s_id"), "s_blocks"))
-        .withColumn("q_block", others("q_blocks"))
-        .select(*keys, "s_id", "vec")
+    left = visits.join(F.broadcast(asked), "block").withColumn(
+        "q_block", F.pmod(F.xxhash64("q_id"), F.col("q_blocks")).cast("int")
     )
-    schema = T.StructType(
-        [train.schema[c] for c in by]
-        + [
-            queries.schema["q_id"],
-            train.schema["s_id"],
-            T.StructField("distance", T.DoubleType()),
-        ]
+    part = F.pmod(F.xxhash64("s_id"), F.col("parts")).cast("int")
+    right = (
+        assigned.join(F.broadcast(held), [*by, "cell"])
+        .withColumn("block", F.col("first") + part)
+        .join(F.broadcast(asked), "block")
+        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
     )
+    keys = [*by, "block", "q_block"]
+    names = [f.name for f in schema.fields]
 
-    def search(key, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        names = [f.name for f in schema.fields]
+    def both(key, q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: [] for n in names}, dtype=object)
         s = s.sort_values("s_id", kind="stable", ignore_index=True)
-        parts = []
-        for qi, si, d in _top_k(matrix(q["vec"]), matrix(s["vec"]), k, p, reach):
-            part = pd.DataFrame(
-                {
-                    "q_id": q["q_id"].to_numpy()[qi],
-                    "s_id": s["s_id"].to_numpy()[si],
-                    "distance": d,
-                }
-            )
-            parts.append(part)
-        out = pd.concat(parts, ignore_index=True)
-        for c, value in zip(by, key, strict=False):
+        out = search(cells.groups[tuple(key[: len(by)])], q, s)
+        for c, value in zip([*by, "seen"], key, strict=False):
             out[c] = value
         return out[names]
 
     return (
-        left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+        left.select(*keys, "q_id", "vec", "bound")
+        .groupBy(*keys)
+        .cogroup(right.select(*keys, "s_id", "vec", "cell").groupBy(*keys))
+        .applyInPandas(both, schema)
+    )
+
+
+def _blocked_join(
+    queries: DataFrame,
+    train: DataFrame,
+    k: int,
+    p: float,
+    by=(),
+    reach: float | None = None,
+    pivots: int | None = None,
+) -> DataFrame:
+    """Best k rows per query and block, or all rows within ``reach``.
+
+    A query first visits the block of its nearest cell. The distance of the k-th row found
+    there bounds the second round, which leads to the other blocks within that bound only.
+    """
+    by = list(by)
+    train = train.select(*by, "s_id", "vec")
+    check_sides(queries, train, by)
+    sizes = train.groupBy(*by).count().agg(F.max("count"), F.min("count")).first()
+    if sizes[0] is None or (reach is None and sizes[1] < k):
+        raise ValueError(f"{k} neighbours asked for, {sizes[1] or 0} training rows given")
+    if pivots is None:
+        width = max(1, len(train.select("vec").first().vec))
+        pivots = max(1, min(math.isqrt(sizes[0]), BROADCAST_BYTES // (8 * width)))
+    points = _pivots(train, by, pivots)
+    assigned = materialize(_assign(train, points, p, [*by, "s_id", "vec"]), "cells")
+    cells, counts = _describe(assigned, by, points, k)
+    blocks = _deal(cells, counts, p)
+    groups = [train.schema[c] for c in by]
+    q_id, s_id = queries.schema["q_id"], train.schema["s_id"]
+    pairs = T.StructType([*groups, q_id, s_id, T.StructField("distance", T.DoubleType())])
+
+    def listed(q, s, parts) -> pd.DataFrame:
+        qi, si, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pd.DataFrame(
+            {"q_id": q["q_id"].to_numpy()[qi], "s_id": s["s_id"].to_numpy()[si], "distance": d}
+        )
+
+    def near(g, q, s) -> _Best:
+        return _top_k(
+            matrix(q["vec"]), q["bound"].to_numpy(), matrix(s["vec"]), s["cell"].to_numpy(), cells, g, k, p
+        )
+
+    def search(g, q, s) -> pd.DataFrame:
+        if reach is not None:
+            return listed(q, s, list(_within(matrix(q["vec"]), matrix(s["vec"]), p, reach)))
+        best = near(g, q, s)
+        qi, at = np.nonzero(best.distance < np.inf)
+        return listed(q, s, [(qi, best.row[qi, at], best.distance[qi, at])])
+
+    def meet(visits, schema, fn):
+        return _meet(visits, assigned, cells, blocks, by, schema, fn)
+
+    if reach is not None:
+        visits = materialize(_visits(queries, cells, by, k, p, reach, blocks), "visits")
+        return meet(visits, pairs, search)
+
+    def search_home(g, q, s) -> pd.DataFrame:
+        best = near(g, q, s)
+        ids = s["s_id"].to_numpy()
+        found = [np.flatnonzero(d < np.inf) for d in best.distance]
+        return pd.DataFrame(
+            {
+                "q_id": q["q_id"],
+                "vec": q["vec"],
+                "bound": best.distance[:, k - 1],
+                "near_ids": [ids[r[f]] for r, f in zip(best.row, found, strict=True)],
+                "near": [d[f] for d, f in zip(best.distance, found, strict=True)],
+            }
+        )
+
+    first_round = T.StructType(
+        [
+            *groups,
+            q_id,
+            queries.schema["vec"],
+            T.StructField("bound", T.DoubleType()),
+            T.StructField("seen", T.IntegerType()),
+            T.StructField("near_ids", T.ArrayType(s_id.dataType)),
+            T.StructField("near", T.ArrayType(T.DoubleType())),
+        ]
     )
+    homes = materialize(_visits(queries, cells, by, k, p, None, blocks, home=True), "visits")
+    met = materialize(meet(homes, first_round, search_home), "first-round")
+    visits = materialize(_visits(met, cells, by, k, p, None, blocks), "visits")
+    in_home = met.select(
+        *by, "q_id", F.inline(F.arrays_zip(F.col("near_ids").alias("s_id"), F.col("near").alias("distance")))
+    ).toDF(*[f.name for f in pairs.fields])
+    return in_home.unionByName(meet(visits, pairs, search))
 
 
 def knn_join(

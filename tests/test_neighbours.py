@@ -178,3 +178,54 @@ def test_weighted_sample_per_group_is_exact(spark):
     needed = spark.createDataFrame([(0, 4), (1, 100)], "fold_id int, __needed int")
     counts = A.weighted_per_group(df, needed, "id", "w", ["fold_id"]).groupBy("fold_id").count()
     assert {r.fold_id: r["count"] for r in counts.collect()} == {0: 4, 1: 25}
+
+
+def test_first_round_closes_most_cells_of_vectors_without_clusters(spark):
+    """4000 vectors of 64 numbers on a bent surface, evenly spread."""
+    rng = np.random.default_rng(3)
+    spread = rng.uniform(0, 1, (4040, 2))
+    waves = rng.normal(0, 2, (2, 64))
+    points = np.sin(spread @ waves + rng.uniform(0, 6, 64))
+    train, queries = points[:4000], points[4000:]
+    q, s = sides(spark, queries.tolist(), train.tolist())
+    pivots = np.unique(train[:63], axis=0)
+    cells, counts = N._describe(N._assign(s, pivots, 2, ["s_id", "vec"]), [], pivots, 5)
+    gaps = np.sort(N.distances(queries, train, 2), axis=1)[:, :5]
+    bound = spark.createDataFrame([(i, float(g[4])) for i, g in enumerate(gaps)], "q_id long, bound double")
+    visits = N._visits(q.join(bound, "q_id"), cells, [], 5, 2, None)
+    assert visits.count() < 0.2 * len(queries) * len(cells.pivots)
+    # No cell that holds a neighbour is closed.
+    open_cells = {(r.q_id, r.cell) for r in visits.collect()}
+    heads = N._heads(pivots, 2)
+    own, gap = N._closest(train, pivots, heads, 2)
+    apart = N.distances(train, pivots, 2)
+    assert np.array_equal(gap, apart.min(axis=1))
+    for i, row in enumerate(N.distances(queries, train, 2)):
+        assert all((i, own[j]) in open_cells for j in np.argsort(row)[:5])
+    # The join takes its own bound from the nearest block.
+    got = found(N.knn_join(q, s, 5))
+    for i, row in enumerate(N.distances(queries, train, 2)):
+        best = np.lexsort((np.arange(4000), row))[:5]
+        assert got[i] == [(int(j), round(float(row[j]), 9)) for j in best]
+
+
+def test_blocks_are_bounded_and_second_round_leaves_out_the_first(spark, skewed, monkeypatch):
+    queries, train = skewed
+    monkeypatch.setattr(N, "TRAIN_BLOCK", 20)
+    q, s = sides(spark, queries, train)
+    points = np.unique(np.array(train[55:75]), axis=0)
+    assigned = N._assign(s, points, 2, ["s_id", "vec"])
+    cells, counts = N._describe(assigned, [], points, 5)
+    blocks = N._deal(cells, counts, 2)
+    held = {}
+    for (c,), n in counts.items():
+        for part in range(blocks.parts[0, c]):
+            at = blocks.first[0, c] + part
+            held[at] = held.get(at, 0) + -(-n // blocks.parts[0, c])
+    assert sum(held.values()) >= len(train) and max(held.values()) <= 20
+    homes = N._visits(q, cells, [], 5, 2, None, blocks, home=True)
+    assert homes.count() == len(queries)
+    again = N._visits(homes.withColumnRenamed("cell", "seen"), cells, [], 5, 2, None, blocks)
+    pairs = again.join(homes.select("q_id", F.col("cell").alias("home")), "q_id").collect()
+    assert all(r.cell != r.home for r in pairs)
+    assert len({(r.q_id, r.cell) for r in pairs}) == len(pairs)
