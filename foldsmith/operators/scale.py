@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,40 +179,122 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def fit_yeo_johnson(
-    df: DataFrame, columns, low: float = -5.0, high: float = 5.0, rounds: int = 4
-) -> DataFrame:
+# Exponents are sought between these; a likelihood that grows beyond ends there.
+LAMBDA_BOUND = 32.0
+
+# Terms of the series used where the closed forms lose their digits.
+SERIES_BELOW, SERIES_TERMS = 0.1, 9
+
+
+def _moment(t: Column, m: int) -> Column:
+    """Integral of ``s ** m * exp(t * s)`` over 0..1, for m = 0, 1, 2: the function
+    ``(exp(t) - 1) / t`` and its derivatives."""
+    e = F.exp(t)
+    closed = {
+        0: (e - 1) / t,
+        1: (e * (t - 1) + 1) / (t * t),
+        2: (e * (t * t - 2 * t + 2) - 2) / (t * t * t),
+    }[m]
+    series = F.lit(0.0)
+    for j in reversed(range(SERIES_TERMS)):
+        series = series * t + F.lit(1.0 / (math.factorial(j) * (j + m + 1)))
+    return F.when(F.abs(t) < SERIES_BELOW, series).otherwise(closed)
+
+
+def _slopes(spark, long: DataFrame, lams: dict) -> dict:
+    """First and second derivative of the log-likelihood at one exponent per fold and
+    column, from one aggregate over the values."""
+    rows = [(f, c, float(lam)) for (f, c), lam in lams.items()]
+    table = spark.createDataFrame(rows, "fold_id int, column string, lam double")
+    u, sign, lam = F.col("u"), F.col("sign"), F.col("lam")
+    t = F.when(sign > 0, lam).otherwise(2 - lam) * u
+    parts = long.join(F.broadcast(table), ["fold_id", "column"]).select(
+        "fold_id", "column", "u", "sign", t.alias("t")
+    )
+    parts = parts.select(
+        "fold_id",
+        "column",
+        (sign * u).alias("jacobian"),
+        (sign * u * _moment(F.col("t"), 0)).alias("y"),
+        (u * u * _moment(F.col("t"), 1)).alias("y1"),
+        (sign * u * u * u * _moment(F.col("t"), 2)).alias("y2"),
+    )
+    sums = parts.groupBy("fold_id", "column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("jacobian").alias("jacobian"),
+        F.var_pop("y").alias("v"),
+        F.covar_pop("y", "y1").alias("c1"),
+        (F.var_pop("y1") + F.covar_pop("y", "y2")).alias("c2"),
+    )
+    out = {}
+    for r in sums.collect():  # folds x columns
+        if not r.v:  # a constant column fits every exponent
+            out[r.fold_id, r.column] = (0.0, 0.0)
+        else:
+            slope = 2 * r.c1 / r.v
+            first = r.jacobian - r.n / 2 * slope
+            out[r.fold_id, r.column] = (first, -r.n / 2 * (2 * r.c2 / r.v - slope * slope))
+    return out
+
+
+class _Climb:
+    """Newton steps to the root of the slope, kept between the exponents seen on either
+    side of it; where they would leave these, the middle is taken."""
+
+    def __init__(self):
+        self.lam, self.low, self.high, self.stride, self.done = 1.0, -LAMBDA_BOUND, LAMBDA_BOUND, 1.0, False
+
+    def move(self, first: float, second: float) -> None:
+        if first == 0 or self.high - self.low < 1e-13:
+            self.done = True
+            return
+        if not math.isfinite(first):  # out of range: back towards 1
+            if self.lam > 1:
+                self.high = self.lam
+            else:
+                self.low = self.lam
+            self.lam = (self.low + self.high) / 2 if abs(self.lam - 1) > 1e-9 else 1.0
+            return
+        if first > 0:
+            self.low = self.lam
+        else:
+            self.high = self.lam
+        step = -first / second if math.isfinite(second) and second < 0 else math.copysign(self.stride, first)
+        step = max(-self.stride, min(self.stride, step))
+        self.stride *= 2 if abs(step) == self.stride else 1
+        target = self.lam + step
+        if not self.low < target < self.high:
+            target = (self.low + self.high) / 2
+        self.done = abs(target - self.lam) < 1e-12 * max(1.0, abs(target))
+        self.lam = target
+
+
+def fit_yeo_johnson(df: DataFrame, columns, rounds: int = 60) -> DataFrame:
     """Maximum-likelihood exponent per fold and column, with mean and population
     deviation of the transformed training values: ``(fold_id, column, lam, mean, sd)``.
 
-    Each round evaluates a grid of exponents for all folds and columns in one
-    aggregate and then narrows every grid around its best point. The grids hold
-    folds x columns x 21 numbers.
+    Each round is one aggregate of the likelihood's first and second derivative for the
+    folds and columns still moving, usually four to eight rounds. A constant column keeps
+    exponent 1; values without a most likely exponent get the border, 32 or -32.
     """
     spark = df.sparkSession
+    values = unpivot(train_rows(df), FOLD, columns, "double").filter(F.col("value").isNotNull())
     long = materialize(
-        unpivot(train_rows(df), FOLD, columns, "double").filter(F.col("value").isNotNull()),
+        values.withColumns(
+            {"u": F.log1p(F.abs("value")), "sign": F.when(F.col("value") >= 0, 1).otherwise(-1)}
+        ),
         "power-values",
     )
-    keys = [
-        (r.fold_id, r.column)
-        for r in long.select("fold_id", "column").distinct().collect()
-    ]
-    spacing = dict.fromkeys(keys, (high - low) / 20)
-    grids = {key: [low + i * spacing[key] for i in range(21)] for key in keys}
-    best = {}
+    keys = long.select("fold_id", "column").distinct().collect()
+    climbs = {(r.fold_id, r.column): _Climb() for r in keys}
     for _ in range(rounds):
-        scored = _likelihoods(spark, long, grids)
-        for key, points in scored.items():
-            points.sort()
-            top = max(range(len(points)), key=lambda i: points[i][1])
-            best[key] = _vertex(points, top)
-            if top not in (0, len(points) - 1):  # else the optimum may lie outside
-                spacing[key] /= 10
-            centre = points[top][0]
-            grids[key] = [centre + (i - 10) * spacing[key] for i in range(21)]
+        moving = {key: c.lam for key, c in climbs.items() if not c.done}
+        if not moving:
+            break
+        for key, slopes in _slopes(spark, long, moving).items():
+            climbs[key].move(*slopes)
     table = spark.createDataFrame(
-        [(f, c, float(lam)) for (f, c), lam in best.items()],
+        [(f, c, float(climb.lam)) for (f, c), climb in climbs.items()],
         "fold_id int, column string, lam double",
     )
     y = yeo_johnson(F.col("value"), F.col("lam"))
@@ -223,45 +306,6 @@ def fit_yeo_johnson(
     )
 
 
-def _likelihoods(spark, long: DataFrame, grids: dict) -> dict:
-    rows = [(f, c, [float(x) for x in g]) for (f, c), g in grids.items()]
-    grid = spark.createDataFrame(rows, "fold_id int, column string, grid array<double>")
-    value = F.col("value")
-    jacobian = F.when(value >= 0, F.log1p(value)).otherwise(-F.log1p(-value))
-    scored = (
-        long.join(F.broadcast(grid), ["fold_id", "column"])
-        .select("fold_id", "column", "value", F.explode("grid").alias("lam"))
-        .groupBy("fold_id", "column", "lam")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.var_pop(yeo_johnson(value, F.col("lam"))).alias("var"),
-            F.sum(jacobian).alias("jacobian"),
-        )
-        .select(
-            "fold_id",
-            "column",
-            "lam",
-            (
-                -F.col("n") / 2 * F.ln(F.greatest(F.col("var"), F.lit(1e-300)))
-                + (F.col("lam") - 1) * F.col("jacobian")
-            ).alias("score"),
-        )
-    )
-    out: dict = {}
-    for r in scored.collect():  # folds x columns x grid points
-        out.setdefault((r.fold_id, r.column), []).append((r.lam, r.score))
-    return out
-
-
-def _vertex(points, top: int) -> float:
-    """Top of the parabola through the best grid point and its neighbours."""
-    if top in (0, len(points) - 1):
-        return points[top][0]
-    (x0, y0), (x1, y1), (x2, y2) = points[top - 1 : top + 2]
-    curve = y0 - 2 * y1 + y2
-    return x1 if curve >= 0 else x1 - (x2 - x0) / 4 * (y2 - y0) / curve
-
-
 def power_yeo_johnson(df: DataFrame, columns, fitted: DataFrame | None = None) -> DataFrame:
     """Yeo-Johnson with fitted exponents, then zero mean and unit deviation."""
     if fitted is None:

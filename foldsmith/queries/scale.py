@@ -93,7 +93,39 @@ def quantile_normal(spark, sf_dir):
     return picked(S.quantile_normal(folds(spark, sf_dir), NUMERIC), 5)
 
 
-@query("power_yeo_johnson")
+# The exponent by halving an interval on the sign of the likelihood's slope. Its ends are
+# uneven so that no middle is 0 or 2, where the closed forms divide by zero.
+YEO_JOHNSON = f"""s AS (SELECT fold_id, avg(value) AS m, stddev_samp(value) AS sd, avg(k) AS mk,
+  stddev_samp(k) AS sk FROM folds WHERE role = 'train' GROUP BY 1),
+z AS MATERIALIZED (SELECT event_id, f.fold_id, role, unnest(['value', 'k']) AS c,
+  unnest([(value - m) / sd, (k - mk) / sk]) AS x FROM folds f JOIN s ON f.fold_id = s.fold_id),
+t AS MATERIALIZED (SELECT fold_id, c, x >= 0 AS up, ln(1 + abs(x)) AS u FROM z
+  WHERE role = 'train' AND x IS NOT NULL),
+b AS (SELECT fold_id, c, -7.9::DOUBLE AS lo, 8.3::DOUBLE AS hi, 0 AS i FROM t GROUP BY 1, 2
+  UNION ALL
+  SELECT fold_id, c, CASE WHEN slope > 0 THEN mid ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE mid END, i + 1
+  FROM (SELECT fold_id, c, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid, any_value(i) AS i,
+      sum(CASE WHEN up THEN u ELSE -u END) - count(*) * covar_pop(y, y1) / var_pop(y) AS slope
+    FROM (SELECT *, CASE WHEN up THEN 1 ELSE -1 END * (exp(e * u) - 1) / e AS y,
+        (exp(e * u) * (e * u - 1) + 1) / (e * e) AS y1
+      FROM (SELECT t.fold_id, t.c, lo, hi, i, u, up, (lo + hi) / 2 AS mid,
+          CASE WHEN up THEN (lo + hi) / 2 ELSE 2 - (lo + hi) / 2 END AS e
+        FROM b JOIN t ON b.fold_id = t.fold_id AND b.c = t.c WHERE i < 52))
+    GROUP BY 1, 2)),
+lam AS (SELECT fold_id, c, (lo + hi) / 2 AS lam FROM b WHERE i = 52),
+y AS (SELECT event_id, z.fold_id, role, z.c, CASE WHEN x >= 0 THEN (pow(x + 1, lam) - 1) / lam
+  ELSE (1 - pow(1 - x, 2 - lam)) / (2 - lam) END AS y
+  FROM z JOIN lam ON z.fold_id = lam.fold_id AND z.c = lam.c),
+n AS (SELECT fold_id, c, avg(y) AS m, stddev_pop(y) AS sd FROM y WHERE role = 'train' GROUP BY 1, 2)"""
+
+
+@query(
+    "power_yeo_johnson",
+    f"""WITH RECURSIVE {EVENTS_FOLDS}, {YEO_JOHNSON}
+SELECT event_id, y.fold_id, role, max(CASE WHEN y.c = 'value' THEN {sr6('(y - m) / sd')} END) AS value,
+  max(CASE WHEN y.c = 'k' THEN {sr6('(y - m) / sd')} END) AS k
+FROM y JOIN n ON y.fold_id = n.fold_id AND y.c = n.c GROUP BY 1, 2, 3""",
+)
 def power_yeo_johnson(spark, sf_dir):
     scaled = written(S.standard_scale(folds(spark, sf_dir), NUMERIC), "scaled")
     return picked(S.power_yeo_johnson(scaled, NUMERIC))

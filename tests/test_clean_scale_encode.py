@@ -186,3 +186,38 @@ def test_yeo_johnson_finds_the_most_likely_exponent(spark):
     out = [r.x for r in S.power_yeo_johnson(df, ["x"]).collect()]
     assert statistics.mean(out) == pytest.approx(0, abs=1e-9)
     assert statistics.pstdev(out) == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [-math.exp(i / 10) + 2 for i in range(40)],  # exponent above 1
+        [1e6 * math.exp(i / 8) for i in range(50)],  # large, exponent near 0
+        [math.exp((i - 30) / 6) - math.exp((30 - i) / 9) for i in range(70)],  # both signs
+    ],
+)
+def test_yeo_johnson_slope_is_zero_at_the_exponent(spark, values):
+    df = frame(spark, [(v,) for v in values], "x double")
+    fit = S.fit_yeo_johnson(df, ["x"]).first()
+
+    def score(a):
+        def y(x):
+            e = a if x >= 0 else 2 - a
+            t = e * math.log1p(abs(x))
+            size = math.log1p(abs(x)) if e == 0 else math.expm1(t) / e
+            return math.copysign(size, x)
+
+        jac = sum(math.copysign(math.log1p(abs(v)), v) for v in values)
+        return -len(values) / 2 * math.log(statistics.pvariance([y(v) for v in values])) + (a - 1) * jac
+
+    assert all(score(fit.lam) >= score(fit.lam + h) for h in (-1, -0.1, -1e-3, 1e-3, 0.1, 1))
+
+
+def test_yeo_johnson_of_constant_empty_and_unbounded_columns(spark):
+    df = frame(spark, [(5.0, None, 0.0), (5.0, None, 3.0)], "x double, y double, z double")
+    fits = {r.column: r for r in S.fit_yeo_johnson(df, ["x", "y", "z"]).collect()}
+    assert set(fits) == {"x", "z"}
+    assert (fits["x"].lam, fits["x"].sd) == (1.0, 1.0)
+    assert abs(fits["z"].lam) <= S.LAMBDA_BOUND
+    out = S.power_yeo_johnson(df, ["x", "y", "z"]).orderBy("id").collect()
+    assert [r.x for r in out] == [0.0, 0.0] and [r.y for r in out] == [None, None]
