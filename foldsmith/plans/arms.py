@@ -41,6 +41,35 @@ def synthetic_rows(df: DataFrame, spec: TableSpec, cap: int, seed=42) -> DataFra
     return CopulaModel.fit(train, spec).sample(wanted, seed)
 
 
+def augment_synthetic(
+    df: DataFrame,
+    spec: TableSpec,
+    cap: int | None = None,
+    share: float | None = None,
+    seed=42,
+) -> DataFrame:
+    """Training rows plus synthetic rows, up to ``cap`` rows a fold or ``share`` of its
+    training rows more. Rows with a missing value take no part in the fit, and folds
+    without room gain none."""
+    plain = augment_none(df, spec)
+    train = df.filter(F.col("role") == "train")
+    wanted = materialize(room(train, cap, share), "room").filter(F.col("__needed") > 0)
+    wanted = wanted.withColumnRenamed("__needed", "n")
+    if not wanted.limit(1).count():
+        return plain
+    whole = train.select("fold_id", *spec.features, spec.target).dropna()
+    whole = whole.join(F.broadcast(wanted.select("fold_id")), "fold_id", "left_semi")
+    made = CopulaModel.fit(whole, spec).sample(wanted, seed)
+    made = made.select(
+        "fold_id",
+        F.concat(F.lit("synthetic:"), F.col("synth_id").cast("string")).alias(spec.row_id),
+        *[F.col(c).cast("double").alias(c) for c in spec.features],
+        F.col(spec.target).cast("int").alias(spec.target),
+        F.lit("synthetic").alias("origin"),
+    )
+    return union_rows(plain, made)
+
+
 def augment_retrieval(
     df: DataFrame,
     spec: TableSpec,
@@ -132,6 +161,7 @@ def _grow(
 ARMS: dict[str, Callable[..., DataFrame]] = {
     "none": augment_none,
     "neighbours": augment_neighbours,
+    "synthetic": augment_synthetic,
     "retrieval": augment_retrieval,
 }
 

@@ -6,14 +6,16 @@ import itertools
 import math
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.functions.hashing import uniform
 from foldsmith.operators.models import MODELS, evaluate
-from foldsmith.plans.arms import augment
-from foldsmith.sources.results import RUN_KEYS, load_results, pending_runs, store_results
+from foldsmith.plans.arms import ARMS, augment
+from foldsmith.session import materialize
+from foldsmith.sources.results import RUN_KEYS, commit_runs, load_results, pending_runs
 from foldsmith.spec import TableSpec
 
 RESULT_SCHEMA = (
@@ -45,14 +47,22 @@ def run_experiments(
     path: str,
     models: dict[str, Callable] = MODELS,
     parallel: int = 4,
+    options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """Compute the runs of the grid that are not stored yet and append them.
-
-    ``load(dataset_id, random_state)`` gives the preprocessed fold-long table.
-    Fits of one grid are independent Spark jobs, submitted from a few threads.
+    """Compute the runs of the grid that are not stored yet.
+
+    ``load(dataset_id, random_state)`` gives the preprocessed fold-long table, and
+    ``options`` the arguments of an arm by its name. Fits are independent Spark jobs,
+    submitted from a few threads. Every run is stored as soon as it has ended, so a grid
+    that was stopped goes on with the runs that are missing. The first run that fails ends
+    the grid with its error, after the runs under way. An arm's rows are made once for all
+    folds and models, and written by fold.
     """
     spark = grid.sparkSession
-    pending = pending_runs(grid, load_results(spark, path)).collect()  # settings only
+    pending = pending_runs(grid, load_results(spark, path, RESULT_SCHEMA)).collect()  # settings only
+    unknown = {r.augmentation for r in pending} - set(ARMS) | {r.model_name for r in pending} - set(models)
+    if unknown:
+        raise ValueError(f"unknown arms or models: {sorted(unknown)}")
     tables: dict = {}
     arms: dict = {}
     for run in pending:
@@ -61,7 +71,9 @@ def run_experiments(
             tables[key] = load(*key)
         if (*key, run.augmentation) not in arms:
             df, spec = tables[key]
-            arms[(*key, run.augmentation)] = augment(run.augmentation, df, spec)
+            made = augment(run.augmentation, df, spec, **(options or {}).get(run.augmentation, {}))
+            arms[(*key, run.augmentation)] = materialize(made, "arm", ["fold_id"])
+    turn = Lock()
 
     def one(run):
         key = (run.dataset_id, run.random_state)
@@ -69,19 +81,27 @@ def run_experiments(
         train = arms[(*key, run.augmentation)].filter(F.col("fold_id") == run.fold)
         test = df.filter((F.col("fold_id") == run.fold) & (F.col("role") == "test"))
         scores = evaluate(models[run.model_name](seed=run.random_state), train, test, spec)
-        return (
+        row = (
             *[run[k] for k in RUN_KEYS],
             *[
                 scores[m]
                 for m in ("accuracy", "auc", "f1", "log_loss", "time_fit", "time_predict")
             ],
         )
+        with turn:
+            commit_runs(spark.createDataFrame([row], RESULT_SCHEMA), path)
 
     with ThreadPoolExecutor(parallel) as pool:
-        rows = list(pool.map(one, pending))
-    if rows:
-        store_results(spark.createDataFrame(rows, RESULT_SCHEMA), path)
-    stored = load_results(spark, path)
+        under_way = [pool.submit(one, run) for run in pending]
+        try:
+            for run in under_way:
+                run.result()
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+    stored = load_results(spark, path, RESULT_SCHEMA)
+    if stored is None:
+        stored = spark.createDataFrame([], RESULT_SCHEMA)
     return stored.select(*[c.split()[0] for c in RESULT_SCHEMA.split(", ")])
 
 

@@ -114,15 +114,27 @@ def score_external(spark, sf_dir):
     return scored.select("c_custkey", r6(p[0]).alias("p0"), r6(p[1]).alias("p1"))
 
 
+def prepared_customers(spark, sf_dir):
+    df = written(point_folds(spark, sf_dir), "customer-points")
+    return df, POINTS
+
+
 @query("experiment_grid")
 def experiment_grid(spark, sf_dir):
-    df, spec = prepared(spark, sf_dir)
-    models = {"decision_tree": lambda seed: M.MODELS["decision_tree"](seed=seed, depth=5)}
-    grid = X.run_grid(spark, [42], [0], range(5), models, ["none"])
+    """Two tables, three models, three arms, two folds; four runs are stored before the rest is asked for."""
+    tables = [prepared(spark, sf_dir), prepared_customers(spark, sf_dir)]
+    options = {"synthetic": {"share": 0.25}}
+    arms = ["none", "neighbours", "synthetic"]
+    grid = X.run_grid(spark, [42], [0, 1], range(2), sorted(M.MODELS), arms)
     path = new_path(spark, "experiment")
-    done = X.run_experiments(grid.filter("fold < 2"), lambda *_: (df, spec), path, models)
-    assert done.count() == 2
-    return X.run_experiments(grid, lambda *_: (df, spec), path, models)
+
+    def load(dataset_id, _):
+        return tables[dataset_id]
+
+    some = (F.col("model_name") == "decision_tree") & (F.col("augmentation") == "none")
+    done = X.run_experiments(grid.filter(some), load, path, options=options)
+    assert done.count() == 4
+    return X.run_experiments(grid, load, path, options=options)
 
 
 @query("hp_search")

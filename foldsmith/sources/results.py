@@ -21,10 +21,26 @@ def store_results(results: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def load_results(spark: SparkSession, path: str) -> DataFrame | None:
-    """Stored result rows, or None if nothing was stored."""
+def commit_runs(results: DataFrame, path: str) -> None:
+    """Write finished runs, one folder per run, replacing what the same run stored before.
+
+    A run computed twice, as after a crash between its write and its report, has one result.
+    Writers of one path take turns: they share the path's staging folder.
+    """
+    (
+        results.coalesce(1)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*RUN_KEYS)
+        .parquet(path)
+    )
+
+
+def load_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """Stored result rows, or None if nothing was stored. Without ``schema`` the types of
+    the folder names are inferred."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
             return None

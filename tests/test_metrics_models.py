@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.operators import analytics as AN
 from foldsmith.operators import metrics as M
+from foldsmith.operators.models import MODELS
 from foldsmith.operators.splits import kfold_long, size_budget
 from foldsmith.operators import ranking as R_
 from foldsmith.operators.stats import exact_quantiles, train_rows
@@ -13,7 +14,7 @@ from foldsmith.operators.synth import CopulaModel
 from foldsmith.plans import experiment as X
 from foldsmith.plans.arms import augment, topup
 from foldsmith.plans.preprocess import Preprocessor
-from foldsmith.session import new_path
+from foldsmith.session import materialize, new_path
 from foldsmith.sources import logs
 from foldsmith.sources import results as R
 from foldsmith.spec import TableSpec
@@ -268,3 +269,48 @@ def test_groupings_share_their_draws(spark):
                 assert r[c] == pytest.approx(other[c])
             assert number == 0 or r.d is None
             assert r.ci_low < r["mean"] < r.ci_high
+
+
+@pytest.fixture(scope="module")
+def prepared(spark, table):
+    model = Preprocessor(SPEC, transform="none").fit(table)
+    return materialize(model.transform(table), "prepared"), model.output_spec
+
+
+def test_a_stopped_grid_goes_on_with_the_missing_runs(spark, prepared, tmp_path):
+    ready, spec = prepared
+    calls, path = [], str(tmp_path / "stopped")
+
+    def failing(seed):
+        calls.append(seed)
+        if len(calls) == 3:
+            raise RuntimeError("the driver stops here")
+        return MODELS["decision_tree"](seed=seed, depth=2)
+
+    def load(*_):
+        return ready, spec
+
+    grid = X.run_grid(spark, [7], [0], [0, 1], ["tree"], ["none", "synthetic"])
+    share = {"synthetic": {"share": 0.5}}
+    with pytest.raises(RuntimeError):
+        X.run_experiments(grid, load, path, {"tree": failing}, parallel=1, options=share)
+    kept = spark.read.parquet(path).count()
+    assert 2 <= kept <= 3  # the next run may have begun when the error arrives
+    out = X.run_experiments(grid, load, path, {"tree": failing}, parallel=1, options=share)
+    assert len(calls) == 5  # what was stored is not computed again
+    assert out.select("fold", "augmentation").distinct().count() == out.count() == 4
+    with pytest.raises(ValueError):
+        X.run_experiments(X.run_grid(spark, [7], [0], [0], ["tree"], ["no arm"]), load, path, {"tree": failing})
+
+
+def test_context_model_and_synthetic_arm(spark, prepared, tmp_path):
+    ready, spec = prepared
+    grid = X.run_grid(spark, [7], [0], [0], ["context_knn"], ["none"])
+    row = X.run_experiments(grid, lambda *_: (ready, spec), str(tmp_path / "context")).first()
+    assert 0 <= row.accuracy <= 1 and row.model_name == "context_knn"
+    train = ready.filter("role = 'train'").groupBy("fold_id").count().collect()
+    out = augment("synthetic", ready, spec, share=0.5).groupBy("fold_id", "origin").count().collect()
+    got = {(r.fold_id, r.origin): r["count"] for r in out}
+    for r in train:
+        assert got[r.fold_id, "train"] == r["count"]
+        assert got[r.fold_id, "synthetic"] == math.floor(r["count"] * 0.5)
