@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldsmith.operators.foldwise import by_fold, train_moments, train_modes, train_summary
 from foldsmith.operators.stats import (
     FOLD,
     column_summary,
     medians,
     modes,
-    moments,
-    train_rows,
     value_counts,
     with_stats,
 )
@@ -24,8 +23,7 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 def column_report(df: DataFrame, categorical, share: float = 0.95) -> DataFrame:
     """Per fold and categorical column: distinct training values, and whether
     the column is constant (all-NULL counts as constant) or nearly unique."""
-    summary = column_summary(value_counts(train_rows(df), FOLD, categorical), FOLD)
-    return summary.select(
+    return train_summary(df, categorical).select(
         "fold_id",
         "column",
         "n_rows",
@@ -37,6 +35,7 @@ def column_report(df: DataFrame, categorical, share: float = 0.95) -> DataFrame:
 
 def _drop(df: DataFrame, report: DataFrame, flag: str) -> DataFrame:
     """Drop the flagged columns; one flagged in some folds only is NULL there."""
+    df = by_fold(df)
     rows = report.filter(flag).select("fold_id", "column").collect()  # folds x columns
     folds = {r.fold_id for r in report.select("fold_id").distinct().collect()}
     flagged: dict[str, list[int]] = {}
@@ -79,37 +78,38 @@ def fill(df: DataFrame, fills: DataFrame, columns, apply_to=ALL_ROLES, by=FOLD)
 
 def impute_numeric(df: DataFrame, numeric, apply_to=ALL_ROLES) -> DataFrame:
     """Training mean for floating columns, training mode for integer columns."""
-    train = train_rows(df)
     whole = [c for c in numeric if isinstance(df.schema[c].dataType, INTEGRAL)]
     real = [c for c in numeric if c not in whole]
-    out = df
+    out = by_fold(df)
     if real:
-        means = train.groupBy(*FOLD).agg(*[F.avg(c).alias(c) for c in real])
-        out = fill(out, means, real, apply_to)
+        out = fill(out, _means(df, real), real, apply_to)
     if whole:
-        out = fill(out, modes(train, FOLD, whole, "long"), whole, apply_to)
+        out = fill(out, train_modes(df, whole, "long"), whole, apply_to)
     return out
 
 
 def impute_mode(df: DataFrame, categorical, apply_to=ALL_ROLES) -> DataFrame:
     """Training mode, the smallest value on a tie."""
-    return fill(df, modes(train_rows(df), FOLD, categorical), categorical, apply_to)
+    return fill(by_fold(df), train_modes(df, categorical), categorical, apply_to)
+
+
+def _means(df: DataFrame, columns) -> DataFrame:
+    means = train_moments(df, columns)
+    return means.select(*FOLD, *[F.col(f"{c}__mean").alias(c) for c in columns])
 
 
 def impute_simple(df: DataFrame, numeric, categorical) -> DataFrame:
     """Mean / most frequent before the neighbour search; a column without any
     training value becomes 0 or ``Unknown``."""
-    train = train_rows(df)
-    out = df
+    out = by_fold(df)
     if numeric:
-        means = train.groupBy(*FOLD).agg(
-            *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in numeric]
-        )
+        means = _means(df, numeric)
+        means = means.select(*FOLD, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in numeric])
         out = fill(
             out.withColumns({c: F.col(c).cast("double") for c in numeric}), means, numeric
         )
     if categorical:
-        out = fill(out, modes(train, FOLD, categorical), categorical)
+        out = fill(out, train_modes(df, categorical), categorical)
         out = out.fillna("Unknown", subset=list(categorical))
     return out
 
@@ -149,7 +149,8 @@ def outlier_filter(
 ) -> DataFrame:
     """Keep rows within ``limit`` training standard deviations of the training
     mean in every numeric column, in all roles. A missing value keeps its row."""
-    stats = moments(train_rows(df), FOLD, numeric)
+    stats = train_moments(df, numeric)
+    df = by_fold(df)
     inside = F.lit(True)
     for c in numeric:
         far = F.abs(F.col(c) - F.col(f"{c}__mean")) > F.lit(limit) * F.col(f"{c}__sd")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.operators.ranking import running_total
+from foldsmith.operators.foldwise import (
+    by_fold,
+    codes_by_fold,
+    counts_by_fold,
+    fold_count,
+    has_roles,
+    in_training,
+)
+from foldsmith.operators.ranking import count_ranges, running_total
 from foldsmith.operators.stats import FOLD, train_rows, value_counts
 from foldsmith.session import broadcast_if_small, materialize
 
@@ -30,6 +38,19 @@ def codes(counts: DataFrame, by) -> DataFrame:
 def label_codes(df: DataFrame, target: str) -> DataFrame:
     """Codes of the training labels per fold: ``(fold_id, value, code)``, ordered
     as their type orders them (numbers as numbers)."""
+    if has_roles(df):
+        # The roles were dealt by class, of which there are at most MAX_CLASSES.
+        flagged = df.select(F.col(f"`{target}`").alias("value"), in_training().alias("__flags"))
+        classes = (
+            flagged.filter(F.col("value").isNotNull())
+            .distinct()
+            .select("value", F.posexplode("__flags").alias("fold_id", "taken"))
+            .filter("taken")
+            .select(*FOLD, "value")
+            .distinct()
+        )
+        place = F.row_number().over(Window.partitionBy(*FOLD).orderBy("value"))
+        return classes.select(*FOLD, "value", (place - 1).cast("int").alias("code"))
     seen = (
         train_rows(df)
         .filter(F.col(target).isNotNull())
@@ -43,6 +64,7 @@ def label_encode(df: DataFrame, target: str, fitted: DataFrame | None = None) ->
     """Replace the label by its code; a label unseen in training is an error."""
     if fitted is None:
         fitted = materialize(label_codes(df, target), "label-codes")
+    df = by_fold(df)
     table = fitted.select(*FOLD, F.col("value").alias(target), F.col("code").alias("__code"))
     unseen = F.raise_error(
         F.concat(F.lit(f"label of {target} not seen in training: "), F.col(target).cast("string"))
@@ -68,16 +90,24 @@ class OrdinalEncoder:
 
     @classmethod
     def fit(cls, df: DataFrame, columns, counts: DataFrame | None = None) -> OrdinalEncoder:
+        """``counts``, if they are there already, are a written table, that of
+        :func:`counts_by_fold` if ``df`` has ``fold_roles``."""
         columns = list(columns)
-        if counts is None:
-            counts = value_counts(train_rows(df), FOLD, columns)
-        table = materialize(codes(counts, [*FOLD, "column"]), "codes")
+        if has_roles(df):
+            k = fold_count(df)
+            if counts is None:
+                counts = materialize(counts_by_fold(df, columns, k=k), "value-counts")
+            fitted = codes_by_fold(counts, ["column"], k, count_ranges(counts))
+        else:
+            counts = value_counts(train_rows(df), FOLD, columns) if counts is None else counts
+            fitted = codes(counts, [*FOLD, "column"])
+        table = materialize(fitted, "codes")
         size = F.sum(F.octet_length("value") + 32).alias("size")
         sizes = {r["column"]: r["size"] for r in table.groupBy("column").agg(size).collect()}
         return cls(table, columns, sizes)
 
     def transform(self, df: DataFrame, limit: int | None = None) -> DataFrame:
-        out = df
+        df = out = by_fold(df)
         for c in self.columns:
             side = self.codes.filter(F.col("column") == c).select(
                 *FOLD, F.col("value").alias(f"__{c}"), F.col("code").alias(f"__{c}_code")

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions.arrays import let, upper_bound
 from foldsmith.functions.normal import with_inverse_normal
+from foldsmith.operators.foldwise import (
+    by_fold,
+    counts_by_fold,
+    fold_count,
+    has_roles,
+    quantiles_by_fold,
+    train_moments,
+)
 from foldsmith.operators.stats import (
     FOLD,
     exact_quantiles,
@@ -32,7 +40,8 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> list[Column]:
 
 def standard_scale(df: DataFrame, columns) -> DataFrame:
     """``(x - mean) / sd`` with the sample deviation; NULL where it is 0 or NULL."""
-    stats = moments(train_rows(df), FOLD, columns)
+    stats = train_moments(df, columns)
+    df = by_fold(df)
     new = {
         c: F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__sd")) for c in columns
     }
@@ -65,11 +74,14 @@ def inverse_scale_pop(df: DataFrame, stats: DataFrame, columns, by=FOLD) -> Data
 def quantile_map(long: DataFrame, by, n_quantiles: int = 1000) -> DataFrame:
     """Per group the distinct quantiles with the lowest and highest probability
     each stands for: arrays ``v``, ``lo``, ``hi`` of at most ``n_quantiles``."""
+    return _as_map(exact_quantiles(long, by, n_quantiles), by)
+
+
+def _as_map(quantiles: DataFrame, by) -> DataFrame:
     by = list(by)
     probability = F.when(F.col("q") > 1, F.col("i") / (F.col("q") - 1)).otherwise(0.0)
     distinct = (
-        exact_quantiles(long, by, n_quantiles)
-        .withColumn("p", probability)
+        quantiles.withColumn("p", probability)
         .groupBy(*by, "quantile")
         .agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     )
@@ -85,9 +97,17 @@ def quantile_map(long: DataFrame, by, n_quantiles: int = 1000) -> DataFrame:
 
 def fit_quantile_normal(df: DataFrame, columns, n_quantiles: int = 1000) -> DataFrame:
     """Quantile maps of all columns, one row per fold."""
+    if has_roles(df):
+        k = fold_count(df)
+        counts = counts_by_fold(df, columns, "double", k=k)
+        return maps_of_quantiles(quantiles_by_fold(counts, k, n_quantiles), columns)
     long = unpivot(train_rows(df), FOLD, columns, "double")
-    maps = quantile_map(long, [*FOLD, "column"], n_quantiles)
-    return maps.groupBy(*FOLD).agg(
+    return maps_of_quantiles(exact_quantiles(long, [*FOLD, "column"], n_quantiles), columns)
+
+
+def maps_of_quantiles(quantiles: DataFrame, columns) -> DataFrame:
+    """Quantiles per fold and column as one row of maps per fold."""
+    return _as_map(quantiles, [*FOLD, "column"]).groupBy(*FOLD).agg(
         *[
             F.first(
                 F.when(F.col("column") == c, F.struct("v", "lo", "hi")), True
@@ -107,6 +127,7 @@ def quantile_normal(
     """
     if maps is None:
         maps = fit_quantile_normal(df, columns, n_quantiles)
+    df = by_fold(df)
     literals = _map_literals(maps, columns)
     steps = max(1, n_quantiles.bit_length())
     placed = df.select(
@@ -139,7 +160,7 @@ def _map_literals(maps: DataFrame, columns) -> dict[str, Column]:
     for c in columns:
         by_fold = [
             rows[f][f"{c}__map"].asDict() if f in rows and rows[f][f"{c}__map"] else None
-            for f in range(max(rows) + 1)
+            for f in range(max(rows, default=-1) + 1)
         ]
         out[c] = F.from_json(F.lit(json.dumps(by_fold)), schema)
     return out
@@ -278,6 +299,7 @@ def fit_yeo_johnson(df: DataFrame, columns, rounds: int = 60) -> DataFrame:
     exponent 1; values without a most likely exponent get the border, 32 or -32.
     """
     spark = df.sparkSession
+    df = by_fold(df)
     values = unpivot(train_rows(df), FOLD, columns, "double").filter(F.col("value").isNotNull())
     long = materialize(
         values.withColumns(
@@ -310,6 +332,7 @@ def power_yeo_johnson(df: DataFrame, columns, fitted: DataFrame | None = None) -
     """Yeo-Johnson with fitted exponents, then zero mean and unit deviation."""
     if fitted is None:
         fitted = fit_yeo_johnson(df, columns)
+    df = by_fold(df)
     wide = fitted.groupBy(*FOLD).agg(
         *[
             F.first(F.when(F.col("column") == c, F.struct("lam", "mean", "sd")), True).alias(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldsmith.functions.hashing import hash_key, uniform
+from foldsmith.operators.foldwise import ROLES, by_fold
 from foldsmith.operators.ranking import hash_rank, value_rank
 
 # Classes of a target column; more than this is not a classification target.
@@ -113,7 +114,7 @@ def stratified_holdout(
     return ranked.withColumn("role", role).drop("__rank", "quota", "__test")
 
 
-def kfold_long(
+def kfold_roles(
     df: DataFrame,
     target: str,
     row_id: str,
@@ -121,7 +122,7 @@ def kfold_long(
     val_size: float = 0.2,
     seed=42,
 ) -> DataFrame:
-    """Every row once per fold, with its role there (train, val or test).
+    """Every row once, with ``fold_roles``: train, val or test in each fold, by position.
 
     The rows are ranked once. Test folds are cyclic in the rank, so a row's
     rank among the rows outside any fold's test set follows by arithmetic and
@@ -149,23 +150,38 @@ def kfold_long(
         [T.StructField("class_offset", T.LongType()), T.StructField("__folds", entry)],
     )
     ranked = hash_rank(df, seed, row_id, [target], rank="__rank", extra=quotas, rows=n_table)
-    long = ranked.select("*", F.explode("__folds").alias("__fold")).select(
-        *df.columns, "__rank", "class_offset", "__fold.*"
-    )
     position = F.col("__rank") - 1
     test_fold = F.pmod(F.col("class_offset") + position, F.lit(k))
-    among_rest = position - _in_fold_before(
-        position, F.col("class_offset"), F.col("fold_id"), k
-    )
-    turn = F.pmod(
-        among_rest - F.col("fold_id") * F.col("quota"), F.greatest(F.col("n_rest"), F.lit(1))
-    )
-    role = (
-        F.when(test_fold == F.col("fold_id"), "test")
-        .when(turn < F.col("quota"), "val")
-        .otherwise("train")
-    )
-    return long.withColumn("role", role).select(*df.columns, "fold_id", "role")
+
+    def role(fold: Column) -> Column:
+        among_rest = position - _in_fold_before(
+            position, F.col("class_offset"), fold["fold_id"], k
+        )
+        turn = F.pmod(
+            among_rest - fold["fold_id"] * fold["quota"], F.greatest(fold["n_rest"], F.lit(1))
+        )
+        return (
+            F.when(test_fold == fold["fold_id"], "test")
+            .when(turn < fold["quota"], "val")
+            .otherwise("train")
+        )
+
+    return ranked.withColumn(ROLES, F.transform("__folds", role)).select(*df.columns, ROLES)
+
+
+def kfold_long(
+    df: DataFrame,
+    target: str,
+    row_id: str,
+    k: int = 5,
+    val_size: float = 0.2,
+    seed=42,
+) -> DataFrame:
+    """:func:`kfold_roles` with one row per row and fold: ``fold_id``, ``role``.
+
+    Fits take the shorter form as well and repeat no rows for it.
+    """
+    return by_fold(kfold_roles(df, target, row_id, k, val_size, seed))
 
 
 def random_holdout(

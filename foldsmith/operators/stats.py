@@ -98,6 +98,15 @@ def exact_quantiles(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     ordered = running_total(counts, by, "value", {"n": "start"}, {"n": "total"})
+    return place_quantiles(ordered, by, n_quantiles, at_most_rows)
+
+
+def place_quantiles(
+    ordered: DataFrame, by, n_quantiles: int = 1000, at_most_rows: bool = True
+) -> DataFrame:
+    """Quantiles from counted values ``(by, value, n, start, total)``, where ``start`` rows of
+    ``total`` come before the ``n`` rows of the value."""
+    by = list(by)
     q = F.lit(n_quantiles).cast("long")
     if at_most_rows:
         q = F.least(q, F.col("total"))

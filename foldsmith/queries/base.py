@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.functions.hashing import uniform
-from foldsmith.operators.splits import kfold_long
+from foldsmith.operators.splits import kfold_long, kfold_roles
 from foldsmith.session import materialize
 from foldsmith.spec import TableSpec
 
@@ -123,6 +123,11 @@ def customer_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kfold_long(customer(spark, sf_dir), "c_mktsegment", "c_custkey", K, 0.2, SEED)
 
 
+def customer_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`customer_folds`, every row once."""
+    return kfold_roles(customer(spark, sf_dir), "c_mktsegment", "c_custkey", K, 0.2, SEED)
+
+
 # ----- orders: the flagship, classes by status
 ORDERS = TableSpec("o_orderstatus", "o_orderkey", ("o_totalprice",), ("o_orderpriority",), "orders")
 ORDERS_SRC = """SELECT o_orderkey, o_orderstatus,
@@ -146,6 +151,10 @@ def orders_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kfold_long(orders(spark, sf_dir), "o_orderstatus", "o_orderkey", K, 0.2, SEED)
 
 
+def orders_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kfold_roles(orders(spark, sf_dir), "o_orderstatus", "o_orderkey", K, 0.2, SEED)
+
+
 # ----- events: skewed numbers with outliers, classes by event type
 EVENTS = TableSpec("event_type", "event_id", ("value", "k"), (), "events")
 EVENTS_SRC = """SELECT event_id, event_type,
@@ -168,6 +177,10 @@ def events_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kfold_long(events(spark, sf_dir), "event_type", "event_id", K, 0.2, SEED)
 
 
+def events_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kfold_roles(events(spark, sf_dir), "event_type", "event_id", K, 0.2, SEED)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Fold assignment used by several fits: written once."""
     return materialize(df, name)

@@ -7,7 +7,8 @@ from foldsmith.queries.base import (
     CUSTOMER_FOLDS,
     EVENTS_FOLDS,
     customer_folds,
-    events_folds,
+    customer_roles,
+    events_roles,
     query,
     rounded,
     sr6,
@@ -18,7 +19,7 @@ COLUMNS = ["c_nationkey", "constant", "unique_id"]
 
 
 def folds(spark, sf_dir):
-    return written(customer_folds(spark, sf_dir), "customer-folds")
+    return written(customer_roles(spark, sf_dir), "customer-roles")
 
 
 @query(
@@ -94,7 +95,8 @@ SELECT c_custkey, t.fold_id, {sr6('coalesce(c_acctbal, m)')} AS c_acctbal, coale
   coalesce(c_nationkey, md) AS c_nationkey FROM t JOIN s ON t.fold_id = s.fold_id""",
 )
 def impute_synth_prep(spark, sf_dir):
-    train = folds(spark, sf_dir).filter("role = 'train'").withColumn(
+    df = written(customer_folds(spark, sf_dir), "customer-folds")
+    train = df.filter("role = 'train'").withColumn(
         "few", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 5)
     )
     out = C.impute_synth_prep(train, ["c_acctbal", "few"], ["c_nationkey"])
@@ -111,5 +113,5 @@ SELECT event_id, f.fold_id, role, value, k FROM folds f JOIN s ON f.fold_id = s.
 WHERE NOT (coalesce(abs((value - m) / sd) > 3, FALSE) OR coalesce(abs((k - mk) / sk) > 3, FALSE))""",
 )
 def outlier_filter(spark, sf_dir):
-    out = C.outlier_filter(written(events_folds(spark, sf_dir), "event-folds"), ["value", "k"])
+    out = C.outlier_filter(written(events_roles(spark, sf_dir), "event-roles"), ["value", "k"])
     return out.select("event_id", "fold_id", "role", "value", "k")

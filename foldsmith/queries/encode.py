@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from foldsmith.operators import encode as E
-from foldsmith.queries.base import CUSTOMER_FOLDS, customer_folds, query, table, written
+from foldsmith.operators.foldwise import by_fold
+from foldsmith.queries.base import CUSTOMER_FOLDS, customer_roles, query, table, written
 
 BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
@@ -16,8 +17,8 @@ SELECT c_custkey, f.fold_id, role, CAST(code AS INTEGER) AS c_mktsegment
 FROM folds f JOIN l ON f.fold_id = l.fold_id AND f.c_mktsegment = l.y""",
 )
 def label_encode(spark, sf_dir):
-    df = customer_folds(spark, sf_dir).select("c_custkey", "fold_id", "role", "c_mktsegment")
-    return E.label_encode(written(df, "customer-folds"), "c_mktsegment")
+    df = customer_roles(spark, sf_dir).select("c_custkey", "fold_roles", "c_mktsegment")
+    return E.label_encode(written(df, "customer-roles"), "c_mktsegment")
 
 
 @query(
@@ -34,7 +35,7 @@ LEFT JOIN a ON r.fold_id = a.fold_id AND r.nk = a.v
 LEFT JOIN b ON r.fold_id = b.fold_id AND r.unique_id = b.v""",
 )
 def ordinal_encode(spark, sf_dir):
-    df = written(customer_folds(spark, sf_dir), "customer-folds")
+    df = by_fold(written(customer_roles(spark, sf_dir), "customer-roles"))
     rare = (F.col("role") == "test") & (F.col("c_custkey") % 5 == 0)
     df = df.withColumn("c_nationkey", F.when(rare, "rare").otherwise(F.col("c_nationkey")))
     return E.ordinal_encode(

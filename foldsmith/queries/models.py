@@ -9,7 +9,7 @@ from foldsmith.plans import experiment as X
 from foldsmith.plans.preprocess import Preprocessor
 from foldsmith.queries.base import (
     ORDERS,
-    orders_folds,
+    orders_roles,
     query,
     r6,
     sr6,
@@ -21,7 +21,7 @@ from foldsmith.session import new_path
 
 
 def prepared(spark, sf_dir):
-    raw = written(orders_folds(spark, sf_dir), "order-folds")
+    raw = written(orders_roles(spark, sf_dir), "order-roles")
     model = Preprocessor(ORDERS, transform="none").fit(raw)
     return written(model.transform(raw), "prepared"), model.output_spec
 

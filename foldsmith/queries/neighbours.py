@@ -16,7 +16,7 @@ from foldsmith.queries.base import (
     customer,
     embedding_folds,
     kfold_sql,
-    orders_folds,
+    orders_roles,
     query,
     rounded,
     sr6,
@@ -182,7 +182,7 @@ def neighbour_aggregate(spark, sf_dir):
 # The flagship: orders through the whole chain, then neighbour rows of the test features.
 @query("flagship_orders")
 def flagship_orders(spark, sf_dir):
-    raw = written(orders_folds(spark, sf_dir), "order-folds")
+    raw = written(orders_roles(spark, sf_dir), "order-roles")
     model = Preprocessor(ORDERS).fit(raw)
     ready = written(model.transform(raw), "prepared")
     out = A.augment_knn(ready, model.output_spec, multi_class=True)

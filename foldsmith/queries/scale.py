@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from foldsmith.functions.normal import inverse_normal_sql
 from foldsmith.operators import scale as S
 from foldsmith.operators.stats import train_rows
-from foldsmith.queries.base import EVENTS_FOLDS, events_folds, query, rounded, sr6, written
+from foldsmith.queries.base import EVENTS_FOLDS, events_folds, events_roles, query, rounded, sr6, written
 
 NUMERIC = ["value", "k"]
 
@@ -14,6 +14,10 @@ def folds(spark, sf_dir):
     return written(events_folds(spark, sf_dir), "event-folds")
 
 
+def roles(spark, sf_dir):
+    return written(events_roles(spark, sf_dir), "event-roles")
+
+
 def picked(df, places=6):
     return rounded(df.select("event_id", "fold_id", "role", *NUMERIC), NUMERIC, places)
 
@@ -26,7 +30,7 @@ SELECT event_id, f.fold_id, role, {sr6('(value - m) / sd')} AS value, {sr6('(k -
 FROM folds f JOIN s ON f.fold_id = s.fold_id""",
 )
 def standard_scale(spark, sf_dir):
-    return picked(S.standard_scale(folds(spark, sf_dir), NUMERIC))
+    return picked(S.standard_scale(roles(spark, sf_dir), NUMERIC))
 
 
 @query(
@@ -90,7 +94,7 @@ JOIN p_value ON f.event_id = p_value.event_id AND f.fold_id = p_value.fold_id
 JOIN p_k ON f.event_id = p_k.event_id AND f.fold_id = p_k.fold_id""",
 )
 def quantile_normal(spark, sf_dir):
-    return picked(S.quantile_normal(folds(spark, sf_dir), NUMERIC), 5)
+    return picked(S.quantile_normal(roles(spark, sf_dir), NUMERIC), 5)
 
 
 # The exponent by halving an interval on the sign of the likelihood's slope. Its ends are
@@ -127,7 +131,7 @@ SELECT event_id, y.fold_id, role, max(CASE WHEN y.c = 'value' THEN {sr6('(y - m)
 FROM y JOIN n ON y.fold_id = n.fold_id AND y.c = n.c GROUP BY 1, 2, 3""",
 )
 def power_yeo_johnson(spark, sf_dir):
-    scaled = written(S.standard_scale(folds(spark, sf_dir), NUMERIC), "scaled")
+    scaled = written(S.standard_scale(roles(spark, sf_dir), NUMERIC), "scaled")
     return picked(S.power_yeo_johnson(scaled, NUMERIC))
 
 
@@ -148,7 +152,7 @@ t AS (SELECT fold_id, avg(y) AS ym, stddev_pop(y) AS ys FROM y WHERE role = 'tra
 SELECT event_id, y.fold_id, role, {sr6('(y - ym) / ys')} AS value FROM y JOIN t ON y.fold_id = t.fold_id""",
 )
 def power_fixed_lambda(spark, sf_dir):
-    df = S.standard_scale(folds(spark, sf_dir), ["value"])
+    df = S.standard_scale(roles(spark, sf_dir), ["value"])
     y = S.yeo_johnson(F.col("value"), F.lit(0.25))
     fitted = (
         train_rows(df)

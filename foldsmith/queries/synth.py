@@ -12,7 +12,8 @@ from foldsmith.queries.base import (
     CUSTOMER_FOLDS,
     EVENTS,
     customer_folds,
-    events_folds,
+    customer_roles,
+    events_roles,
     query,
     rounded,
     sr6,
@@ -44,21 +45,21 @@ SELECT c_custkey, ok.fold_id, role, {sr6('(x - mx) / sx')} AS c_acctbal, {sr6('(
 
 @query("preprocess", CHAIN_SQL)
 def preprocess(spark, sf_dir):
-    raw = written(customer_folds(spark, sf_dir), "customer-folds")
+    raw = written(customer_roles(spark, sf_dir), "customer-roles")
     model = Preprocessor(CUSTOMER, transform="none", outlier_limit=1.5).fit(raw)
     return rounded(model.transform(raw), model.features)
 
 
 @query("preprocess_quantile")
 def preprocess_quantile(spark, sf_dir):
-    raw = written(customer_folds(spark, sf_dir), "customer-folds")
+    raw = written(customer_roles(spark, sf_dir), "customer-roles")
     model = Preprocessor(CUSTOMER).fit(raw)
     return rounded(model.transform(raw), model.features, 5)
 
 
 @query("preprocess_power")
 def preprocess_power(spark, sf_dir):
-    raw = written(events_folds(spark, sf_dir), "event-folds")
+    raw = written(events_roles(spark, sf_dir), "event-roles")
     model = Preprocessor(EVENTS, transform="power").fit(raw)
     return rounded(model.transform(raw), model.features, 4)
 
