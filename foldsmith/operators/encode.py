@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +16,9 @@ from foldsmith.operators.foldwise import (
 )
 from foldsmith.operators.ranking import count_ranges, running_total
 from foldsmith.operators.stats import FOLD, train_rows, value_counts
-from foldsmith.session import broadcast_if_small, materialize
+from foldsmith.session import BROADCAST_BYTES, broadcast_if_small, materialize
 
-# Indicator columns that one-hot encoding may add; beyond, use ordinal codes.
+# Indicator columns that one-hot encoding may add; beyond, use OneHotIndices.
 MAX_ONE_HOT = 1000
 
 
@@ -133,7 +134,7 @@ def vocabulary(df: DataFrame, columns, limit: int = MAX_ONE_HOT) -> dict[str, li
     if len(rows) > limit:
         raise ValueError(
             f"one-hot encoding of {list(columns)} needs more than {limit} columns; "
-            "use ordinal codes"
+            "use OneHotIndices or ordinal codes"
         )
     return {c: sorted(r["value"] for r in rows if r["column"] == c) for c in columns}
 
@@ -163,3 +164,126 @@ def _largest(feature: str, values: list[str]) -> Column:
     names = F.array(*[F.lit(v) for v in values])
     return F.get(names, F.array_position(scores, F.array_max(scores)).cast("int") - 1)
 
+
+# A value in more than this share of a column's rows is joined by broadcast: at most a
+# thousand values a column.
+HOT_SHARE = 1000
+
+
+class OneHotIndices:
+    """Sparse one-hot codes for vocabularies of any size.
+
+    The places of all columns form one vector: column after column, values in their order as
+    text. A row holds the places of its known values; unknown and missing values have none.
+    """
+
+    def __init__(self, vocabulary: DataFrame, columns, sizes: dict[str, int], weights: dict[str, int]):
+        self.vocabulary = vocabulary
+        self.columns = list(columns)
+        self.sizes = sizes
+        self.weights = weights
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns) -> OneHotIndices:
+        """Vocabulary ``(column, value, n, hot, index)`` of ``df``, written once."""
+        columns = list(columns)
+        counts = materialize(value_counts(df, [], columns), "value-counts")
+        totals = {r["column"]: r["n"] for r in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+        known = counts.filter(F.col("value").isNotNull()).withColumn("one", F.lit(1).cast("long"))
+        coded = running_total(known, ["column"], "value", {"one": "code"}, ranges=count_ranges(counts))
+        measured = known.groupBy("column").agg(
+            F.count(F.lit(1)).alias("values"), F.sum(F.octet_length("value") + 32).alias("bytes")
+        )
+        found = {r["column"]: r for r in measured.collect()}  # one row per column
+        sizes = {c: found[c]["values"] if c in found else 0 for c in columns}
+        start, rows = 0, []
+        for c in columns:
+            rows.append((c, start, totals.get(c, 0)))
+            start += sizes[c]
+        places = df.sparkSession.createDataFrame(rows, "column string, start long, total long")
+        table = coded.join(F.broadcast(places), "column").select(
+            "column",
+            "value",
+            "n",
+            (F.col("n") * HOT_SHARE > F.col("total")).alias("hot"),
+            (F.col("start") + F.col("code")).cast("int").alias("index"),
+        )
+        weights = {c: found[c]["bytes"] if c in found else 0 for c in columns}
+        return cls(materialize(table, "vocabulary"), columns, sizes, weights)
+
+    @property
+    def width(self) -> int:
+        return sum(self.sizes.values())
+
+    def _placed(self, df: DataFrame, limit: int | None) -> DataFrame:
+        """Add the place of each column's value, ``__i0`` and so on.
+
+        A vocabulary within the limit is broadcast. Of a larger one the hot values are, and
+        only rows with other values are shuffled by value; the rest keeps a key of its own.
+        """
+        out = df
+        for i, c in enumerate(self.columns):
+            side = self.vocabulary.filter(F.col("column") == c).select("value", "hot", "index")
+            text = F.col(f"`{c}`").cast("string")
+            if self.weights[c] <= (BROADCAST_BYTES if limit is None else limit):
+                side = side.select(F.col("value").alias("__v"), F.col("index").alias(f"__i{i}"))
+                out = out.join(F.broadcast(side), text == F.col("__v"), "left").drop("__v")
+                continue
+            hot = side.filter("hot").select(F.col("value").alias("__v"), F.col("index").alias("__hot"))
+            cold = side.filter("NOT hot").select(
+                F.col("value").alias("__v"), F.lit(0).cast("long").alias("__o"), F.col("index").alias("__cold")
+            )
+            out = out.join(F.broadcast(hot), text == F.col("__v"), "left").drop("__v")
+            apart = F.col("__hot").isNotNull() | text.isNull()
+            out = out.withColumns(
+                {
+                    "__key": F.when(~apart, text).otherwise(""),
+                    "__own": F.when(apart, F.monotonically_increasing_id() + 1).otherwise(0),
+                }
+            )
+            out = out.join(
+                cold, (F.col("__key") == F.col("__v")) & (F.col("__own") == F.col("__o")), "left"
+            ).withColumn(f"__i{i}", F.coalesce("__hot", "__cold"))
+            out = out.drop("__v", "__o", "__hot", "__cold", "__key", "__own")
+        return out
+
+    def transform(self, df: DataFrame, output: str = "indices", limit: int | None = None) -> DataFrame:
+        """Replace the columns by one ascending array of places."""
+        places = F.array_compact(F.array(*[F.col(f"__i{i}") for i in range(len(self.columns))]))
+        kept = [F.col(f"`{c}`") for c in df.columns if c not in self.columns]
+        return self._placed(df, limit).select(*kept, places.alias(output))
+
+    def vectors(self, df: DataFrame, output: str = "features", limit: int | None = None) -> DataFrame:
+        """Replace the columns by one sparse Spark ML vector, its places those of
+        :meth:`transform`. A column without values is left out of it."""
+        start, local, sizes = 0, [], []
+        for i, c in enumerate(self.columns):
+            n = self.sizes[c]
+            if n:
+                # A code past the last value stands for none and sets no place.
+                code = F.coalesce(F.col(f"__i{i}") - start, F.lit(n)).cast("double")
+                local.append(code.alias(f"__c{i}"))
+                sizes.append(n)
+            start += n
+        kept = [c for c in df.columns if c not in self.columns]
+        coded = self._placed(df, limit).select(*[F.col(f"`{c}`") for c in kept], *local)
+        if not local:
+            raise ValueError(f"{self.columns} hold no value")
+        names = coded.columns[len(kept):]
+        last = df.sparkSession.createDataFrame([tuple(float(n - 1) for n in sizes)], names)
+        encoder = OneHotEncoder(
+            inputCols=names, outputCols=[f"{c}v" for c in names], handleInvalid="keep"
+        ).fit(last)
+        joined = VectorAssembler(inputCols=[f"{c}v" for c in names], outputCol="__vector")
+        out = joined.transform(encoder.transform(coded))
+        return out.select(*[F.col(f"`{c}`") for c in kept], F.col("__vector").alias(output))
+
+    def decode(self, df: DataFrame, indices: str = "indices") -> DataFrame:
+        """One row per place of a row: ``column``, ``value`` and ``index`` in place of the array."""
+        kept = [F.col(f"`{c}`") for c in df.columns if c != indices]
+        long = df.select(*kept, F.explode(indices).alias("index"))
+        names = broadcast_if_small(
+            self.vocabulary.select("index", "column", "value"), sum(self.weights.values())
+        )
+        return long.join(names, "index")
+

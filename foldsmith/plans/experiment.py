@@ -8,11 +8,16 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.functions.hashing import uniform
+from foldsmith.operators.foldwise import ROLES, fold_count
 from foldsmith.operators.models import MODELS, evaluate
+from foldsmith.operators.neighbours import vector
 from foldsmith.plans.arms import ARMS, augment
 from foldsmith.session import materialize
 from foldsmith.sources.results import RUN_KEYS, commit_runs, load_results, pending_runs
@@ -133,6 +138,53 @@ def search_candidates(
     return table.select(*columns)
 
 
+def grid_candidates(spark: SparkSession, space: dict[str, Iterable]) -> DataFrame:
+    """Every combination of the listed values, one row per trial; the last name varies
+    fastest. Combinations are settings, not data."""
+    rows = [(i, *values) for i, values in enumerate(itertools.product(*space.values()))]
+    return spark.createDataFrame(rows, ["trial", *space]).withColumn("trial", F.col("trial").cast("int"))
+
+
+def search_folds(
+    candidates: DataFrame,
+    estimator,
+    table: DataFrame,
+    spec: TableSpec,
+    parallel: int = 4,
+) -> DataFrame:
+    """Score every candidate on the test rows of every fold by Spark's cross-validation.
+
+    ``table`` holds every row once with its ``fold_roles``; in each fold the rows of the other
+    roles train. Columns of ``candidates`` but ``trial`` name parameters of the estimator.
+    Returns the candidates with ``accuracy`` (mean over the folds), ``accuracy_sd`` and
+    ``is_best`` (the earliest on a tie).
+    """
+    trials = candidates.collect()  # parameter settings only
+    names = [c for c in candidates.columns if c != "trial"]
+    grid = [{estimator.getParam(n): t[n] for n in names} for t in trials]
+    k = fold_count(table)
+    rows = table.select(
+        array_to_vector(vector(spec.features)).alias("features"),
+        F.col(spec.target).cast("double").alias("label"),
+        (F.array_position(ROLES, "test") - 1).cast("int").alias("fold"),
+    )
+    fitted = CrossValidator(
+        estimator=estimator,
+        estimatorParamMaps=grid,
+        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
+        numFolds=k,
+        foldCol="fold",
+        parallelism=parallel,
+    ).fit(rows)
+    scored = list(zip(trials, fitted.avgMetrics, fitted.stdMetrics, strict=True))
+    best = max(scored, key=lambda s: (s[1], -s[0]["trial"]))
+    schema = candidates.schema.add("accuracy", "double").add("accuracy_sd", "double")
+    return candidates.sparkSession.createDataFrame(
+        [(*t, float(mean), float(sd), t is best[0]) for t, mean, sd in scored],
+        schema.add("is_best", "boolean"),
+    )
+
+
 def search(
     candidates: DataFrame,
     make: Callable[[dict], object],

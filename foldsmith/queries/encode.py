@@ -62,3 +62,31 @@ def one_hot_decode(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     vocab = E.vocabulary(df, ["p_brand", "p_type"])
     return E.one_hot_decode(E.one_hot_encode(df, vocab), vocab)
+
+
+PLACED = ("l_orderkey", "l_partkey", "l_returnflag")
+
+
+@query(
+    "one_hot_sparse",
+    "WITH "
+    + ", ".join(
+        f"v{i} AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT "
+        f"CAST({c} AS VARCHAR) AS v FROM lineitem WHERE {c} IS NOT NULL))"
+        for i, c in enumerate(PLACED)
+    )
+    + " "
+    + " UNION ALL ".join(
+        f"SELECT l_orderkey AS order_id, l_linenumber, '{c}' AS \"column\", v AS value, CAST(code"
+        + "".join(f" + (SELECT count(*) FROM v{j})" for j in range(i))
+        + f" AS INTEGER) AS \"index\" FROM lineitem JOIN v{i} ON CAST({c} AS VARCHAR) = v"
+        for i, c in enumerate(PLACED)
+    ),
+)
+def one_hot_sparse(spark, sf_dir):
+    """Places of every line's values, read back through the vocabulary."""
+    df = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), "l_linenumber", *PLACED
+    )
+    encoder = E.OneHotIndices.fit(df, PLACED)
+    return encoder.decode(encoder.transform(df))

@@ -14,10 +14,12 @@ from foldsmith.queries.base import (
     r6,
     sr6,
     table,
+    u_sql,
     written,
 )
 from foldsmith.queries.neighbours import POINT_NEAR, POINTS, POINTS_FOLDS, point_folds
 from foldsmith.session import new_path
+from foldsmith.spec import TableSpec
 
 
 def prepared(spark, sf_dir):
@@ -46,32 +48,30 @@ def _flat(predictions, row_id):
 
 @query("model_rf")
 def model_rf(spark, sf_dir):
-    return _flat(_fold_scores(spark, sf_dir, "random_forest", trees=20, depth=5), "o_orderkey")
+    return _flat(_fold_scores(spark, sf_dir, "random_forest"), "o_orderkey")
 
 
 @query("model_dt")
 def model_dt(spark, sf_dir):
-    return _flat(_fold_scores(spark, sf_dir, "decision_tree", depth=5), "o_orderkey")
+    return _flat(_fold_scores(spark, sf_dir, "decision_tree"), "o_orderkey")
 
 
 @query("fit_predict")
 def fit_predict(spark, sf_dir):
-    scores = _fold_scores(spark, sf_dir, "decision_tree", depth=5)
+    scores = _fold_scores(spark, sf_dir, "decision_tree")
     return M.metrics_all(scores, ["fold_id"])
 
 
 @query("timing")
 def timing(spark, sf_dir):
     df, spec = prepared(spark, sf_dir)
-    part = df.filter("fold_id = 0")
-    scores = M.evaluate(
-        M.MODELS["decision_tree"](depth=5),
-        part.filter("role = 'train'"),
-        part.filter("role = 'test'"),
-        spec,
-    )
-    rows = [(m, float(v)) for m, v in scores.items() if v is not None]
-    return spark.createDataFrame(rows, "metric string, value double")
+    rows = []
+    for fold in range(5):
+        part = df.filter(F.col("fold_id") == fold)
+        train, test = (part.filter(F.col("role") == role) for role in ("train", "test"))
+        scores = M.evaluate(M.MODELS["decision_tree"](), train, test, spec)
+        rows += [(fold, m, float(v)) for m, v in scores.items() if v is not None]
+    return spark.createDataFrame(rows, "fold int, metric string, value double")
 
 
 @query(
@@ -137,16 +137,51 @@ def experiment_grid(spark, sf_dir):
     return X.run_experiments(grid, load, path, options=options)
 
 
+SPACE = {
+    "max_depth": ("int", 2, 6),
+    "min_gain": ("loguniform", 1e-6, 1e-3),
+    "max_bins": ("choice", 8, 16, 32),
+}
+TRIALS = 50
+
+
+def _floor_of(name: str, width: int) -> str:
+    return f"CAST(floor({u_sql('42:' + name, 'trial')} * {width}) AS INTEGER)"
+
+
+@query(
+    "hp_candidates",
+    f"""SELECT CAST(trial AS INTEGER) AS trial, CAST(2 + {_floor_of('max_depth', 5)} AS INTEGER) AS max_depth,
+  {sr6(f"exp(ln(1e-6::DOUBLE) + {u_sql('42:min_gain', 'trial')} * (ln(1e-3::DOUBLE) - ln(1e-6::DOUBLE)))", 12)} AS min_gain,
+  [8, 16, 32][1 + {_floor_of('max_bins', 3)}] AS max_bins FROM range({TRIALS}) r(trial)""",
+)
+def hp_candidates(spark, sf_dir):
+    """The settings that ``hp_search`` tries."""
+    drawn = X.search_candidates(spark, SPACE, TRIALS)
+    return drawn.withColumn("min_gain", r6("min_gain", 12))
+
+
+@query("hp_grid")
+def hp_grid(spark, sf_dir):
+    """An enumerated grid, each candidate fitted in every fold of the cleaned orders."""
+    rows = written(orders_roles(spark, sf_dir), "order-roles")
+    classes = ("F", "O", "P")
+    ready = rows.select(
+        F.coalesce("o_totalprice", F.lit(0.0)).alias("price"),
+        F.coalesce(F.substring("o_orderpriority", 1, 1).cast("double"), F.lit(0.0)).alias("priority"),
+        (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("o_orderstatus")) - 1).alias("y"),
+        "fold_roles",
+    )
+    grid = X.grid_candidates(spark, {"maxDepth": [3, 6, 10], "maxBins": [16, 32, 64]})
+    spec = TableSpec("y", "", ("price", "priority"), ())
+    return X.search_folds(grid, DecisionTreeClassifier(seed=42), ready, spec)
+
+
 @query("hp_search")
 def hp_search(spark, sf_dir):
     df, spec = prepared(spark, sf_dir)
     part = df.filter("fold_id = 0")
-    space = {
-        "max_depth": ("int", 2, 6),
-        "min_gain": ("loguniform", 1e-6, 1e-3),
-        "max_bins": ("choice", 8, 16, 32),
-    }
-    candidates = X.search_candidates(spark, space, 4)
+    candidates = X.search_candidates(spark, SPACE, TRIALS)
 
     def make(trial):
         return DecisionTreeClassifier(

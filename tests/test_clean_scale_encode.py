@@ -221,3 +221,41 @@ def test_yeo_johnson_of_constant_empty_and_unbounded_columns(spark):
     assert abs(fits["z"].lam) <= S.LAMBDA_BOUND
     out = S.power_yeo_johnson(df, ["x", "y", "z"]).orderBy("id").collect()
     assert [r.x for r in out] == [0.0, 0.0] and [r.y for r in out] == [None, None]
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_sparse_places(spark, limit):
+    """Hot, rare, unknown and missing values, by broadcast and by shuffle."""
+    n = F.col("id")
+    df = spark.range(3000).select(
+        "id",
+        F.when(n % 3 == 0, "hot").when(n % 7 != 0, n.cast("string")).alias("a"),
+        (n % 4).cast("int").alias("b"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    encoder = E.OneHotIndices.fit(df, ["a", "none", "b"])
+    values = sorted({r.a for r in df.select("a").collect()} - {None})
+    assert encoder.width == len(values) + 4 and encoder.sizes["none"] == 0
+    assert encoder.vocabulary.filter("hot").filter("column = 'a'").collect()[0].value == "hot"
+    more = df.unionByName(spark.createDataFrame([(-1, "new", 9, None)], "id long, a string, b int, none string"))
+    place = {v: i for i, v in enumerate(values)}
+    want = {
+        r.id: [place[x] for x in [r.a] if x in place] + [len(values) + x for x in [r.b] if x < 4]
+        for r in more.collect()
+    }
+    got = encoder.transform(more, limit=limit)
+    assert {r.id: r.indices for r in got.collect()} == want
+    pairs = encoder.decode(got.filter("id < 30"))
+    assert sorted((r.id, r["column"], r.value) for r in pairs.collect()) == sorted(
+        (r.id, c, str(r[c])) for r in df.filter("id < 30").collect() for c in ("a", "b") if r[c] is not None
+    )
+    vectors = {r.id: r.features for r in encoder.vectors(more, limit=limit).collect()}
+    assert all(list(v.indices) == want[i] and v.size == encoder.width for i, v in vectors.items())
+
+
+def test_sparse_places_of_no_rows(spark):
+    df = spark.createDataFrame([], "a string")
+    encoder = E.OneHotIndices.fit(df, ["a"])
+    assert encoder.width == 0 and encoder.transform(df).count() == 0
+    with pytest.raises(ValueError):
+        encoder.vectors(df)

@@ -2,12 +2,13 @@ import math
 import random
 
 import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
 
 from foldsmith.operators import analytics as AN
 from foldsmith.operators import metrics as M
 from foldsmith.operators.models import MODELS
-from foldsmith.operators.splits import kfold_long, size_budget
+from foldsmith.operators.splits import kfold_long, kfold_roles, size_budget
 from foldsmith.operators import ranking as R_
 from foldsmith.operators.stats import exact_quantiles, train_rows
 from foldsmith.operators.synth import CopulaModel
@@ -314,3 +315,17 @@ def test_context_model_and_synthetic_arm(spark, prepared, tmp_path):
     for r in train:
         assert got[r.fold_id, "train"] == r["count"]
         assert got[r.fold_id, "synthetic"] == math.floor(r["count"] * 0.5)
+
+
+def test_grid_over_folds_finds_the_depth_that_separates(spark):
+    """Labels need two cuts: depth 1 cannot give them, deeper trees tie, the earliest wins."""
+    df = spark.range(300).select(
+        "id", (F.col("id") % 30).cast("double").alias("a"), ((F.col("id") % 30).between(10, 19)).cast("int").alias("y")
+    )
+    once = kfold_roles(df, "y", "id", 3)
+    grid = X.grid_candidates(spark, {"maxDepth": [1, 2, 4], "maxBins": [32, 64]})
+    assert [tuple(r) for r in grid.orderBy("trial").collect()][:3] == [(0, 1, 32), (1, 1, 64), (2, 2, 32)]
+    spec = TableSpec("y", "id", ("a",), ())
+    out = X.search_folds(grid, DecisionTreeClassifier(seed=1), once, spec).orderBy("trial").collect()
+    assert [r.is_best for r in out] == [False, False, True, False, False, False]
+    assert out[2].accuracy == 1.0 and out[0].accuracy < 0.9
