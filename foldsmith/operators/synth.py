@@ -19,7 +19,7 @@ from foldsmith.operators.scale import (
     standard_scale_pop,
 )
 from foldsmith.operators.stats import unpivot, value_counts
-from foldsmith.session import materialize
+from foldsmith.session import BROADCAST_BYTES, materialize
 from foldsmith.spec import TableSpec
 
 # Values of one categorical column that a marginal may hold.
@@ -28,6 +28,9 @@ MAX_CATEGORIES = 10_000
 # Probabilities closer to 0 or 1 than this have no finite normal score.
 EDGE = 1e-7
 
+# Parts of a class's rows where the marginals are too large to be broadcast.
+SALTS = 32
+
 
 def synth_prepare(
     df: DataFrame, numeric, categorical, vocab: dict[str, list[str]], by=("fold_id",)
@@ -64,16 +67,27 @@ class CopulaModel:
 
     The fit is one frequency table, one quantile pass and one correlation
     aggregate. Only features x features correlations reach the driver.
+
+    A missing value takes no part in its column's marginal and correlations; a column
+    without any value in a class stays missing there. Impute the rows first
+    (:func:`impute_synth_prep`) to have them filled.
     """
 
     def __init__(
-        self, spec: TableSpec, by, marginals: DataFrame, classes: DataFrame, n_quantiles: int
+        self,
+        spec: TableSpec,
+        by,
+        marginals: DataFrame,
+        classes: DataFrame,
+        n_quantiles: int,
+        size: int,
     ):
         self.spec = spec
         self.n_quantiles = n_quantiles
         self.by = list(by)
         self.marginals = marginals
         self.classes = classes
+        self.size = size
 
     @classmethod
     def fit(
@@ -104,11 +118,13 @@ class CopulaModel:
             )
         if categorical:
             parts.append(_category_marginals(df, keys, categorical))
-        marginals = parts[0]
-        for part in parts[1:]:
-            marginals = attach(marginals, part, keys)
+        # A class without a value in any numeric, or any categorical, column stays.
+        marginals = df.select(*keys).distinct()
+        for part in parts:
+            marginals = attach(marginals, part, keys, "left")
         marginals = materialize(marginals, "marginals")
-        factors = _factors(df, marginals, spec, keys, n_quantiles)
+        size = _bytes(marginals, spec)
+        factors = _factors(df, marginals, spec, keys, n_quantiles, size)
         classes = (
             df.groupBy(*keys)
             .agg(F.count(F.lit(1)).alias("n"))
@@ -117,7 +133,7 @@ class CopulaModel:
                 F.array_sort(F.collect_list(F.struct(spec.target, "n"))).alias("__classes")
             )
         )
-        return cls(spec, by, attach(marginals, factors, keys), classes, n_quantiles)
+        return cls(spec, by, attach(marginals, factors, keys), classes, n_quantiles, size)
 
     def sample(self, wanted: DataFrame, seed=42) -> DataFrame:
         """``n`` new rows per group; ``wanted`` holds the group columns and ``n``.
@@ -149,7 +165,9 @@ class CopulaModel:
         scores = F.array(
             *[inverse_normal(uniform(f"{seed}:{c}", *by, "synth_id")) for c in features]
         )
-        wide = attach(rows.withColumn("__z", scores), self.marginals, [*by, spec.target])
+        wide = _with_marginals(
+            rows.withColumn("__z", scores), self.marginals, [*by, spec.target], self.size
+        )
         correlated = wide.select(
             "*",
             *[
@@ -182,6 +200,29 @@ class CopulaModel:
         )
 
 
+def _bytes(marginals: DataFrame, spec: TableSpec) -> int:
+    """Measured size of the marginals' numbers and values."""
+    numbers = [F.coalesce(F.size(f"{c}__map.v"), F.lit(0)) * 40 for c in spec.numeric]
+    texts = [
+        F.coalesce(
+            F.aggregate(f"{c}__cat.values", F.lit(0), lambda s, v: s + F.octet_length(v) + 32), F.lit(0)
+        )
+        for c in spec.categorical
+    ]
+    each = F.aggregate(F.array(*numbers, *texts), F.lit(0).cast("long"), lambda s, x: s + x)
+    return marginals.agg(F.sum(each)).first()[0] or 0
+
+
+def _with_marginals(df: DataFrame, marginals: DataFrame, keys, size: int) -> DataFrame:
+    """Attach the marginals of each row's class. Within the measured limit they are broadcast
+    and no row moves; beyond, a class's rows are spread over salts."""
+    if size <= BROADCAST_BYTES:
+        return attach(df, F.broadcast(marginals), keys)
+    salted = df.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    return attach(salted, marginals.select("*", salts), [*keys, "__salt"]).drop("__salt")
+
+
 def _row_ids(wanted: DataFrame, by) -> DataFrame:
     """Rows ``0 .. n-1`` of every group, generated in chunks of 100,000 so that
     a large group is produced by many tasks."""
@@ -250,13 +291,13 @@ def _category_marginals(df: DataFrame, keys, categorical) -> DataFrame:
 
 
 def _factors(
-    df: DataFrame, marginals: DataFrame, spec: TableSpec, keys, n_quantiles: int
+    df: DataFrame, marginals: DataFrame, spec: TableSpec, keys, n_quantiles: int, size: int
 ) -> DataFrame:
     """Cholesky factor of the correlation of normal scores, one per group and class."""
     numeric, categorical = list(spec.numeric), list(spec.categorical)
     features = [*numeric, *categorical]
     wide = with_upper_bound(
-        attach(df.select(*keys, *features), marginals, keys),
+        _with_marginals(df.select(*keys, *features), marginals, keys, size),
         {f"{c}__at": (F.col(f"{c}__map.v"), F.col(c).cast("double")) for c in numeric},
         n_quantiles,
     )
@@ -280,7 +321,7 @@ def _factors(
 
     scores = placed.select(
         *keys,
-        *[_score(middle(c)).alias(f"{c}__z") for c in numeric],
+        *[F.when(F.col(c).isNotNull(), _score(middle(c))).alias(f"{c}__z") for c in numeric],
         *[f"{c}__z" for c in categorical],
     )
     pairs = [(i, j) for i in range(len(features)) for j in range(i)]

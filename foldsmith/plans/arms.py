@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldsmith.operators.clean import impute_synth_prep
 from foldsmith.operators.augment import augment_dataset, augment_rag, room
 from foldsmith.operators.schema import union_rows
 from foldsmith.operators.splits import size_budget
@@ -49,17 +50,18 @@ def augment_synthetic(
     seed=42,
 ) -> DataFrame:
     """Training rows plus synthetic rows, up to ``cap`` rows a fold or ``share`` of its
-    training rows more. Rows with a missing value take no part in the fit, and folds
-    without room gain none."""
+    training rows more. The fit takes all training rows, missing values filled as
+    :func:`impute_synth_prep` does. Folds without room gain none."""
     plain = augment_none(df, spec)
     train = df.filter(F.col("role") == "train")
     wanted = materialize(room(train, cap, share), "room").filter(F.col("__needed") > 0)
     wanted = wanted.withColumnRenamed("__needed", "n")
     if not wanted.limit(1).count():
         return plain
-    whole = train.select("fold_id", *spec.features, spec.target).dropna()
-    whole = whole.join(F.broadcast(wanted.select("fold_id")), "fold_id", "left_semi")
-    made = CopulaModel.fit(whole, spec).sample(wanted, seed)
+    rows = train.select("fold_id", *spec.features, spec.target)
+    rows = rows.join(F.broadcast(wanted.select("fold_id")), "fold_id", "left_semi")
+    filled = impute_synth_prep(rows, spec.numeric, spec.categorical)
+    made = CopulaModel.fit(materialize(filled, "filled"), spec).sample(wanted, seed)
     made = made.select(
         "fold_id",
         F.concat(F.lit("synthetic:"), F.col("synth_id").cast("string")).alias(spec.row_id),

@@ -1,8 +1,11 @@
 """The fitted chain, synthetic rows and augmentation arms."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foldsmith.operators.clean import impute_synth_prep
 from foldsmith.operators.encode import vocabulary
+from foldsmith.operators.foldwise import by_fold
 from foldsmith.operators.stats import train_rows
 from foldsmith.operators.synth import CopulaModel, synth_decode, synth_prepare
 from foldsmith.plans.arms import augment, topup
@@ -106,14 +109,75 @@ def synth_decode_query(spark, sf_dir):
     return rounded(out, ["c_acctbal"], 0)
 
 
+SYNTH = TableSpec("c_mktsegment", "c_custkey", ("c_acctbal", "nation_number"), ("c_nationkey",))
+
+
+def imputed(spark, sf_dir):
+    """All training rows of every fold, missing values filled."""
+    train = train_rows(by_fold(written(customer_roles(spark, sf_dir), "customer-roles"))).select(
+        "fold_id", *SYNTH.features, SYNTH.target
+    )
+    filled = impute_synth_prep(train, SYNTH.numeric, SYNTH.categorical)
+    return written(filled.withColumn("nation_number", F.col("nation_number").cast("double")), "filled")
+
+
+def made_rows(train):
+    wanted = train.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"))
+    return CopulaModel.fit(train, SYNTH).sample(wanted)
+
+
 @query("synth_rows")
 def synth_rows(spark, sf_dir):
-    train = train_rows(written(customer_folds(spark, sf_dir), "customer-folds")).select(
-        "fold_id", "c_acctbal", "c_nationkey", "nation_number", "c_mktsegment"
-    ).dropna()
-    spec = TableSpec("c_mktsegment", "c_custkey", ("c_acctbal", "nation_number"), ("c_nationkey",))
-    wanted = train.groupBy("fold_id").agg(F.count(F.lit(1)).alias("n"))
-    return CopulaModel.fit(train, spec).sample(wanted)
+    return made_rows(imputed(spark, sf_dir))
+
+
+@query(
+    "synth_rows_shape",
+    f"""WITH {CUSTOMER_FOLDS} SELECT fold_id, c_mktsegment, count(*) AS n_real,
+  sum(count(*)) OVER (PARTITION BY fold_id)::BIGINT AS n_made_in_fold, TRUE AS share_kept,
+  TRUE AS balance_in_range, TRUE AS nation_in_range, TRUE AS values_known, 0::BIGINT AS n_missing
+  FROM folds WHERE role = 'train' GROUP BY 1, 2""",
+)
+def synth_rows_shape(spark, sf_dir):
+    """Made rows against the rows they were fitted on, per fold and class: number, share of the
+    class (within five standard errors of its draw), ranges and values."""
+    keys = ["fold_id", "c_mktsegment"]
+
+    def shape(df, name):
+        ends = [
+            end(c).alias(f"{name}_{label}_{c}")
+            for c in SYNTH.numeric
+            for label, end in (("low", F.min), ("high", F.max))
+        ]
+        missing = F.count_if(F.greatest(*[F.col(c).isNull() for c in SYNTH.features]))
+        return df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias(f"{name}_n"),
+            F.collect_set("c_nationkey").alias(f"{name}_values"),
+            missing.alias(f"{name}_missing"),
+            *ends,
+        )
+
+    train = imputed(spark, sf_dir)
+    both = shape(train, "real").join(shape(made_rows(train), "made"), keys)
+    fold = Window.partitionBy("fold_id")
+    share = F.col("real_n") / F.sum("real_n").over(fold)
+    made = F.sum("made_n").over(fold)
+    error = F.sqrt(share * (1 - share) / made)
+    within = {
+        c: (F.col(f"made_low_{c}") >= F.col(f"real_low_{c}") - 1e-9)
+        & (F.col(f"made_high_{c}") <= F.col(f"real_high_{c}") + 1e-9)
+        for c in SYNTH.numeric
+    }
+    return both.select(
+        *keys,
+        F.col("real_n").alias("n_real"),
+        made.alias("n_made_in_fold"),
+        (F.abs(F.col("made_n") / made - share) <= 5 * error).alias("share_kept"),
+        within["c_acctbal"].alias("balance_in_range"),
+        within["nation_number"].alias("nation_in_range"),
+        (F.size(F.array_except("made_values", "real_values")) == 0).alias("values_known"),
+        F.col("made_missing").alias("n_missing"),
+    )
 
 
 @query("topup_gan")

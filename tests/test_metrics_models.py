@@ -329,3 +329,18 @@ def test_grid_over_folds_finds_the_depth_that_separates(spark):
     out = X.search_folds(grid, DecisionTreeClassifier(seed=1), once, spec).orderBy("trial").collect()
     assert [r.is_best for r in out] == [False, False, True, False, False, False]
     assert out[2].accuracy == 1.0 and out[0].accuracy < 0.9
+
+
+def test_missing_values_and_large_marginals(spark, table, monkeypatch):
+    """Missing values stay out of the fit; salted and broadcast marginals make the same rows."""
+    train = train_rows(table).select("fold_id", "a", "c", "y")
+    wanted = spark.createDataFrame([(0, 200), (1, 50)], "fold_id int, n long")
+    made = sorted(tuple(r) for r in CopulaModel.fit(train, SPEC).sample(wanted).collect())
+    assert len(made) == 250 and not any(v is None for r in made for v in r)
+    monkeypatch.setattr("foldsmith.operators.synth.BROADCAST_BYTES", 0)
+    again = sorted(tuple(r) for r in CopulaModel.fit(train, SPEC).sample(wanted).collect())
+    assert [r[:2] for r in again] == [r[:2] for r in made]
+    assert all(a[2] == pytest.approx(b[2]) and a[3:] == b[3:] for a, b in zip(again, made, strict=True))
+    empty = train.withColumn("a", F.when(F.col("y") == "yes", F.col("a")))
+    rows = CopulaModel.fit(empty, SPEC).sample(wanted).collect()
+    assert len(rows) == 250 and {r.y for r in rows if r.a is None} == {"no"}
