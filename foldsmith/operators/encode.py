@@ -80,8 +80,8 @@ def label_encode(df: DataFrame, target: str, fitted: DataFrame | None = None) ->
 class OrdinalEncoder:
     """Ordinal codes of categorical columns per fold; unseen values become -1.
 
-    The fitted codes are written once and measured. A vocabulary within the
-    limit is broadcast, a larger one is shuffled.
+    The fitted codes are written once and measured. Vocabularies are broadcast
+    as long as their sum is within the limit, the others are shuffled.
     """
 
     def __init__(self, codes_table: DataFrame, columns, sizes: dict[str, int]):
@@ -109,11 +109,12 @@ class OrdinalEncoder:
 
     def transform(self, df: DataFrame, limit: int | None = None) -> DataFrame:
         df = out = by_fold(df)
+        small = within({c: self.sizes.get(c, 0) for c in self.columns}, limit)
         for c in self.columns:
             side = self.codes.filter(F.col("column") == c).select(
                 *FOLD, F.col("value").alias(f"__{c}"), F.col("code").alias(f"__{c}_code")
             )
-            side = broadcast_if_small(side, self.sizes.get(c, 0), limit)
+            side = F.broadcast(side) if c in small else side
             on = (F.col("__fold") == F.col("fold_id")) & (
                 F.col(f"`{c}`").cast("string") == F.col(f"__{c}")
             )
@@ -123,6 +124,17 @@ class OrdinalEncoder:
         return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
 
 
+def within(sizes: dict[str, int], limit: int | None = None) -> set[str]:
+    """The columns, smallest first, whose measured bytes together stay within the limit."""
+    taken, total = set(), 0
+    for c, size in sorted(sizes.items(), key=lambda item: (item[1], item[0])):
+        total += size
+        if total > (BROADCAST_BYTES if limit is None else limit):
+            break
+        taken.add(c)
+    return taken
+
+
 def ordinal_encode(df: DataFrame, columns) -> DataFrame:
     return OrdinalEncoder.fit(df, columns).transform(df)
 
@@ -218,14 +230,14 @@ class OneHotIndices:
     def _placed(self, df: DataFrame, limit: int | None) -> DataFrame:
         """Add the place of each column's value, ``__i0`` and so on.
 
-        A vocabulary within the limit is broadcast. Of a larger one the hot values are, and
+        Vocabularies that together stay within the limit are broadcast. Of the others the hot values are, and
         only rows with other values are shuffled by value; the rest keeps a key of its own.
         """
-        out = df
+        out, small = df, within(self.weights, limit)
         for i, c in enumerate(self.columns):
             side = self.vocabulary.filter(F.col("column") == c).select("value", "hot", "index")
             text = F.col(f"`{c}`").cast("string")
-            if self.weights[c] <= (BROADCAST_BYTES if limit is None else limit):
+            if c in small:
                 side = side.select(F.col("value").alias("__v"), F.col("index").alias(f"__i{i}"))
                 out = out.join(F.broadcast(side), text == F.col("__v"), "left").drop("__v")
                 continue

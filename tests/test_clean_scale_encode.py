@@ -259,3 +259,9 @@ def test_sparse_places_of_no_rows(spark):
     assert encoder.width == 0 and encoder.transform(df).count() == 0
     with pytest.raises(ValueError):
         encoder.vectors(df)
+
+
+def test_broadcasts_stay_within_the_limit_together():
+    sizes = {"a": 40, "b": 30, "c": 50}
+    assert E.within(sizes, 70) == {"a", "b"} and E.within(sizes, 69) == {"b"}
+    assert E.within(sizes, 0) == set() and E.within({"none": 0}, 0) == {"none"}
