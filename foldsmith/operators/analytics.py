@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldsmith.functions.hashing import hash_key
+from foldsmith.functions.digests import md5_words
+from foldsmith.operators.ranking import group_key
 from foldsmith.operators.stats import unpivot
 from foldsmith.session import materialize
 
@@ -22,80 +27,114 @@ POISSON_CDF = tuple(
 
 # A digest of 32 hex digits gives the draws of this many resamples, four digits each.
 WORDS, DIGITS = 8, 4
+SUMS = "metric string, sum double, count long, ci_low double, ci_high double, draw_sums array<double>, draw_counts array<double>"
 
 
-def poisson_weight(word: Column) -> Column:
-    """Poisson(1) draw from four hex digits of a digest.
+# Texts whose digests are made at a time.
+TEXTS = 512
+# A group with more rows is cut into parts, unless a thousandth of all rows is more.
+PART_ROWS = 20_000
 
-    With ``u = (number + 0.5) / 2**16`` the draw is the number of CDF steps
-    below ``u``. Hex text of one width orders like the numbers, so the steps are
-    compared as text, no digit is parsed, and the first step above ends the search.
+
+@lru_cache(maxsize=1)
+def _poisson_weights() -> np.ndarray:
+    """Poisson(1) draws by two bytes of a digest, as the machine reads them.
+
+    With ``u = (number + 0.5) / 2**16`` of four hex digits the draw is the number of CDF
+    steps below ``u``.
     """
-    size = 16**DIGITS
-    steps = [math.floor(step * size - 0.5) + 1 for step in POISSON_CDF]
-    texts = [f"{step:0{DIGITS}x}" for step in steps if step < size]
-    out = F.when(word < F.lit(texts[0]), 0)
-    for number, text in enumerate(texts[1:], 1):
-        out = out.when(word < F.lit(text), number)
-    return out.otherwise(len(texts))
+    u = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    draws = (u[:, None] > np.array(POISSON_CDF)).sum(axis=1).astype(float)
+    return draws[np.arange(1 << 16, dtype=np.uint16).byteswap()]
 
 
-def draw_sums(df: DataFrame, by, values, row_id: str, draws: int, seed=42) -> DataFrame:
-    """Sums per group and block of ``WORDS`` resamples, of all value columns at once.
+def _draw(texts: list[bytes], x: np.ndarray, draws: int, seed) -> np.ndarray:
+    """Sums over rows of every column of ``x`` by resample: draws x columns.
 
-    A resample weights every row by a Poisson(1) count, so rows are never gathered and the
-    weighted sums combine on the map side. One digest of seed, block and row gives the
-    weights of a block's resamples; all values share them. Sums add up to those of larger groups.
+    A resample weights every row by a Poisson(1) count. One digest of seed, block and row
+    gives the weights of a block of ``WORDS`` resamples; all columns share them.
     """
-    by = list(by)
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // WORDS) - 1)))
-    named = [F.col(v).cast("double").alias(f"__x{i}") for i, v in enumerate(values)]
-    keyed = df.select(*by, row_id, *named, blocks.alias("__block"))
-    x = [f"__x{i}" for i in range(len(values))]
-    keyed = keyed.select(*by, *x, "__block", hash_key(seed, "__block", row_id).alias("__key"))
-    # Words and weights have projections of their own: each is used often.
-    words = [F.substring("__key", 1 + DIGITS * w, DIGITS).alias(f"__u{w}") for w in range(WORDS)]
-    keyed = keyed.select(*by, *x, "__block", *words)
-    weights = [poisson_weight(F.col(f"__u{w}")).alias(f"__w{w}") for w in range(WORDS)]
-    keyed = keyed.select(*by, *x, "__block", *weights)
-    sums = []
-    for i in range(len(values)):
-        here = F.col(f"__x{i}").isNotNull()
-        sums += [F.sum(f"__x{i}").alias(f"__c{i}"), F.count(f"__x{i}").alias(f"__k{i}")]
-        for w in range(WORDS):
-            weight = F.col(f"__w{w}")
-            sums.append(F.sum(F.col(f"__x{i}") * weight).alias(f"__s{i}{w}"))
-            sums.append(F.sum(F.when(here, weight)).alias(f"__n{i}{w}"))
-    return keyed.groupBy(*by, "__block").agg(*sums)
-
-
-def intervals(sums: DataFrame, by, values, draws: int, level: float = 0.95) -> DataFrame:
-    """Mean and percentile interval of every value per group, from the sums of its draws."""
-    by = list(by)
-    total = sums.groupBy(*by, "__block").agg(
-        *[F.sum(c).alias(c) for c in sums.columns if c not in by and c[:3] in ("__s", "__n", "__c", "__k")]
-    )
-    entries = [
-        F.struct(
-            F.lit(v).alias("metric"),
-            (F.col("__block") * WORDS + w).alias("draw"),
-            F.try_divide(F.col(f"__s{i}{w}"), F.col(f"__n{i}{w}")).alias("mean"),
-            F.try_divide(F.col(f"__c{i}"), F.col(f"__k{i}")).alias("centre"),
-        )
-        for i, v in enumerate(values)
-        for w in range(WORDS)
-    ]
-    means = total.select(*by, F.inline(F.array(*entries))).filter(F.col("draw") < draws)
+    table = _poisson_weights()
+    prefixes = [f"{seed}:{block}".encode() for block in range(-(-draws // WORDS))]
+    sums = np.zeros((len(prefixes), x.shape[1], WORDS))
+    for at in range(0, len(texts), TEXTS):
+        some = md5_words(prefixes, texts[at : at + TEXTS])
+        sums += x[at : at + TEXTS].T @ table[some.view("<u2")]
+    return sums.transpose(0, 2, 1).reshape(-1, x.shape[1])[:draws]
+
+
+def _interval(sums: np.ndarray, counts: np.ndarray, level: float) -> list:
+    """Percentiles of the resampled means; a resample without a row has none."""
+    means = sums[counts > 0] / counts[counts > 0]
     tail = (1 - level) / 2
-    limits = F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail)))
-    found = means.groupBy(*by, "metric").agg(F.min_by("centre", "draw").alias("mean"), limits.alias("__limits"))
-    return found.filter(F.col("mean").isNotNull()).select(
-        *by,
-        "metric",
-        "mean",
-        F.get("__limits", F.lit(0)).alias("ci_low"),
-        F.get("__limits", F.lit(1)).alias("ci_high"),
+    return [float(q) for q in np.quantile(means, [tail, 1 - tail])] if len(means) else [None, None]
+
+
+def _drawn(df: DataFrame, by, values, row_id: str, draws: int, level: float, seed) -> DataFrame:
+    """One row per group and value: its interval, or its sums by resample where the group has
+    several parts.
+
+    The rows of a group, or of a part of a large one, meet in one task, which draws their
+    weights; so rows are shuffled once, and draws only for large groups, of which there are
+    at most a thousand.
+    """
+    by, k = list(by), len(values)
+    text = F.coalesce(F.concat(F.lit(":"), F.col(row_id).cast("string")), F.lit("")).cast("binary")
+    named = [F.col(v).cast("double").alias(f"__x{i}") for i, v in enumerate(values)]
+    rows = df.select(*by, text.alias("__text"), *named)
+    sizes = materialize(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), "group-sizes")
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    size = max(PART_ROWS, math.ceil(total / 1000))
+    large = sizes.where(F.col("__n") > size).select(
+        group_key(by).alias("__group"), F.ceil(F.col("__n") / size).alias("__parts")
     )
+    part = F.coalesce(F.pmod(F.xxhash64("__text"), F.col("__parts")), F.lit(0))
+    parted = rows.withColumn("__group", group_key(by)).join(F.broadcast(large), "__group", "left")
+    parted = parted.drop("__group").withColumn("__part", part)
+    # As many tasks as the draws need, not as the rows' bytes would.
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / size))
+    columns = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by] + [SUMS])
+
+    def draw(key: tuple, table: pa.Table) -> pa.Table:
+        texts = table["__text"].to_pylist()
+        raw = [table[f"__x{i}"] for i in range(k)]
+        x = np.column_stack([pc.fill_null(c, 0.0).to_numpy() for c in raw] + [c.is_valid().to_numpy() for c in raw])
+        sums = _draw(texts, x.astype(float), draws, seed)
+        whole = pc.max(table["__parts"]).as_py() is None
+        out = []
+        for i, metric in enumerate(values):
+            s, n = sums[:, i], sums[:, k + i]
+            given = (float(x[:, i].sum()), int(x[:, k + i].sum()))
+            out.append((metric, *given, *(_interval(s, n, level) if whole else (None, None)), *((None, None) if whole else (s, n))))
+        return _rows(key[: len(by)], by, out)
+
+    return parted.repartition(tasks, *by, "__part").groupBy(*by, "__part").applyInArrow(draw, columns)
+
+
+def _rows(key: tuple, by: list, rows: list) -> pa.Table:
+    types = [pa.string(), pa.float64(), pa.int64(), *[pa.float64()] * 2, *[pa.list_(pa.float64())] * 2]
+    names = [c.split()[0] for c in SUMS.split(", ")]
+    held = [pa.array([v.as_py()] * len(rows), v.type) for v in key]
+    made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.table([*held, *made], [*by, *names])
+
+
+def intervals(
+    df: DataFrame, by, values, row_id: str, draws: int, level: float = 0.95, seed=42
+) -> DataFrame:
+    """Mean and percentile interval of the resampled means of every value, per group."""
+    by = list(by)
+    drawn = materialize(_drawn(df, by, values, row_id, draws, level, seed), "draws")
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        s, n = (np.sum(table[c].to_pylist(), axis=0) for c in ("draw_sums", "draw_counts"))
+        given = (pc.sum(table["sum"]).as_py(), pc.sum(table["count"]).as_py())
+        return _rows(key[:-1], by, [(key[-1].as_py(), *given, *_interval(s, n, level), None, None)])
+
+    in_parts = F.col("draw_sums").isNotNull()
+    added = drawn.where(in_parts).groupBy(*by, "metric").applyInArrow(add, drawn.schema)
+    found = drawn.where(~in_parts).unionByName(added).where(F.col("count") > 0)
+    return found.select(*by, "metric", (F.col("sum") / F.col("count")).alias("mean"), "ci_low", "ci_high")
 
 
 def bootstrap_ci(
@@ -108,29 +147,25 @@ def bootstrap_ci(
     seed=42,
 ) -> DataFrame:
     """Mean and percentile interval of resampled means per group."""
-    sums = draw_sums(df, by, [value], row_id, draws, seed)
-    return intervals(sums, by, [value], draws, level).drop("metric")
+    return intervals(df, by, [value], row_id, draws, level, seed).drop("metric")
 
 
 def model_means(results: DataFrame, metrics, by, row_id: str, draws: int = 1000) -> DataFrame:
     """Mean and bootstrap interval of each metric by ``by``: within a dataset
     over folds, or over all datasets, as ``by`` says."""
-    return intervals(draw_sums(results, by, metrics, row_id, draws), by, metrics, draws)
+    return intervals(results, by, metrics, row_id, draws)
 
 
 def model_means_sets(results: DataFrame, metrics, sets, row_id: str, draws: int = 1000) -> DataFrame:
     """``model_means`` of several groupings, the first of which holds the columns of all others.
 
-    Weights are drawn once per row, for all metrics and groupings; the coarser groupings add
-    up the sums of the first. Columns that a grouping lacks are NULL, ``grouping`` is its
-    number in ``sets``.
+    A row has the same weights in all groupings. Columns that a grouping lacks are NULL,
+    ``grouping`` is its number in ``sets``.
     """
-    finest = list(sets[0])
-    sums = materialize(draw_sums(results, finest, metrics, row_id, draws), "draws")
     out = None
     for number, by in enumerate(sets):
-        missing = [F.lit(None).cast(sums.schema[c].dataType).alias(c) for c in finest if c not in by]
-        part = intervals(sums, by, metrics, draws).select("*", *missing, F.lit(number).alias("grouping"))
+        missing = [F.lit(None).cast(results.schema[c].dataType).alias(c) for c in sets[0] if c not in by]
+        part = intervals(results, by, metrics, row_id, draws).select("*", *missing, F.lit(number).alias("grouping"))
         out = part if out is None else out.unionByName(part)
     return out
 

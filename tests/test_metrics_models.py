@@ -1,6 +1,8 @@
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
@@ -344,3 +346,31 @@ def test_missing_values_and_large_marginals(spark, table, monkeypatch):
     empty = train.withColumn("a", F.when(F.col("y") == "yes", F.col("a")))
     rows = CopulaModel.fit(empty, SPEC).sample(wanted).collect()
     assert len(rows) == 250 and {r.y for r in rows if r.a is None} == {"no"}
+
+
+def test_draws_of_large_groups_and_nulls_are_those_of_single_rows(spark, monkeypatch):
+    monkeypatch.setattr(AN, "PART_ROWS", 40)
+    rows = [(None if k % 5 == 0 else k % 2, None if k == 3 else f"{k}-{'x' * (k % 90)}", None if k % 7 == 0 else k * 0.37)
+            for k in range(301)]
+    df = spark.createDataFrame(rows, "g int, id string, x double")
+    found = {r.g: r for r in AN.bootstrap_ci(df, ["g"], "x", "id", 100).collect()}
+    assert set(found) == {None, 0, 1}
+    for g, r in found.items():
+        means = []
+        some = [(i, x) for h, i, x in rows if h == g and x is not None]
+        for draw in range(100):
+            weights = []
+            for i, _ in some:
+                text = f"42:{draw // 8}" + ("" if i is None else f":{i}")
+                u = (int(hashlib.md5(text.encode()).hexdigest()[4 * (draw % 8) :][:4], 16) + 0.5) / 65536
+                weights.append(sum(u > p for p in AN.POISSON_CDF))
+            means.append(sum(w * x for w, (_, x) in zip(weights, some)) / sum(weights))
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert (r["mean"], r.ci_low, r.ci_high) == pytest.approx((sum(x for _, x in some) / len(some), low, high))
+
+
+def test_small_groups_leave_no_draws_behind(spark):
+    df = spark.range(600).selectExpr("id % 50 AS g", "id", "id * 0.5 AS x", "id * 0.1 AS y")
+    drawn = AN._drawn(df, ["g"], ["x", "y"], "id", 1000, 0.95, 42).collect()
+    assert len(drawn) == 100
+    assert all(r.draw_sums is None and r.ci_low < r.ci_high for r in drawn)
