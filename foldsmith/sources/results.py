@@ -10,13 +10,13 @@ RUN_KEYS = ("random_state", "dataset_id", "fold", "model_name", "augmentation")
 
 
 def store_results(results: DataFrame, path: str, mode: str = "append") -> None:
-    """Write result rows, one folder per dataset, so that reading one dataset
-    prunes the others. Rows are gathered per dataset first: no small files, and
-    a dataset with many rows is split by its measured size."""
+    """Write result rows, those of a dataset together and in order, so that the files' own
+    statistics let a reader of one dataset skip the others. The number of files follows from
+    the rows' measured size, not from the number of datasets."""
     (
         results.hint("rebalance", "dataset_id")
+        .sortWithinPartitions("dataset_id")
         .write.mode(mode)
-        .partitionBy("dataset_id")
         .parquet(path)
     )
 

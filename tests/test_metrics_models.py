@@ -374,3 +374,14 @@ def test_small_groups_leave_no_draws_behind(spark):
     drawn = AN._drawn(df, ["g"], ["x", "y"], "id", 1000, 0.95, 42).collect()
     assert len(drawn) == 100
     assert all(r.draw_sums is None and r.ci_low < r.ci_high for r in drawn)
+
+
+def test_stored_results_have_files_by_size_not_by_dataset(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    runs = spark.range(400).selectExpr("CAST(if(id = 7, NULL, id) AS int) AS dataset_id", "id * 0.5 AS accuracy")
+    for _ in range(2):
+        R.store_results(runs, path)
+    assert len(list((tmp_path / "stored").rglob("*.parquet"))) <= 8
+    stored = R.load_results(spark, path)
+    assert stored.schema["dataset_id"].dataType.simpleString() == "int"
+    assert sorted(stored.collect(), key=str) == sorted(runs.select(*stored.columns).collect() * 2, key=str)
