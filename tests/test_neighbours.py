@@ -229,3 +229,26 @@ def test_blocks_are_bounded_and_second_round_leaves_out_the_first(spark, skewed,
     pairs = again.join(homes.select("q_id", F.col("cell").alias("home")), "q_id").collect()
     assert all(r.cell != r.home for r in pairs)
     assert len({(r.q_id, r.cell) for r in pairs}) == len(pairs)
+
+
+def test_close_pairs_of_wide_vectors_are_those_of_all_distances():
+    rng = np.random.default_rng(3)
+    for scale, shift in ((1.0, 0.0), (1e-6, 1000.0)):
+        a = rng.normal(size=(60, 16)) * scale + shift
+        b = np.vstack([rng.normal(size=(200, 16)) * scale + shift, a[:20], a[:20]])
+        d = N.distances(a, b, 2)
+        limit = np.sort(d, axis=1)[:, 7]
+        q, c, near = N._close(a, b, 2, limit)
+        assert (near == d[q, c]).all()
+        assert {*zip(q.tolist(), c.tolist())} == {*zip(*(x.tolist() for x in np.nonzero(d <= limit[:, None])))}
+        best = N._Best(len(a), 5)
+        best.add(np.arange(len(a)), np.arange(len(b)), N._close(a, b, 2, np.full(len(a), np.inf), 5))
+        assert (best.row == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_wide_vectors_get_few_exact_distances(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(50, 16)), rng.normal(size=(400, 16))
+    monkeypatch.setattr(N, "distances", None)  # all pairs are not measured coordinate by coordinate
+    q, _, d = N._close(a, b, 2, np.full(50, np.inf), 5)
+    assert len(q) < 50 * 10 and len(d) == len(q)
