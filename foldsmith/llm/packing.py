@@ -46,8 +46,8 @@ SEQUENCE = 2048
 WINDOW = 64  # sequences
 MIN_QUANTUM = 64  # tokens of a window
 END_ID = 1
-WORDS = 300_000  # of a generation of the cache
-SLICE = 512  # rows of an Arrow batch
+WORDS = 60_000  # of a generation of the cache
+SLICE = 128  # rows of an Arrow batch
 BASE_ROW_BYTES = 100
 
 TOKENS = "doc_id long, source string, part int, before long, n long, ids binary"
