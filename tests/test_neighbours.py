@@ -252,3 +252,19 @@ def test_wide_vectors_get_few_exact_distances(monkeypatch):
     monkeypatch.setattr(N, "distances", None)  # all pairs are not measured coordinate by coordinate
     q, _, d = N._close(a, b, 2, np.full(50, np.inf), 5)
     assert len(q) < 50 * 10 and len(d) == len(q)
+
+
+def test_equal_vectors_are_searched_once_and_few_of_them_are_searched(spark, monkeypatch):
+    train = [[0.5, 0.5]] * 2000 + [[float(i), 1.0] for i in range(20)]
+    queries = [[0.5, 0.5]] * 300 + [[0.5, 0.6]] * 200 + [[7.2, 1.0]]
+    taken = []
+    join = N._blocked_join
+
+    def counted(q, s, *rest):
+        taken.append((q.count(), s.count()))
+        return join(q, s, *rest)
+
+    monkeypatch.setattr(N, "_blocked_join", counted)
+    got = found(N.knn_join(*sides(spark, queries, train), 5))
+    assert got == brute(queries, train, 5, EUCLID)
+    assert taken == [(3, 25)]
