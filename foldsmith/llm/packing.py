@@ -46,8 +46,9 @@ SEQUENCE = 2048
 WINDOW = 64  # sequences
 MIN_QUANTUM = 64  # tokens of a window
 END_ID = 1
-WORDS = 60_000  # of a generation of the cache
-SLICE = 128  # rows of an Arrow batch
+WORDS = 120_000  # of a generation of the cache
+TEXTS = 512  # looked up together
+SLICE = 128  # rows of token ids cut at a time
 BASE_ROW_BYTES = 100
 
 TOKENS = "doc_id long, source string, part int, before long, n long, ids binary"
@@ -148,8 +149,8 @@ def _tokenize(path: str):
         before: dict = {}
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                doc, source, text = batch.slice(at, SLICE).columns
+            for at in range(0, len(batch), TEXTS):
+                doc, source, text = batch.slice(at, TEXTS).columns
                 ids = [i + end for i in model.encode(text.fill_null("").to_pylist())]
                 sizes, earlier = [len(i) // 4 for i in ids], []
                 for name, n in zip(source.to_pylist(), sizes):
