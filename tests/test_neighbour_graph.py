@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.operators import neighbour_graph as G
 from foldsmith.operators import neighbours as N
+from foldsmith.session import materialize
 
 
 def sides(spark, count, width, seed=0, folds=1, copies=0):
@@ -59,3 +60,18 @@ def test_sides_that_cannot_be_compared_are_errors(spark, join):
             join(q.unionByName(bad.withColumnRenamed("s_id", "q_id")), s, 2, by=["fold_id"])
     with pytest.raises(ValueError, match="no training rows"):
         join(q.unionByName(q.withColumn("fold_id", F.lit(9))), s, 2, by=["fold_id"])
+
+
+def test_nodes_and_edges_are_never_broadcast(spark):
+    """The planner would broadcast these small tables; their size says nothing of larger ones."""
+    q, s = sides(spark, 200, 8)
+    nodes = G._nodes(q, s, [])
+    start = G._measured(G._first_edges(nodes, 2, 3, 1), nodes)
+    edges = materialize(G._nearest(start, 5), "edges")
+    found = G.knn_join_approx(q, s, 5)
+    for out in (start, G._candidates(edges, nodes, 5), found):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    again = G._nearest(edges.withColumn("kept", F.lit(True)).unionByName(edges.withColumn("kept", F.lit(False))), 5)
+    assert again.where("kept").count() == again.count() == edges.count()
