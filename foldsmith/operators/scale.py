@@ -258,9 +258,18 @@ def _slopes(spark, long: DataFrame, lams: dict) -> dict:
     return out
 
 
+# A Newton step below this share of the exponent ends the climb: the next one would be about its
+# square, less than what sums over many rows lose to rounding.
+LAST_STEP = 1e-8
+
+
 class _Climb:
     """Newton steps to the root of the slope, kept between the exponents seen on either
-    side of it; where they would leave these, the middle is taken."""
+    side of it; where they would leave these, the middle is taken.
+
+    A step that is small ends the climb whatever the sides say: so near to the root the sign
+    of a slope summed over many rows is chance, and the middle would lead away again.
+    """
 
     def __init__(self):
         self.lam, self.low, self.high, self.stride, self.done = 1.0, -LAMBDA_BOUND, LAMBDA_BOUND, 1.0, False
@@ -276,11 +285,16 @@ class _Climb:
                 self.low = self.lam
             self.lam = (self.low + self.high) / 2 if abs(self.lam - 1) > 1e-9 else 1.0
             return
+        newton = math.isfinite(second) and second < 0
+        if newton and abs(first / second) <= LAST_STEP * max(1.0, abs(self.lam)):
+            self.lam = max(-LAMBDA_BOUND, min(LAMBDA_BOUND, self.lam - first / second))
+            self.done = True
+            return
         if first > 0:
             self.low = self.lam
         else:
             self.high = self.lam
-        step = -first / second if math.isfinite(second) and second < 0 else math.copysign(self.stride, first)
+        step = -first / second if newton else math.copysign(self.stride, first)
         step = max(-self.stride, min(self.stride, step))
         self.stride *= 2 if abs(step) == self.stride else 1
         target = self.lam + step

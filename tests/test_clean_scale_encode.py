@@ -265,3 +265,16 @@ def test_broadcasts_stay_within_the_limit_together():
     sizes = {"a": 40, "b": 30, "c": 50}
     assert E.within(sizes, 70) == {"a", "b"} and E.within(sizes, 69) == {"b"}
     assert E.within(sizes, 0) == set() and E.within({"none": 0}, 0) == {"none"}
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-10])
+@pytest.mark.parametrize("root", [-3.7, 0.3, 2.5])
+def test_the_climb_ends_where_the_sign_of_the_slope_is_chance(root, noise):
+    """Sums over many rows: near the root the slope's sign changes from round to round."""
+    climb, rounds = S._Climb(), 0
+    while not climb.done:
+        rounds += 1
+        assert rounds <= 12
+        gap = root - climb.lam + noise * (-1) ** rounds
+        climb.move(1e6 * (gap + gap**3 / 9), -1e6 * (1 + gap**2 / 3))
+    assert climb.lam == pytest.approx(root, abs=1e-8)
