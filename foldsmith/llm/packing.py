@@ -65,8 +65,9 @@ _RISING = {c for c in map(chr, range(0x250)) if max(c.lower()) > "\u024f"}
 _CUT = "".join(c for c in map(chr, range(0x250)) if c not in {*"\x1c\x1d\x1e\x1f\x85\xa0\u0130", *_RISING})
 _OTHER = re.compile(f"[^{re.escape(_CUT)}]|<\\|")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-# Runs of signs without an apostrophe, which may belong to letters, in or beside them.
-_SIGNS, _APART = re.compile(f"(?<!')[^{_LETTERS}{_NUMBERS}\\s']++(?!')"), r" \g<0> "
+# Whole runs of signs without an apostrophe, which may belong to letters, in or beside them.
+_SIGN = f"[^{_LETTERS}{_NUMBERS}\\s"
+_SIGNS, _APART = re.compile(f"(?<!{_SIGN}]){_SIGN}']++(?!')"), r" \g<0> "
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
@@ -110,14 +111,25 @@ class WordTokenizer:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.words = Recent(WORDS)
+        # The parts of a word of letters, without the way there that such a word passes unchanged.
+        self.parts = self.model.model.tokenize
+        self.bytes = [i.to_bytes(4, "little") for i in range(len(self.last))]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of new words, many in one call; the last id of each of their pieces is known."""
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
+        """Ids of new words. Words of the letters a to z are one piece and their own bytes, so they
+        go to the model itself; of the others many go to the tokenizer in one call, as the last
+        id of each of their pieces is known."""
+        parts, number, rest = self.parts, self.bytes, []
+        for word in words:
+            if word.isascii() and word.isalpha():
+                self.words.now[word] = b"".join([number[t.id] for t in parts(word)])
+            else:
+                rest.append(word)
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
             pieces = [1 if w.isalpha() else len(_PIECE.findall(w)) for w in some]
             made = self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(made[0].ids, "<u4")

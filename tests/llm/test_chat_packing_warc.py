@@ -178,6 +178,14 @@ def test_ids_of_every_low_letter_are_those_of_the_tokenizer():
     assert not [t for t, g, w in zip(texts, got, wanted) if np.frombuffer(g, "<u4").tolist() != w]
 
 
+def test_signs_after_an_apostrophe_are_cut_as_the_tokenizer_cuts_them():
+    words = packing.WordTokenizer(packing.default_tokenizer())
+    texts = ["a '.. b", "x'-- y", "it's '' x'..y", "'!?", "a..' b", "don't!!'", "ab-cd, ef", "A1B22 zz9"]
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list("abXY'.,-! 019\u00e9\u00b5\n"), 25)) for _ in range(3000)]
+    assert words.encode(texts) == [words._whole(t) for t in texts]
+
+
 def test_packing_of_no_rows(spark):
     assert packing.pack(frame(spark, []), packing.default_tokenizer()).count() == 0
 
