@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,18 @@ def assemble(df: DataFrame, spec: TableSpec) -> DataFrame:
     )
 
 
+@contextmanager
+def held(df: DataFrame, spec: TableSpec) -> Iterator[DataFrame]:
+    """The assembled rows, kept on the executors while they are used: a fit passes over its rows
+    several times, each time from the start of their plan. Partitions stay as they are, and with
+    them the draws of a forest."""
+    rows = assemble(df, spec).persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def fit_predict(
     estimator, train: DataFrame, test: DataFrame, spec: TableSpec
 ) -> tuple[DataFrame, dict[str, float]]:
@@ -45,10 +58,18 @@ def fit_predict(
 
     Returns ``(row_id, y_true, probs)`` and the seconds spent.
     """
+    with held(train, spec) as rows:
+        return fit_vectors(estimator, rows, assemble(test, spec), spec)
+
+
+def fit_vectors(
+    estimator, train: DataFrame, test: DataFrame, spec: TableSpec
+) -> tuple[DataFrame, dict[str, float]]:
+    """:func:`fit_predict` of rows that are assembled already."""
     started = time.perf_counter()
-    model = estimator.fit(assemble(train, spec))
+    model = estimator.fit(train)
     fitted = time.perf_counter()
-    scored = model.transform(assemble(test, spec)).select(
+    scored = model.transform(test).select(
         spec.row_id,
         F.col("label").cast("int").alias("y_true"),
         vector_to_array("probability").alias("probs"),
@@ -63,7 +84,11 @@ def evaluate(
 ) -> dict[str, float]:
     """Metrics and timings of one model on one split."""
     split = getattr(estimator, "fit_predict", None)
-    predictions, timing = split(train, test, spec) if split else fit_predict(estimator, train, test, spec)
+    return summary(*(split(train, test, spec) if split else fit_predict(estimator, train, test, spec)))
+
+
+def summary(predictions: DataFrame, timing: dict[str, float]) -> dict[str, float]:
+    """Metrics of one model's predictions, and its timings."""
     row = metrics_all(predictions.withColumn("run", F.lit(0)), ["run"]).first()
     return {
         **{m: row[m] for m in ("accuracy", "auc", "f1", "log_loss")},

@@ -16,6 +16,9 @@ from foldsmith.operators.ranking import hash_rank, value_rank
 # Classes of a target column; more than this is not a classification target.
 MAX_CLASSES = 100_000
 
+# Up to so many folds, roles are written out fold by fold.
+CODED_FOLDS = 10
+
 # Sample sizes up to here use a top-n, where every task passes on n rows; larger
 # ones use the distributed rank.
 TOP_N_ROWS = 1_000
@@ -166,7 +169,10 @@ def kfold_roles(
             .otherwise("train")
         )
 
-    return ranked.withColumn(ROLES, F.transform("__folds", role)).select(*df.columns, ROLES)
+    # An array of few roles is generated code; a higher-order function runs node by node.
+    few = [role(F.get("__folds", F.lit(fold))) for fold in range(k)] if k <= CODED_FOLDS else None
+    roles = F.array(*few) if few else F.transform("__folds", role)
+    return ranked.withColumn(ROLES, roles).select(*df.columns, ROLES)
 
 
 def kfold_long(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foldsmith.functions.hashing import uniform
 from foldsmith.operators.foldwise import ROLES, fold_count
-from foldsmith.operators.models import MODELS, evaluate
+from foldsmith.operators.models import MODELS, evaluate, fit_vectors, held, summary
 from foldsmith.operators.neighbours import vector
 from foldsmith.plans.arms import ARMS, augment
 from foldsmith.session import materialize
@@ -61,7 +61,7 @@ def run_experiments(
     submitted from a few threads. Every run is stored as soon as it has ended, so a grid
     that was stopped goes on with the runs that are missing. The first run that fails ends
     the grid with its error, after the runs under way. An arm's rows are made once for all
-    folds and models, and written by fold.
+    models and the folds that pending runs ask for, and written by fold.
     """
     spark = grid.sparkSession
     pending = pending_runs(grid, load_results(spark, path, RESULT_SCHEMA)).collect()  # settings only
@@ -70,12 +70,16 @@ def run_experiments(
         raise ValueError(f"unknown arms or models: {sorted(unknown)}")
     tables: dict = {}
     arms: dict = {}
+    folds: dict = {}
+    for run in pending:
+        folds.setdefault((run.dataset_id, run.random_state, run.augmentation), set()).add(run.fold)
     for run in pending:
         key = (run.dataset_id, run.random_state)
         if key not in tables:
             tables[key] = load(*key)
         if (*key, run.augmentation) not in arms:
             df, spec = tables[key]
+            df = df.filter(F.col("fold_id").isin(folds[(*key, run.augmentation)]))
             made = augment(run.augmentation, df, spec, **(options or {}).get(run.augmentation, {}))
             arms[(*key, run.augmentation)] = materialize(made, "arm", ["fold_id"])
     turn = Lock()
@@ -194,15 +198,21 @@ def search(
     parallel: int = 4,
 ) -> DataFrame:
     """Score every candidate on the validation rows; ``is_best`` marks the most
-    accurate (the earliest on a tie)."""
+    accurate (the earliest on a tie). Both tables are assembled once for all trials."""
     trials = candidates.collect()  # parameter settings only
 
-    def one(trial):
-        scores = evaluate(make(trial.asDict()), train, valid, spec)
-        return (*trial, scores["accuracy"])
+    with held(train, spec) as fitted, held(valid, spec) as asked:
 
-    with ThreadPoolExecutor(parallel) as pool:
-        rows = list(pool.map(one, trials))
+        def one(trial):
+            model = make(trial.asDict())
+            if hasattr(model, "fit_predict"):
+                scores = evaluate(model, train, valid, spec)
+            else:
+                scores = summary(*fit_vectors(model, fitted, asked, spec))
+            return (*trial, scores["accuracy"])
+
+        with ThreadPoolExecutor(parallel) as pool:
+            rows = list(pool.map(one, trials))
     at = {c: i for i, c in enumerate(candidates.columns)}["trial"]
     best = max(rows, key=lambda r: (r[-1], -r[at]))
     scored = candidates.schema.add("accuracy", "double").add("is_best", "boolean")

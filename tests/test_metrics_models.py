@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from foldsmith.operators import analytics as AN
 from foldsmith.operators import metrics as M
+from foldsmith.operators import models as MO
 from foldsmith.operators.models import MODELS
 from foldsmith.operators.splits import kfold_long, kfold_roles, size_budget
 from foldsmith.operators import ranking as R_
 from foldsmith.operators.stats import exact_quantiles, train_rows
 from foldsmith.operators.synth import CopulaModel
+from foldsmith.plans import arms as AR
 from foldsmith.plans import experiment as X
 from foldsmith.plans.arms import augment, topup
 from foldsmith.plans.preprocess import Preprocessor
@@ -385,3 +387,35 @@ def test_stored_results_have_files_by_size_not_by_dataset(spark, tmp_path):
     stored = R.load_results(spark, path)
     assert stored.schema["dataset_id"].dataType.simpleString() == "int"
     assert sorted(stored.collect(), key=str) == sorted(runs.select(*stored.columns).collect() * 2, key=str)
+
+
+def test_a_grid_makes_the_rows_of_its_folds_only(spark, prepared, tmp_path, monkeypatch):
+    ready, spec = prepared
+    asked = []
+
+    def arm(df, spec, **_):
+        asked.append({r.fold_id for r in df.select("fold_id").distinct().collect()})
+        return AR.augment_none(df, spec)
+
+    monkeypatch.setitem(AR.ARMS, "marked", arm)
+    grid = X.run_grid(spark, [7], [0], [0, 2], ["tree"], ["marked"])
+    tree = {"tree": lambda seed: MODELS["decision_tree"](seed=seed, depth=2)}
+    out = X.run_experiments(grid, lambda *_: (ready, spec), str(tmp_path / "folds"), tree)
+    assert asked == [{0, 2}] and {r.fold for r in out.collect()} == {0, 2}
+
+
+def test_a_search_reads_its_rows_once(spark, prepared, monkeypatch):
+    """All trials take the rows that are held; a fit of one model holds its own."""
+    ready, spec = prepared
+    calls = []
+    plain = MO.assemble
+    monkeypatch.setattr(MO, "assemble", lambda *a: calls.append(1) or plain(*a))
+    part = ready.filter("fold_id = 0")
+    sides = part.filter("role = 'train'"), part.filter("role = 'val'")
+    trials = X.grid_candidates(spark, {"depth": [1, 2, 3]})
+    found = X.search(trials, lambda t: MODELS["decision_tree"](depth=t["depth"]), *sides, spec).collect()
+    assert len(calls) == 2
+    for r in found:
+        alone = MO.evaluate(MODELS["decision_tree"](depth=r.depth), *sides, spec)
+        assert r.accuracy == pytest.approx(alone["accuracy"])
+    assert not spark._jsparkSession.sharedState().cacheManager().cachedData().size()

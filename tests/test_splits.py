@@ -150,3 +150,15 @@ def test_ranged_plans_part_no_group_and_no_table(spark):
 
 def test_range_digits_grow_with_the_table():
     assert [R.range_digits(n) for n in (10, 10**9, 10**12, 10**15)] == [2, 3, 5, 8]
+
+
+def test_ranges_are_counted_by_hashing(people):
+    """A text column in the counts would have them sorted."""
+    plan = R.hash_rank(people, 1, "id", ["y"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_many_folds_have_the_roles_of_few_by_the_same_rule(people, monkeypatch):
+    few = {r.id: r.fold_roles for r in S.kfold_roles(people, "y", "id", 5).collect()}
+    monkeypatch.setattr(S, "CODED_FOLDS", 0)
+    assert {r.id: r.fold_roles for r in S.kfold_roles(people, "y", "id", 5).collect()} == few
