@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldsmith.llm.registry import query, table
-from foldsmith.session import broadcast_if_small, materialize
+from foldsmith.session import broadcast_if_small, materialize, small_batches
 
 SEQUENCE = 2048
 WINDOW = 64  # sequences
@@ -189,7 +189,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     The table is written, so partition numbers and sums are those of the tasks that committed.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source"), F.col("text"))
-    return materialize(rows.mapInArrow(_tokenize(path), TOKENS), "tokens")
+    with small_batches(docs.sparkSession):
+        return materialize(rows.mapInArrow(_tokenize(path), TOKENS), "tokens")
 
 
 @dataclass(frozen=True)
@@ -351,7 +352,8 @@ def pack(
     else:
         in_tail = _in_tail(rows.where(F.col("queue") == len(names)), tail, window * sequence)
         rows = own_rows.select(columns).union(in_tail.select(columns))
-    return rows.mapInArrow(_cut(plan, sequence), PIECES_ROW)
+    with small_batches(docs.sparkSession):
+        return materialize(rows.mapInArrow(_cut(plan, sequence), PIECES_ROW), "pieces")
 
 
 def default_tokenizer() -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from foldsmith.llm.components import components
 from foldsmith.llm.joins import looked_up
 from foldsmith.llm.registry import query, table
-from foldsmith.session import broadcast_if_small, materialize
+from foldsmith.session import broadcast_if_small, materialize, small_batches
 
 SHINGLE = 3
 DISTANCE = 2
@@ -221,7 +221,8 @@ def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, count: int = SEGMENTS
 ) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest id that can be reached)."""
-    made = materialize(fingerprints(docs, shingle), "fingerprints")
+    with small_batches(docs.sparkSession):
+        made = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     stars = components(links(distinct.select("fp"), distance, count))
     labelled = distinct.join(stars, F.col("fp") == F.col("a"), "left").select(

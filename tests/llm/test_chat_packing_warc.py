@@ -3,11 +3,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foldsmith.llm import chat, packing, warc
-from foldsmith.session import new_path
+from foldsmith.session import BATCH_CONF, new_path
 from tests.llm.cases import copied_rows, edge_rows, frame
 
 TURNS = "conv_id long, turn int, role string, text string"
@@ -186,6 +187,39 @@ def test_signs_after_an_apostrophe_are_cut_as_the_tokenizer_cuts_them():
     assert words.encode(texts) == [words._whole(t) for t in texts]
 
 
+def batch_sizes(names, types, rows, size):
+    """One row a batch: in two of its columns how many rows and bytes there were."""
+
+    def run(batches):
+        for batch in batches:
+            row = {rows: len(batch), size: batch.nbytes}
+            yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in zip(names, types)], names=names)
+
+    return run
+
+
+@pytest.mark.parametrize("repeats", [1, 5000])
+def test_workers_get_texts_and_ids_in_small_batches(spark, monkeypatch, repeats):
+    text = F.repeat(F.lit("ab "), repeats)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), text.alias("text"))
+    settings = [spark.conf.get(key, None) for key in BATCH_CONF]
+    names = ["doc_id", "source", "part", "before", "n", "ids"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    with monkeypatch.context() as patch:
+        patch.setattr(packing, "_tokenize", lambda path: batch_sizes(names, types, "before", "n"))
+        texts = packing.tokenized(docs, "").collect()
+    assert sum(r["before"] for r in texts) == 2000
+    assert max(r["before"] for r in texts) <= 512 and max(r["n"] for r in texts) < 5_000_000
+    names = [c.strip().split()[0] for c in packing.PIECES_ROW.split(",")]
+    types = [pa.int64()] * 7 + [pa.string()]
+    with monkeypatch.context() as patch:
+        patch.setattr(packing, "_cut", lambda plan, sequence: batch_sizes(names, types, "start", "length"))
+        ids = packing.pack(docs, packing.default_tokenizer()).collect()
+    assert sum(r["start"] for r in ids) == 2000
+    assert max(r["start"] for r in ids) <= 512 and max(r["length"] for r in ids) < 5_000_000
+    assert [spark.conf.get(key, None) for key in BATCH_CONF] == settings
+
+
 def test_packing_of_no_rows(spark):
     assert packing.pack(frame(spark, []), packing.default_tokenizer()).count() == 0
 
