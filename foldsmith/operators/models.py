@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldsmith.operators.cells import forest_probabilities, with_probabilities
 from foldsmith.operators.metrics import metrics_all
 from foldsmith.operators.neighbours import knn_join, matrix, vector
 from foldsmith.session import materialize
@@ -56,8 +57,22 @@ def fit_predict(
     """Fit, score, and time both. The predictions are written once, so that the
     clock covers the scoring and the metrics do not repeat it.
 
-    Returns ``(row_id, y_true, probs)`` and the seconds spent.
+    Returns ``(row_id, y_true, probs)`` and the seconds spent. A forest of a large table grows
+    from its counted cells (:mod:`foldsmith.operators.cells`).
     """
+    started = time.perf_counter()
+    found = forest_probabilities(estimator, train, spec)
+    if found is not None:
+        fitted = time.perf_counter()
+        asked = test.select(
+            F.col(spec.row_id),
+            F.col(spec.target).cast("int").alias("y_true"),
+            *[F.col(f"`{c}`").cast("double").alias(c) for c in spec.features],
+        )
+        scored = with_probabilities(asked, *found, "probs").select(spec.row_id, "y_true", "probs")
+        predictions = materialize(scored, "predictions")
+        done = time.perf_counter()
+        return predictions, {"time_fit": fitted - started, "time_predict": done - fitted}
     with held(train, spec) as rows:
         return fit_vectors(estimator, rows, assemble(test, spec), spec)
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldsmith.functions.hashing import uniform
+from foldsmith.operators.cells import fold_accuracies, follows
 from foldsmith.operators.foldwise import ROLES, fold_count
 from foldsmith.operators.models import MODELS, evaluate, fit_vectors, held, summary
 from foldsmith.operators.neighbours import vector
@@ -161,16 +163,25 @@ def search_folds(
     ``table`` holds every row once with its ``fold_roles``; in each fold the rows of the other
     roles train. Columns of ``candidates`` but ``trial`` name parameters of the estimator.
     Returns the candidates with ``accuracy`` (mean over the folds), ``accuracy_sd`` and
-    ``is_best`` (the earliest on a tie).
+    ``is_best`` (the earliest on a tie). The trees of a large table grow from its counted cells
+    (:mod:`foldsmith.operators.cells`).
     """
     trials = candidates.collect()  # parameter settings only
     names = [c for c in candidates.columns if c != "trial"]
     grid = [{estimator.getParam(n): t[n] for n in names} for t in trials]
     k = fold_count(table)
+    test_fold = (F.array_position(ROLES, "test") - 1).cast("int")
+    scores = None
+    if isinstance(estimator, DecisionTreeClassifier) and follows(estimator, names):
+        settings = ("maxDepth", "maxBins", "minInfoGain")
+        asked = [{n: t[n] if n in names else estimator.getOrDefault(n) for n in settings} for t in trials]
+        scores = fold_accuracies(table, spec, test_fold, k, asked)
+    if scores is not None:
+        return _scored(candidates, trials, scores.mean(axis=1), scores.std(axis=1))
     rows = table.select(
         array_to_vector(vector(spec.features)).alias("features"),
         F.col(spec.target).cast("double").alias("label"),
-        (F.array_position(ROLES, "test") - 1).cast("int").alias("fold"),
+        test_fold.alias("fold"),
     )
     fitted = CrossValidator(
         estimator=estimator,
@@ -180,7 +191,12 @@ def search_folds(
         foldCol="fold",
         parallelism=parallel,
     ).fit(rows)
-    scored = list(zip(trials, fitted.avgMetrics, fitted.stdMetrics, strict=True))
+    return _scored(candidates, trials, fitted.avgMetrics, fitted.stdMetrics)
+
+
+def _scored(candidates: DataFrame, trials: list, means, deviations) -> DataFrame:
+    """The candidates with their scores and the best of them."""
+    scored = list(zip(trials, means, deviations, strict=True))
     best = max(scored, key=lambda s: (s[1], -s[0]["trial"]))
     schema = candidates.schema.add("accuracy", "double").add("accuracy_sd", "double")
     return candidates.sparkSession.createDataFrame(
